@@ -6,10 +6,13 @@ concatenation of such units and each distinct unit needs encoding once. Texts
 with other white-space runs are cut where white space follows a character that
 is none, which is a cut in every case. The memo is bounded.
 
-Where a rank file of the same vocabulary lies beside the JSON file and the two are
-found equal token by token, texts within Latin-1 go through the faster rank-based
-encoder: letters, digits and white space are the same there for both pattern
-engines, so the ids are the library's. All other texts take the memo.
+Merging by rank of the joined bytes gives the library's ids where each token of the
+vocabulary, encoded alone by the library's own model, is itself: a pair that is no
+listed merge can then never be neighbours. This is verified for all tokens when a
+vocabulary is loaded. Where it holds, whole texts (byte-level vocabularies) or
+words of letters (word-end vocabularies) within Latin-1, whose classes and case
+are alike in all engines, are merged by rank, which is faster. All else takes the
+library.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ class UnitEncoder:
         self.spaces_count = len(self.tokenizer.encode("a b", add_special_tokens=False).ids) != 2 or self.tokenizer.encode(" ", add_special_tokens=False).ids != []
         self.memo: dict[str, bytes] = {}
         self.ranks = _ranks(path, self.tokenizer)
+        self.stops = {c: self.pack(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
 
     def pack(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -59,7 +63,7 @@ class UnitEncoder:
         holes: list[tuple[int, list[str], list, list[int]]] = []
         missing: set[str] = set()
         for k, text in enumerate(texts):
-            if self.ranks is not None and _latin(text):
+            if self.ranks is not None and self.spaces_count and _latin(text):
                 found.append(self.ranks.encode_to_numpy(text, allowed_special="all").astype(f"<u{self.width}").tobytes())
                 continue
             units = self.units(text)
@@ -72,8 +76,9 @@ class UnitEncoder:
             else:
                 found.append(b"".join(ids))
         if missing:
-            new = list(missing)
-            encoded = {u: self.pack(e.ids) for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            encoded = self._words(missing) if self.ranks is not None and not self.spaces_count else {}
+            new = [u for u in missing if u not in encoded]
+            encoded |= {u: self.pack(e.ids) for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
             for k, units, ids, at in holes:
                 for i in at:
                     ids[i] = encoded[units[i]]
@@ -83,6 +88,18 @@ class UnitEncoder:
                 memo.update([x for x in encoded.items() if len(x[0]) <= MEMO_CHARS][:room])
         return found
 
+    def _words(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of the units that are a word of Latin-1 letters, with one full stop or comma after it or none."""
+        out = {}
+        piece, pack, stops = self.ranks._encode_single_piece, self.pack, self.stops
+        for u in units:
+            stop = stops.get(u[-1:])
+            word = u if stop is None else u[:-1]
+            if word.isalpha() and _latin(word):
+                ids = pack(piece(word.lower().encode() + WORD_END))
+                out[u] = ids if stop is None else ids + stop
+        return out
+
 
 def _latin(text: str) -> bool:
     try:
@@ -99,23 +116,41 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+#: Stands for the end of a word; not a byte of UTF-8.
+WORD_END = b"\xff"
+
+
 def _ranks(path: str, loaded):
-    """A rank-based encoder of the same vocabulary, or None where there is none."""
-    import base64
-    import os
+    """A rank-based encoder proven equal to the library's model, or None."""
+    import json
 
-    file = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(file):
-        return None
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
 
-    with open(file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix = model.get("end_of_word_suffix") or ""
+    if model.get("type") != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
+        return None
     special = {t.content: i for i, t in loaded.get_added_tokens_decoder().items()}
     letters = _byte_alphabet()
-    same = {bytes(letters[c] for c in token): i for token, i in loaded.get_vocab(with_added_tokens=False).items() if token not in special}
-    if same != ranks:
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    tokens = {t: i for t, i in model["vocab"].items() if t not in special}
+    ends = {t: i for t, i in tokens.items() if suffix and t.endswith(suffix)}
+    inner = {t: i for t, i in tokens.items() if t not in ends}
+    for some, end in ((inner, None), (ends, suffix)):
+        if some:
+            alone = Tokenizer(BPE(vocab=model["vocab"], merges=merges, **({"end_of_word_suffix": end} if end else {})))
+            words = [t[: len(t) - len(end or "")] for t in some]
+            if any(e.ids != [i] for e, i in zip(alone.encode_batch_fast(words, add_special_tokens=False), some.values(), strict=True)):
+                return None
+    if any(c not in letters for t in inner for c in t):
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in inner.items()}
+    ranks |= {bytes(letters[c] for c in t[: -len(suffix)]) + WORD_END: i for t, i in ends.items()}
+    if len(ranks) != len(tokens) or any(bytes([b]) not in ranks for b in range(256)):
         return None
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
