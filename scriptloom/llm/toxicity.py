@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import crc32_mod, map_rows, materialise, remove, shared_dir, slices, texts_of
 
 ORDERS, HASH_BITS, KEEP = (3, 4, 5, 6), 20, 20_000
-SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 5_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 3_000
 THRESHOLD = 0.3
 _P, _K = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
