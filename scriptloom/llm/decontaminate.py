@@ -6,8 +6,8 @@ diagonal. Shared q-grams of a document and the benchmark are gathered by item
 and by overlapping diagonal bands, counted over stretches of the window's
 length, and only regions that meet the bound go on to a banded alignment.
 
-Texts are compared as UTF-8 bytes, ASCII upper case lowered and ASCII white space
-as spaces. Items shorter than the window are wanted whole; items shorter than
+Texts are compared as UTF-8 bytes, in lower case and with ASCII white space as
+spaces. Items shorter than the window are wanted whole; items shorter than
 ``LEAST`` bytes are no evidence and are not searched for.
 
 The benchmark goes to the workers in blocks of at most ``BLOCK_BYTES`` of text,
@@ -31,12 +31,12 @@ from .common import mix64, seeds64, slices
 
 Q, WINDOW, RATE, LEAST, BAND = 12, 80, 0.05, 32, 16
 BLOCK_BYTES = 16 << 20
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+_TABLE = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 _FILTER_BITS = 22
 
 
 def normal(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE)
 
 
 def qgrams(data: np.ndarray, q: int = Q) -> np.ndarray:
@@ -213,7 +213,7 @@ def _built(shipped) -> Block:
 
 
 def _texts(column: pa.Array) -> list[bytes]:
-    return [x.translate(_TABLE) if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
+    return [normal(x) for x in column.to_pylist()]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
