@@ -20,6 +20,7 @@ empty table on either side finds nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -108,13 +109,12 @@ class Block:
         item, at = self.item[entry], self.at[entry]
         return self._verify(texts, self._regions(text, item, pos, at))
 
-    def _regions(self, text, item, pos, at) -> list[tuple[int, int, int, int]]:
-        """Candidate (text, item, diagonal, first position in the item) whose band meets the bound."""
+    def _regions(self, text, item, pos, at) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+        """Candidate (text, item, diagonal, [(first, last) of the shared q-grams that meet the bound]) by band."""
         if not len(text):
             return []
         diagonal = pos - at
         out = []
-        edits = int(WINDOW * RATE)
         for shift in (0, BAND // 2):  # each pair of near diagonals is in one band of at least one of the two grids
             band = (diagonal + shift) // BAND
             order = np.lexsort((at, band, item, text))
@@ -126,7 +126,7 @@ class Block:
             last = np.arange(len(t)) + need - 1
             ok = last < len(t)
             last = np.minimum(last, len(t) - 1)
-            ok &= (group[last] == group) & (a[last] - a <= w - Q + edits)
+            ok &= (group[last] == group) & (a[last] - a <= w - Q)
             hit = np.flatnonzero(ok)
             if len(hit):
                 keep = np.concatenate([[True], group[hit][1:] != group[hit][:-1]])
@@ -135,27 +135,29 @@ class Block:
                 for f, e in zip(firsts.tolist(), ends.tolist(), strict=True):
                     same = slice(f, f + int(np.searchsorted(group[f:e], group[f], side="right")))
                     hits = hit[(hit >= f) & (hit < same.stop)]
-                    out.append((int(t[f]), int(i[f]), int(np.median(d[same])), a[hits].tolist()))
+                    out.append((int(t[f]), int(i[f]), int(np.median(d[same])), list(zip(a[hits].tolist(), a[last[hits]].tolist(), strict=True))))
         return out
 
-    def _verify(self, texts, regions) -> list[tuple[int, int, int, int, int]]:
+    def _verify(self, texts: list[bytes], regions: list) -> list[tuple[int, int, int, int, int]]:
         out: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
-        for t, i, diagonal, firsts in regions:
+        for t, i, diagonal, spans in regions:
             if (t, i) in out:
                 continue
             w, k, _ = self.window(i)
             item = self.texts[i]
-            tried = -w
-            for a in firsts:
-                begin = min(a, len(item) - w)
-                if begin < tried + k + 1 and tried >= 0:
-                    continue
-                tried = begin
-                low = max(0, begin + diagonal - BAND)
-                piece = texts[t][low : begin + diagonal + w + BAND]
-                edits, x, y = align(item[begin : begin + w], piece)
-                if edits <= k:
-                    out[t, i] = (t, i, low + x, low + y, edits)
+            # a window that holds the q-grams from first to last begins in this range
+            begins = sorted({b for first, last in spans for b in range(max(0, last + Q - w), min(first, len(item) - w) + 1)})
+            pieces = [(b, low := max(0, b + diagonal - BAND - k), texts[t][low : b + diagonal + w + BAND + k]) for b in begins]
+            for equal in (True, False):  # equal stretches first
+                for b, low, piece in pieces:
+                    pattern = item[b : b + w]
+                    if equal and pattern not in piece:
+                        continue
+                    edits, x, y = align(pattern, piece)
+                    if edits <= k:
+                        out[t, i] = (t, i, low + x, low + y, edits)
+                        break
+                if (t, i) in out:
                     break
         return list(out.values())
 
@@ -201,11 +203,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
-_BUILT: dict[int, Block] = {}
+_BUILT: dict[str, Block] = {}
 
 
-def _built(shipped) -> Block:
-    key = id(shipped)
+def _built(key: str, shipped) -> Block:
+    """The index of this worker, rebuilt when another block arrives."""
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Block(shipped.value)
@@ -222,8 +224,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, begin long, end long, edits int"
 
     def finder(shipped):
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = _built(shipped)
+            block = _built(name, shipped)
             for batch in (p for b in batches for p in slices(b, 2 << 20)):
                 rows = block.search(_texts(batch.column(1)))
                 if rows:
@@ -245,8 +249,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text = docs.columns.index("text")
 
     def keeper(shipped):
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = _built(shipped)
+            block = _built(name, shipped)
             for batch in (p for b in batches for p in slices(b, 2 << 20)):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[r[0] for r in block.search(_texts(batch.column(text)))]] = False

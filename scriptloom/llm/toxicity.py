@@ -13,11 +13,12 @@ of the ``KEEP`` best and which of those each sampled row holds.
 
 Defined results: null and empty texts score as the intercept; null labels and
 labels without a document are not used; without both classes in the sample every
-score is 0.5; repeated rows are scored one by one; an empty table gives no rows.
+score is the smoothed share of toxic labels (0.5 without labels); repeated rows are scored one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -144,9 +145,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, c1: np.nda
 def train(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 2) -> Model:
     """Fit on labelled rows whose crc32(doc_id) mod 4 is not ``held_out_remainder``."""
     spark = docs.sparkSession
-    nothing = Model(np.zeros(1 << HASH_BITS, np.float32), 0.0)
     usable = labels.filter(F.col("toxic").isin(0, 1) & (crc32_mod(F.col("doc_id"), 4) != held_out_remainder)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    # without features the share of toxic labels is all there is
+    nothing = Model(np.zeros(1 << HASH_BITS, np.float32), float(np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))))
     if not counts.get(1) or not counts.get(0):
         return nothing
     order = F.xxhash64("doc_id")
@@ -195,9 +197,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, held_out_
     """(doc_id, held_out, score, predicted) of every row."""
     kept = np.flatnonzero(model.weights)
     shipped = docs.sparkSession.sparkContext.broadcast((kept.astype(np.uint32), model.weights[kept], model.intercept))  # at most KEEP features
+    name = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = _model(shipped).scores(texts_of(batch.column(1)))
+        out = _model(name, shipped).scores(texts_of(batch.column(1)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     scored = map_rows(docs.select("doc_id", "text"), run, "doc_id long, score double")
@@ -209,11 +212,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, held_out_
     )
 
 
-_MODELS: dict[int, Model] = {}
+_MODELS: dict[str, Model] = {}
 
 
-def _model(shipped) -> Model:
-    key = id(shipped)
+def _model(key: str, shipped) -> Model:
+    """The model of this worker, rebuilt when another one arrives."""
     if key not in _MODELS:
         kept, weights, intercept = shipped.value
         full = np.zeros(1 << HASH_BITS, np.float32)
