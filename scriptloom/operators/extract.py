@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -25,36 +25,53 @@ def with_layout(lines: DataFrame) -> DataFrame:
     )
 
 
-def inside_blocks(lines: DataFrame, header: Column) -> DataFrame:
-    """(file, line) of lines inside a block that a ``header`` line opens.
+#: Lines that one task numbers or scans together; longer files are cut and joined by their summaries.
+CHUNK = 1 << 16
+
+
+def with_blocks(lines: DataFrame, header: Column, seen: Column, name: str) -> DataFrame:
+    """Add ``name``: the line is inside a block that a ``header`` line opens; only ``seen`` lines count, others are outside.
 
     A block ends at the next line that is not blank and not indented deeper than
-    its header. Blocks within blocks change nothing, so no line-by-line state is
-    needed: each header finds its end, and lines between are a semi join by range.
+    its header; blocks within blocks change nothing. So a line is inside exactly
+    where, for some header indent L, the last line at or before it that is not
+    blank and not indented deeper than L is an earlier header of indent L. That is
+    one running maximum for each L that occurs. Files are scanned in chunks, and
+    chunks get what came before from one row for each (file, chunk).
     """
-    opens = lines.filter(header).select("file", F.col("line").alias("h"), F.col("indent").alias("hi"))
-    closes = lines.filter(~F.col("blank")).select("file", F.col("line").alias("t"), F.col("indent").alias("ti"))
-    joined = opens.join(closes, "file", "left")
-    after = (F.col("t") > F.col("h")) & (F.col("ti") <= F.col("hi"))
-    ends = joined.groupBy("file", "h").agg(F.min(F.when(after, F.col("t"))).alias("end"))
-    ends = ends.select(F.col("file").alias("_f"), "h", F.coalesce("end", F.lit(2147483647)).alias("end"))
-    within = (F.col("file") == F.col("_f")) & (F.col("line") > F.col("h")) & (F.col("line") < F.col("end"))
-    return lines.select("file", "line").join(ends, within, "left_semi")
+    opens = seen & F.coalesce(header, F.lit(False))
+    levels = sorted(r[0] for r in lines.filter(opens).select("indent").distinct().collect())
+    if not levels:
+        return lines.withColumn(name, F.lit(False))
+    # line * 2, plus 1 where it opens a block: the largest one is the last one
+    code = F.col("line").cast("long") * 2
+    reach = [F.when(seen & ~F.col("blank") & (F.col("indent") <= L), code + F.when(opens & (F.col("indent") == L), 1).otherwise(0)) for L in levels]
+    coded = lines.withColumns({"_chunk": F.floor(F.col("line") / CHUNK), "_seen": seen, **{f"_r{k}": r for k, r in enumerate(reach)}})
+    ends = coded.groupBy("file", "_chunk").agg(*[F.max(f"_r{k}").alias(f"_m{k}") for k in range(len(levels))])
+    earlier = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("file", "_chunk", *[F.max(f"_m{k}").over(earlier).alias(f"_b{k}") for k in range(len(levels))])
+    running = Window.partitionBy("file", "_chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    coded = coded.withColumns({f"_r{k}": F.max(f"_r{k}").over(running) for k in range(len(levels))}).join(before, ["file", "_chunk"])
+    inside = F.lit(False)
+    for k in range(len(levels)):
+        last = F.coalesce(f"_r{k}", f"_b{k}")
+        inside = inside | F.coalesce((last % 2 == 1) & (last < F.col("line").cast("long") * 2), F.lit(False))
+    return coded.select(*lines.columns, (F.col("_seen") & inside).alias(name))
+
+
+def inside_blocks(lines: DataFrame, header: Column) -> DataFrame:
+    """(file, line) of lines inside a block that a ``header`` line opens."""
+    return with_blocks(lines, header, F.lit(True), "_in").filter("_in").select("file", "line")
 
 
 def masked(lines: DataFrame, screens: bool) -> DataFrame:
     """Lines with layout and the flags in_python and, in screens mode, in_screen and screen_header."""
-    laid = with_layout(lines)
-    python = inside_blocks(laid, F.col("python_header")).withColumn("in_python", F.lit(True))
-    out = laid.join(python, ["file", "line"], "left").withColumn("in_python", F.coalesce("in_python", F.lit(False)))
-    hidden = F.col("in_python") | F.col("python_header") | F.col("python_line") | F.col("comment")
-    out = out.withColumn("hidden", hidden)
+    out = with_blocks(with_layout(lines), F.col("python_header"), F.lit(True), "in_python")
+    out = out.withColumn("hidden", F.col("in_python") | F.col("python_header") | F.col("python_line") | F.col("comment"))
     if not screens:
         return out.withColumn("screen_header", F.lit(False)).withColumn("in_screen", F.lit(False))
     out = out.withColumn("screen_header", ~F.col("hidden") & X.matches(F.col("body"), X.SCREEN_HEADER))
-    visible = out.filter(~F.col("hidden"))
-    screen = inside_blocks(visible, F.col("screen_header")).withColumn("in_screen", F.lit(True))
-    return out.join(screen, ["file", "line"], "left").withColumn("in_screen", F.coalesce("in_screen", F.lit(False)))
+    return with_blocks(out, F.col("screen_header"), ~F.col("hidden"), "in_screen")
 
 
 def _row(pattern: str, text_group: int, kind: str, speaker: Column) -> tuple[Column, Column]:
@@ -95,7 +112,7 @@ def occurrences(lines: DataFrame, screens: bool = False) -> DataFrame:
 
 def in_order(entries: DataFrame) -> DataFrame:
     """Add ``seq``: the place by file, line and order on the line."""
-    return ranked(entries, F.col("file"), ["line", "ord"], "seq").drop("ord")
+    return ranked(entries, F.struct("file", F.floor(F.col("line") / CHUNK)), ["line", "ord"], "seq").drop("ord")
 
 
 def first_occurrences(entries: DataFrame, key: str = "text") -> DataFrame:

@@ -113,7 +113,9 @@ def fold(script):
     return out
 
 
-def test_block_mask_equals_a_fold(spark):
+@pytest.mark.parametrize("chunk", [1 << 16, 7])
+def test_block_mask_equals_a_fold(spark, monkeypatch, chunk):
+    monkeypatch.setattr(E, "CHUNK", chunk)
     rng = random.Random(4)
     scripts = {f"f{n:02d}": "\n".join(" " * rng.choice((0, 0, 2, 4, 6)) + rng.choice(("python:", "init 5 python:", "x", "", "init python in n:", "y")) for _ in range(40)) for n in range(40)}
     laid = E.with_layout(lines(spark, **scripts))
