@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..model import Profile, QaRule, QaRules
 
-ISSUE = "category int, label string, check_ord int, once boolean"
+#: Section titles of the report.
 TITLES = {
     1: "CAT 1 — Technical (missing / tag / variable)",
     2: "CAT 2 — Register Violations (speaker)",
@@ -118,7 +118,7 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def report(found: DataFrame, profile: Profile, n_strings: int, n_translations: int, technical_only: bool = False) -> tuple[str, int]:
-    """The report text and the exit code; issues stream through the driver."""
+    """The report text (a fixed layout) and the exit code; issues stream through the driver."""
     bar, lines = "=" * 72, []
     counts = {r["category"]: r["n_issues"] for r in by_category(found, technical_only).collect()}
     if technical_only:
