@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scriptloom.llm import decontaminate, linededup, minhash, packing, quality, tokens
-from scriptloom.llm.common import materialise, ship_package, shared_dir
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from scriptloom.llm.common import materialise, shared_dir
+from scriptloom.shipping import ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +17,6 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later occurrences of repeated three-line windows; documents left without a word go."""
-    from pyspark.sql import functions as F
-
     out = linededup.dedup_lines(docs)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(linededup.WORD)
     return out.filter(left).select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
@@ -26,16 +24,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
+    ship_package(spark)
     return minhash.keep_one(docs, size=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no stretch of a benchmark item."""
+    ship_package(spark)
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 1024 tokens."""
+    ship_package(spark)
     return packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), end_id=0, length=1024)
 
 
@@ -53,7 +54,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each result is written as Parquet and read again."""
-    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):

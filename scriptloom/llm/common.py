@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -123,24 +122,3 @@ def seeds64(n: int, seed: int) -> np.ndarray:
 
 def crc32_mod(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % modulus
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package also where neither PYTHONPATH nor the working folder holds it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if root in [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p] or os.path.abspath(os.getcwd()) == root:
-        return
-    context = spark.sparkContext
-    if getattr(context, "_loom_shipped", False):
-        return
-    import zipfile
-
-    target = os.path.join(tempfile.mkdtemp(prefix="scriptloom-zip-"), "scriptloom_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "scriptloom")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    context.addPyFile(target)
-    context._loom_shipped = True
