@@ -112,8 +112,8 @@ def new_literal(text: Column) -> Column:
 
 def decode_escapes(text: Column) -> Column:
     """One pass over backslash pairs: n and t become control characters, all else itself."""
-    parts = find_all(text, r"(?d)\\.|(?s:.)")
-    pair = lambda x: F.when(x == "\\n", "\n").when(x == "\\t", "\t").when((F.length(x) == 2), F.substring(x, 2, 1)).otherwise(x)
+    parts = find_all(text, r"(?d)\\.|[^\\]++|\\")
+    pair = lambda x: F.when(x == "\\n", "\n").when(x == "\\t", "\t").when(x.startswith("\\") & (F.length(x) == 2), F.substring(x, 2, 1)).otherwise(x)
     return F.array_join(F.transform(parts, pair), "")
 
 
