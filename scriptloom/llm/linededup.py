@@ -62,23 +62,27 @@ def covered_lines(docs: DataFrame) -> DataFrame:
 
 
 def _merged(spans: Column) -> Column:
-    """Overlapping or touching spans as one."""
-    start = F.lit(None).cast("array<struct<a:int,b:int>>")
-    empty = F.coalesce(start, F.array().cast("array<struct<a:int,b:int>>"))
+    """Overlapping or touching spans as one, in one pass: sorted spans end in the order they begin."""
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
-        return F.when((F.size(done) > 0) & (x["a"] <= last["b"] + 1), joined).otherwise(F.concat(done, F.array(F.struct(x["a"].alias("a"), x["b"].alias("b")))))
+    def of(s: Column) -> Column:
+        begins = F.filter(s, lambda x, k: (k == 0) | (x["a"] > F.get(s, k - 1)["b"] + 1))
+        ends = F.filter(s, lambda x, k: (k == F.size(s) - 1) | (F.get(s, k + 1)["a"] > x["b"] + 1))
+        return F.zip_with(begins, ends, lambda x, y: F.struct(x["a"].alias("a"), y["b"].alias("b")))
 
-    return F.aggregate(spans, empty, add)
+    return let(spans, of)
 
 
 def _without(text: Column, spans: Column) -> Column:
-    lines = F.split(text, "\n")
-    gone = F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"])))
-    keys = F.map_from_arrays(gone, gone)
-    return let(keys, lambda m: F.array_join(F.filter(lines, lambda x, k: F.try_element_at(m, k).isNull()), "\n"))
+    """The lines between the merged ``spans``; each is copied once, however long the text."""
+
+    def between(lines: Column) -> Column:
+        def part(k: Column) -> Column:
+            begin = F.coalesce(F.get(spans, k - 1)["b"] + 1, F.lit(0))
+            return F.slice(lines, begin + 1, F.coalesce(F.get(spans, k)["a"], F.size(lines)) - begin)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), part)), "\n")
+
+    return let(F.split(text, "\n"), between)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
