@@ -34,6 +34,10 @@ Q, WINDOW, RATE, LEAST, BAND = 12, 80, 0.05, 32, 16
 BLOCK_BYTES = 16 << 20
 _TABLE = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 _FILTER_BITS = 22
+#: Pairs of equal q-grams that are held at once; texts with more of them are searched in overlapping stretches.
+PAIRS = 1 << 20
+#: Bytes of a text between the first and the last shared q-gram of a region: a window and the width of a band.
+REACH = WINDOW + BAND
 
 
 def normal(text: str | None) -> bytes:
@@ -102,12 +106,30 @@ class Block:
         text = np.searchsorted(starts, where, side="right") - 1
         inside = where + Q <= starts[text + 1]
         where, found, text = where[inside], found[inside], text[inside]
+        # some runs (of blanks, say) occur at many places of the benchmark: bound the pairs by stretches of the shared
+        # q-grams; a region spans at most REACH bytes of a text, so it lies whole in one of two that overlap by that
+        before = np.append(0, np.cumsum(self.first[found + 1] - self.first[found]))
+        done: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
+        begin = 0
+        while begin < len(where):
+            end = max(begin + 1, int(np.searchsorted(before, before[begin] + PAIRS, side="right")) - 1)
+            if end < len(where):
+                end = max(end, int(np.searchsorted(where, where[begin] + 2 * REACH)))
+            part = slice(begin, end)
+            regions = self._regions(*self._pairs(where[part], found[part], text[part], starts))
+            for row in self._verify(texts, [r for r in regions if r[:2] not in done]):
+                done.setdefault(row[:2], row)
+            if end >= len(where):
+                break
+            begin = max(begin + 1, int(np.searchsorted(where, where[end] - REACH)))
+        return list(done.values())
+
+    def _pairs(self, where, found, text, starts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, place in the text, place in the item) of each pair of equal q-grams."""
         many = self.first[found + 1] - self.first[found]
         entry = np.repeat(self.first[found] - np.cumsum(many) + many, many) + np.arange(many.sum())
         text = np.repeat(text, many)
-        pos = np.repeat(where, many) - starts[text]
-        item, at = self.item[entry], self.at[entry]
-        return self._verify(texts, self._regions(text, item, pos, at))
+        return text, self.item[entry], np.repeat(where, many) - starts[text], self.at[entry]
 
     def _regions(self, text, item, pos, at) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
         """Candidate (text, item, diagonal, [(first, last) of the shared q-grams that meet the bound]) by band."""
@@ -119,6 +141,10 @@ class Block:
             band = (diagonal + shift) // BAND
             order = np.lexsort((at, band, item, text))
             t, i, b, a, d = text[order], item[order], band[order], at[order], diagonal[order]
+            # each q-gram of the item counts once a band, at however many places of the text it stands
+            other = (np.diff(t) != 0) | (np.diff(i) != 0) | (np.diff(b) != 0)
+            once = np.concatenate([[True], other | (np.diff(a) != 0)])
+            t, i, b, a, d = t[once], i[once], b[once], a[once], d[once]
             group = np.cumsum(np.concatenate([[0], (np.diff(t) != 0) | (np.diff(i) != 0) | (np.diff(b) != 0)]))
             lengths = np.array([len(x) for x in self.texts])[i]
             w = np.minimum(WINDOW, lengths)
@@ -134,7 +160,7 @@ class Block:
                 ends = np.append(firsts[1:], len(t))
                 for f, e in zip(firsts.tolist(), ends.tolist(), strict=True):
                     same = slice(f, f + int(np.searchsorted(group[f:e], group[f], side="right")))
-                    hits = hit[(hit >= f) & (hit < same.stop)]
+                    hits = hit[np.searchsorted(hit, f) : np.searchsorted(hit, same.stop)]
                     out.append((int(t[f]), int(i[f]), int(np.median(d[same])), list(zip(a[hits].tolist(), a[last[hits]].tolist(), strict=True))))
         return out
 

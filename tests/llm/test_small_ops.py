@@ -97,6 +97,14 @@ def test_line_dedup(spark):
     assert found[503] == ("z", 39) and found[500] == (None, 0)
 
 
+def test_line_dedup_of_long_documents(spark):
+    """Many separate spans in one long document, which must not take quadratic time."""
+    shared = [f"shared {k} a\nshared {k} b\n\nshared {k} c" for k in range(20_000)]
+    docs = [(1, "\n".join(shared)), (2, "\n".join(f"own {k}\n{x}" for k, x in enumerate(shared))), (3, "\n".join(shared[:2]))]
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {1: (docs[0][1], 0), 2: ("\n".join(f"own {k}" for k in range(20_000)), 80_000), 3: ("", 8)}
+
+
 def test_line_dedup_on_odd_documents(odd, nothing):
     out = L.dedup_lines(odd)
     assert out.columns == [*[c for c in odd.columns if c != "n_removed"], "n_removed"] and out.count() == odd.count()
@@ -161,6 +169,22 @@ def test_filter_never_loses_a_match():
         assert block.search([b"", text, b"short"]), (at, bytes(piece))
 
 
+def test_stretches_find_what_the_whole_finds(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    item = words(31, 60).encode()
+    blanks = b"a" + b" " * 60 + b"b" + b" " * 30 + words(32, 12).encode()
+    block = D.Block([(1, item), (2, blanks), (3, item[200:] + b" end")])
+    texts = [b" " * 5000, words(33, 300).encode() + item[40:160] + b" " * 900 + blanks, b"", words(34, 80).encode() + item]
+    texts.append(bytes(c if rng.random() > 0.01 else 46 for c in item[:200]))
+    whole = {r[:2] for r in block.search(texts)}
+    assert {(1, 0), (1, 1), (3, 0), (3, 2), (4, 0)} <= whole
+    for pairs in (1, 50, 2000):
+        monkeypatch.setattr(D, "PAIRS", pairs)
+        assert {r[:2] for r in block.search(texts)} == whole
+
+
 def test_decontamination_of_tables(spark, sf, odd, nothing):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [D.normal(r["text"]) for r in bench.collect()]
