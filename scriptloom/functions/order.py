@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, bucket: Column, order: list, name: str) -> DataFrame:
-    """Number rows from 0 in the order of (``bucket``, ``order``).
+def ranked(df: DataFrame, bucket: Column, order: list, name: str, within: list[str] | None = None) -> DataFrame:
+    """Number rows from 0 in the order of (``bucket``, ``order``), in each group of ``within`` if given.
 
     Rows are numbered within their bucket, and buckets start after the rows of all
-    earlier ones: the only unpartitioned window runs over one row for each bucket.
+    earlier ones: a window beyond one bucket runs over one row for each bucket only.
     """
+    group = list(within or [])
     keyed = df.withColumn("_bucket", bucket)
-    starts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    out = keyed.withColumn("_inside", inside).join(starts, "_bucket")
-    return out.withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_bucket", "_inside", "_start")
+    counts = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_bucket") if group else Window.orderBy("_bucket")
+    names = [F.col(c).alias(f"_w{k}") for k, c in enumerate([*group, "_bucket"])]
+    starts = counts.select(*names, (F.sum("_n").over(earlier) - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"_w{k}")) for k, c in enumerate([*group, "_bucket"])]
+    out = keyed.withColumn("_inside", inside).join(starts, reduce(Column.__and__, same))
+    return out.select(*df.columns, (F.col("_start") + F.col("_inside")).cast("long").alias(name))
 
 
 def ranked_by(df: DataFrame, column: str, name: str, width: int = 1 << 16) -> DataFrame:

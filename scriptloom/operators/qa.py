@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.order import ranked
 from ..model import Profile, QaRule, QaRules
 
 #: Section titles of the report.
@@ -26,21 +27,32 @@ def missing(tr: Column) -> Column:
     return tr.isNull() | X.blank(tr)
 
 
+#: Rows of a file that one task counts over; longer files are cut, each piece with the rows around it.
+CHUNK = 1 << 16
+
+
 def window_counts(rows: DataFrame, groups: dict[str, tuple[str, ...]], names: list[str], width: int) -> DataFrame:
     """Add ``near_<k>`` for the k-th named group: its speakers among the rows within ``width`` of the row in its file.
 
-    Rows that share file and line use the window of the last of them.
+    Rows that share file and line use the window of the last of them. Files are
+    counted in pieces of ``CHUNK`` rows, and a row within ``width`` of another piece
+    is copied there; only positions and speaker flags move, the texts join the
+    counts of their line.
     """
     if not names:
         return rows
-    around = Window.partitionBy("file").orderBy("line", "seq").rowsBetween(-width, width)
-    line = Window.partitionBy("file", "line").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for k, name in enumerate(names):
-        member = F.col("speaker").isin(*groups[name]) if groups.get(name) else F.lit(False)
-        rows = rows.withColumn(f"near_{k}", F.sum(F.when(member, 1).otherwise(0)).over(around))
-    for k in range(len(names)):
-        rows = rows.withColumn(f"near_{k}", F.last(f"near_{k}").over(line))
-    return rows
+    members = [F.col("speaker").isin(*groups[n]) if groups.get(n) else F.lit(False) for n in names]
+    slim = rows.select("file", "line", "seq", *[F.when(m, 1).otherwise(0).alias(f"_g{k}") for k, m in enumerate(members)])
+    slim = ranked(slim, F.floor(F.col("line") / CHUNK), ["line", "seq"], "_at", within=["file"])
+    piece = lambda at: F.floor(at / CHUNK)
+    pieces = F.sequence(piece(F.greatest(F.col("_at") - width, F.lit(0))), piece(F.col("_at") + width))
+    spread = slim.withColumn("_piece", F.explode(pieces))
+    around = Window.partitionBy("file", "_piece").orderBy("_at").rowsBetween(-width, width)
+    counted = spread.select("file", "line", "_at", "_piece", *[F.sum(f"_g{k}").over(around).alias(f"_c{k}") for k in range(len(names))])
+    counted = counted.filter(F.col("_piece") == piece(F.col("_at")))
+    last = counted.groupBy(F.col("file").alias("_file"), F.col("line").alias("_line")).agg(*[F.max_by(f"_c{k}", "_at").alias(f"near_{k}") for k in range(len(names))])
+    same = F.col("file").eqNullSafe(F.col("_file")) & F.col("line").eqNullSafe(F.col("_line"))
+    return rows.join(last, same).drop("_file", "_line")
 
 
 def rule_holds(rule: QaRule, names: list[str]) -> Column:
@@ -82,15 +94,15 @@ def phrasing(config: QaRules, keep: list[str], ordinal: int) -> list[Column]:
 def issues(entries: DataFrame, progress: DataFrame, config: QaRules | None = None, keep: list[str] | None = None, technical_only: bool = False) -> DataFrame:
     """(category, label, speaker, file, line, text, tr, seq, check_ord): every issue of every entry."""
     config = config or QaRules()
-    rows = with_translations(entries, progress)
     checks = technical()
     if not technical_only:
         near = [r.near for r in config.rules if r.near]
         names = sorted({n for x in near for n in (x.group, *x.over)})
-        rows = window_counts(rows, config.groups, names, config.window)
+        entries = window_counts(entries, config.groups, names, config.window)
         for k, rule in enumerate(config.rules):
             checks.append(_issue(rule_holds(rule, names), rule.category, F.lit(rule.name), 3 + k, rule.dedupe))
         checks += phrasing(config, keep or [], 3 + len(config.rules))
+    rows = with_translations(entries, progress)
     absent = _issue(F.lit(True), 1, F.lit("MISSING"), 0)
     found = F.when(missing(F.col("tr")), F.array(absent)).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
     out = rows.withColumn("i", F.explode(found)).select(

@@ -29,10 +29,8 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def script(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, line, raw): document lines dressed as script statements."""
     lines = doc_lines(spark, sf_dir)
-    from pyspark.sql import Window
-
-    numbered = lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("doc_id", "line")))
-    return numbered.selectExpr("file", "n AS line", "substring(replace(replace(raw, '\"', ''), chr(92), ''), 1, 60) AS t").selectExpr("file", "line", f"{_statement('div')} AS raw")
+    numbered = ranked(lines, F.floor(F.col("doc_id") / 4096), ["doc_id", "line"], "n", within=["file"])
+    return numbered.selectExpr("file", "CAST(n + 1 AS INT) AS line", "substring(replace(replace(raw, '\"', ''), chr(92), ''), 1, 60) AS t").selectExpr("file", "line", f"{_statement('div')} AS raw")
 
 
 def _statement(div: str) -> str:
@@ -55,14 +53,11 @@ def conversation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as entries with markup: file u<id>, two events on a line, kinds by id."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     return (
-        table(spark, sf_dir, "events")
-        .withColumn("n", place)
+        ranked(rows, F.date_trunc("day", "ts"), ["ts", "event_id"], "n", within=["user_id"])
         .selectExpr(
-            "concat(event_type, ' [u', user_id, '] ', props) AS text", "event_type AS speaker", "concat('u', user_id) AS file", "CAST(n div 2 AS INT) AS line",
+            "concat(event_type, ' [u', user_id, '] ', props) AS text", "event_type AS speaker", "concat('u', user_id) AS file", "CAST((n + 1) div 2 AS INT) AS line",
             "CASE event_id % 5 WHEN 0 THEN 'screen' WHEN 1 THEN 'ui' ELSE 'say' END AS kind", "event_id AS seq",
         )
     )

@@ -68,6 +68,24 @@ def test_rows_of_a_line_share_the_last_window(spark):
     assert {r["text"]: r["near_0"] for r in wide.collect()} == {"a": 1, "b": 2, "c": 2, "d": 1, "e": 1}
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 16])
+def test_windows_over_pieces_of_a_file(spark, monkeypatch, chunk):
+    import random
+
+    rng = random.Random(chunk)
+    rows = [(f"t{k}", rng.choice(["aa", "bb", "x", None]), rng.choice(["f", "f", "g", None]), rng.choice([None, *range(40)])) for k in range(160)]
+    expected = {}
+    for file in {f for _, _, f, _ in rows}:
+        here = sorted((k for k, r in enumerate(rows) if r[2] == file), key=lambda k: (rows[k][3] is not None, rows[k][3] or 0, k))
+        last = {rows[k][3]: p for p, k in enumerate(here)}
+        for k in here:
+            p = last[rows[k][3]]
+            expected[k] = tuple(sum(rows[j][1] == g for j in here[max(0, p - 4) : p + 5]) for g in ("aa", "bb"))
+    monkeypatch.setattr(qa, "CHUNK", chunk)
+    out = qa.window_counts(entries(spark, rows), {"ga": ("aa",), "gb": ("bb",)}, ["ga", "gb"], 4)
+    assert {r["seq"]: (r["near_0"], r["near_1"]) for r in out.collect()} == expected
+
+
 def test_report(spark, tmp_path):
     profile = Profile({"game_name": "G", "language_id": "el"})
     e = entries(spark, [("a", "x", "f.rpy", 3), ("b" * 100, "x", "f.rpy", 4)])
