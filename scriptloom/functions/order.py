@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +12,15 @@ def ranked(df: DataFrame, bucket: Column, order: list, name: str, within: list[s
     Rows are numbered within their bucket, and buckets start after the rows of all
     earlier ones: a window beyond one bucket runs over one row for each bucket only.
     """
+    # a struct is never null and equal where its fields are, so rows with null keys are numbered too, and the join
+    # finds its rows partitioned and sorted by the window
     group = list(within or [])
-    keyed = df.withColumn("_bucket", bucket)
-    counts = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*group).orderBy("_bucket") if group else Window.orderBy("_bucket")
-    names = [F.col(c).alias(f"_w{k}") for k, c in enumerate([*group, "_bucket"])]
-    starts = counts.select(*names, (F.sum("_n").over(earlier) - F.col("_n")).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)) - 1
-    same = [F.col(c).eqNullSafe(F.col(f"_w{k}")) for k, c in enumerate([*group, "_bucket"])]
-    out = keyed.withColumn("_inside", inside).join(starts, reduce(Column.__and__, same))
+    keyed = df.withColumn("_bucket", F.struct(*group, bucket.alias("_b")))
+    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*[F.col("_bucket").getField(c) for c in group]).orderBy("_bucket")
+    starts = counts.select("_bucket", (F.sum("_n").over(earlier) - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+    out = keyed.withColumn("_inside", inside).join(starts, "_bucket")
     return out.select(*df.columns, (F.col("_start") + F.col("_inside")).cast("long").alias(name))
 
 
