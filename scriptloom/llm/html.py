@@ -6,7 +6,7 @@ sectioning element puts ``WINDOW`` empty lines between its sides. Text lengths a
 summed over sliding windows of ``WINDOW`` lines: where the sum rises from nothing
 the text surges, where it falls to nothing it dives, and what lies between is a
 region. Regions of the article (or main) element are kept; on pages without one,
-the region with most text is.
+all regions are.
 
 Inside a line character references are decoded and white space (``br`` and cell
 borders too) becomes one space; lines are joined by one line feed. Nothing is
@@ -166,14 +166,9 @@ def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 
 def main_text(page: str) -> str:
     lines = to_lines(page)
-    found = regions([len(x) for x, _ in lines])
-    if not found:
-        return ""
-    chosen = [r for r in found if any(a and x for x, a in lines[r[0] : r[1]])]
-    if not chosen:
-        chosen = [max(found, key=lambda r: (sum(len(x) for x, _ in lines[r[0] : r[1]]), -r[0]))]
     whole = any(a for _, a in lines)
-    return "\n".join(x for a, b in chosen for x, inside in lines[a:b] if x and (inside or not whole))
+    found = regions([len(x) for x, _ in lines])
+    return "\n".join(x for a, b in found for x, inside in lines[a:b] if x and (inside or not whole))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -268,6 +268,19 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div><p>A</p><aside>ad</aside><p>B is longer</p></div>", "A\nB is longer"),
+        ("<body><section><h2>One</h2><p>first part</p></section><section><p>second</p></section><section><p>the third part</p></section></body>", "One\nfirst part\nsecond\nthe third part"),
+        ("<header>Site</header><div><p>before</p><nav><a href=x>Home</a></nav><p>between</p><form>q</form><p>after</p></div><footer>(c)</footer>", "before\nbetween\nafter"),
+        ("<section><p>outside</p></section><article><section><p>x</p></section><aside>ad</aside><section><p>y</p></section></article>", "x\ny"),
+    ],
+)
+def test_pages_of_several_regions(page, text):
+    assert H.main_text(page) == text
+
+
 def brute_article(page):
     import html
 
