@@ -26,11 +26,20 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("file.doc_id", F.col("file.source").alias("file"), "line", "raw")
 
 
+def whole_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, line, raw): whole document lines dressed as script statements."""
+    return _dressed(spark, sf_dir, "replace(replace(raw, '\"', ''), chr(92), '')")
+
+
 def script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, line, raw): document lines dressed as script statements."""
+    """``whole_script`` with the first 60 characters of each document line only, as the given SQL has it."""
+    return _dressed(spark, sf_dir, "substring(replace(replace(raw, '\"', ''), chr(92), ''), 1, 60)")
+
+
+def _dressed(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     lines = doc_lines(spark, sf_dir)
     numbered = ranked(lines, F.floor(F.col("doc_id") / 4096), ["doc_id", "line"], "n", within=["file"])
-    return numbered.selectExpr("file", "CAST(n + 1 AS INT) AS line", "substring(replace(replace(raw, '\"', ''), chr(92), ''), 1, 60) AS t").selectExpr("file", "line", f"{_statement('div')} AS raw")
+    return numbered.selectExpr("file", "CAST(n + 1 AS INT) AS line", f"{text} AS t").selectExpr("file", "line", f"{_statement('div')} AS raw")
 
 
 def _statement(div: str) -> str:

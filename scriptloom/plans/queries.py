@@ -48,6 +48,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def script_query(name: str, sql: str):
+    """Register an operator over whole script lines as ``name``_whole, which has no SQL, and over the cut lines of the given SQL as ``name``."""
+
+    def add(f: Callable[[DataFrame], DataFrame]):
+        query(f"{name}_whole")(lambda spark, sf_dir: f(A.whole_script(spark, sf_dir)))
+        query(name, sql)(lambda spark, sf_dir: f(A.script(spark, sf_dir)))
+        return f
+
+    return add
+
+
 # ---- extraction ------------------------------------------------------------
 
 _LAID = r"""laid AS (
@@ -102,43 +113,43 @@ def lines_scan(spark, sf_dir):
     return A.doc_lines(spark, sf_dir).groupBy("file", "line").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).cast("long").alias("n_chars"))
 
 
-@query("line_layout", with_tables("script", more=_LAID) + "SELECT file, line, CAST(indent AS INT) AS indent, blank, ph AS python_header, pl AS python_line, cm AS comment FROM laid")
-def line_layout(spark, sf_dir):
-    return extract.with_layout(A.script(spark, sf_dir)).select("file", "line", "indent", "blank", "python_header", "python_line", "comment")
+@script_query("line_layout", with_tables("script", more=_LAID) + "SELECT file, line, CAST(indent AS INT) AS indent, blank, ph AS python_header, pl AS python_line, cm AS comment FROM laid")
+def line_layout(lines):
+    return extract.with_layout(lines).select("file", "line", "indent", "blank", "python_header", "python_line", "comment")
 
 
-@query("block_mask_python", with_tables("script", more=_LAID) + "SELECT file, line FROM py")
-def block_mask_python(spark, sf_dir):
-    laid = extract.with_layout(A.script(spark, sf_dir))
+@script_query("block_mask_python", with_tables("script", more=_LAID) + "SELECT file, line FROM py")
+def block_mask_python(lines):
+    laid = extract.with_layout(lines)
     return extract.inside_blocks(laid, F.col("python_header"))
 
 
-@query("block_mask_screen", with_tables("script", more=_SCREENS) + "SELECT file, line, in_python, in_screen, is_header AS screen_header FROM full_lines")
-def block_mask_screen(spark, sf_dir):
-    return extract.masked(A.script(spark, sf_dir), screens=True).select("file", "line", "in_python", "in_screen", "screen_header")
+@script_query("block_mask_screen", with_tables("script", more=_SCREENS) + "SELECT file, line, in_python, in_screen, is_header AS screen_header FROM full_lines")
+def block_mask_screen(lines):
+    return extract.masked(lines, screens=True).select("file", "line", "in_python", "in_screen", "screen_header")
 
 
-@query("parse_statements", with_tables("script", more=_DEFAULT) + "SELECT text, speaker, file, line, kind FROM entries")
-def parse_statements(spark, sf_dir):
-    return extract.occurrences(A.script(spark, sf_dir)).drop("ord")
+@script_query("parse_statements", with_tables("script", more=_DEFAULT) + "SELECT text, speaker, file, line, kind FROM entries")
+def parse_statements(lines):
+    return extract.occurrences(lines).drop("ord")
 
 
-@query("parse_screens", with_tables("script", more=_FULL) + "SELECT text, speaker, file, line, kind FROM entries")
-def parse_screens(spark, sf_dir):
-    return extract.occurrences(A.script(spark, sf_dir), screens=True).drop("ord")
+@script_query("parse_screens", with_tables("script", more=_FULL) + "SELECT text, speaker, file, line, kind FROM entries")
+def parse_screens(lines):
+    return extract.occurrences(lines, screens=True).drop("ord")
 
 
 _UNIQUE = "SELECT text, speaker, file, line, kind, seq FROM (SELECT *, row_number() OVER (ORDER BY file, line, ord) - 1 AS seq FROM entries) QUALIFY row_number() OVER (PARTITION BY text ORDER BY seq) = 1"
 
 
-@query("extract_unique", with_tables("script", more=_FULL) + _UNIQUE)
-def extract_unique(spark, sf_dir):
-    return extract.extract(A.script(spark, sf_dir), screens=True)
+@script_query("extract_unique", with_tables("script", more=_FULL) + _UNIQUE)
+def extract_unique(lines):
+    return extract.extract(lines, screens=True)
 
 
-@query("extract_all", with_tables("script", more=_DEFAULT) + "SELECT text, speaker, file, line, kind, row_number() OVER (ORDER BY file, line, ord) - 1 AS seq FROM entries")
-def extract_all(spark, sf_dir):
-    return extract.extract(A.script(spark, sf_dir), dedupe=False)
+@script_query("extract_all", with_tables("script", more=_DEFAULT) + "SELECT text, speaker, file, line, kind, row_number() OVER (ORDER BY file, line, ord) - 1 AS seq FROM entries")
+def extract_all(lines):
+    return extract.extract(lines, dedupe=False)
 
 
 @query(
@@ -150,18 +161,17 @@ def first_occurrence(spark, sf_dir):
     return extract.first_occurrences(lines).select("text", "file", F.col("seq.doc_id").alias("doc_id"))
 
 
-@query(
+@script_query(
     "per_file_summary",
     with_tables("script", more=_DEFAULT) + "SELECT f.file, CAST(count(e.text) AS BIGINT) AS n_strings FROM (SELECT DISTINCT file FROM script) f LEFT JOIN entries e ON e.file = f.file GROUP BY f.file",
 )
-def per_file_summary(spark, sf_dir):
-    lines = A.script(spark, sf_dir)
+def per_file_summary(lines):
     return extract.per_file(lines, extract.occurrences(lines))
 
 
-@query("extract_totals", with_tables("script", more=_DEFAULT) + "SELECT CAST(count(*) AS BIGINT) AS n_total, CAST(count(DISTINCT text) AS BIGINT) AS n_unique FROM entries")
-def extract_totals(spark, sf_dir):
-    return extract.totals(extract.occurrences(A.script(spark, sf_dir)))
+@script_query("extract_totals", with_tables("script", more=_DEFAULT) + "SELECT CAST(count(*) AS BIGINT) AS n_total, CAST(count(DISTINCT text) AS BIGINT) AS n_unique FROM entries")
+def extract_totals(lines):
+    return extract.totals(extract.occurrences(lines))
 
 
 @query("speaker_list", with_tables("conv") + "SELECT DISTINCT speaker FROM conv")
@@ -169,9 +179,9 @@ def speaker_list(spark, sf_dir):
     return extract.speakers(A.conversation_entries(spark, sf_dir))
 
 
-@query("subsystem_literals", with_tables("script") + "SELECT file, line, unnest(regexp_extract_all(raw, '\"([^\"]{4,})\"', 1)) AS text FROM script")
-def subsystem_literals(spark, sf_dir):
-    return extract.subsystem_literals(A.script(spark, sf_dir))
+@script_query("subsystem_literals", with_tables("script") + "SELECT file, line, unnest(regexp_extract_all(raw, '\"([^\"]{4,})\"', 1)) AS text FROM script")
+def subsystem_literals(lines):
+    return extract.subsystem_literals(lines)
 
 
 # ---- translation pass ------------------------------------------------------
