@@ -5,7 +5,8 @@ word are passed over. Each run of three consecutive lines of a document is hashe
 (64 bits). Of the windows with equal content anywhere in the corpus, the first by
 (doc_id, line) stays; every line that a later one covers is removed, overlapping
 windows merging. Each removed line therefore has an equal line further ahead.
-Documents with fewer than three lines have no window and stay as they are.
+Documents with fewer than three lines have no window and stay as they are; so do
+repeated passages that cover fewer than three whole lines, however long.
 
 Aggregates and joins run on (hash, doc_id, line) only: the first window of each
 hash comes from a partial aggregation, and hashes that occur once leave before
