@@ -3,13 +3,14 @@
 Signatures. A document's set is its distinct word shingles (64-bit hashes). Of
 ``SKETCHES`` small collections of two minhashes each, every pair forms a table key:
 26 minhashes serve 78 tables. Two sets of similarity 0.8 share no key with
-probability 4e-5, of 0.9 with 7e-9.
+probability 4.1e-5, of 0.9 with 2.4e-8.
 
 Candidates. Documents with equal sets (128-bit fingerprint) are one representative.
 Each key's smallest and largest member in a random order are its centres; members
 pair with them (a partial aggregation and a join, no pairs within a group). Pairs
 whose signatures agree in fewer than ``AGREE`` of 26 places are dropped; a pair of
-similarity 0.8 is, once in 300,000. Components of what is left are groups.
+similarity 0.8 that shares a key is, with probability 2e-8. Components of what is
+left are groups.
 
 Confirmation. Each group's whole texts come together (in blocks of at most
 ``BLOCK_SHINGLES`` shingles; larger groups as pairs of blocks) and exact set
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, materialise, mix64, partitions, seeds64, shared_dir
 from .components import components
 
-SKETCHES, EACH, AGREE = 13, 2, 12
+SKETCHES, EACH, AGREE = 13, 2, 9
 BLOCK_SHINGLES, MEMBER_WEIGHT = 2_000_000, 400
 PERCENT = 80
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))

@@ -134,3 +134,16 @@ def test_pipeline_equals_its_parts(spark, sf):
     assert not found & whole_item and found <= clean
     extra = clean - found
     assert all(any(after[d].lower().encode()[k : k + 40] in i for i in items for k in range(0, len(after[d]), 7)) for d in extra) or not extra
+
+
+def test_candidate_loss_at_the_threshold():
+    """Pairs of similarity 0.8 that share a key (two sketches whole) are dropped by the signature filter less than once in 10^7."""
+    from math import comb
+
+    s, dropped = 0.8, 0.0
+    for whole in range(2, M.SKETCHES + 1):
+        for half in range(M.SKETCHES - whole + 1):
+            if 2 * whole + half < M.AGREE:
+                rest = M.SKETCHES - whole - half
+                dropped += comb(M.SKETCHES, whole) * comb(M.SKETCHES - whole, half) * s ** (2 * whole) * (2 * s * (1 - s)) ** half * (1 - s) ** (2 * rest)
+    assert dropped < 1e-7
