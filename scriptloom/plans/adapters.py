@@ -75,12 +75,13 @@ def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(text, tr, pos) of the texts of events: by first id some are missing, blank, cut short or without markup."""
     first = event_entries(spark, sf_dir).groupBy("text").agg(F.min("seq").alias("pos"), F.min("speaker").alias("w"))
-    return first.filter("pos % 11 <> 0").selectExpr("text", f"{_translated()} AS tr", "pos")
+    return first.filter("pos % 11 <> 0").selectExpr("text", f"{_translated('substring(text, length(w) + 1)')} AS tr", "pos")
 
 
-def _translated() -> str:
-    return """CASE pos % 11 WHEN 1 THEN '  ' WHEN 2 THEN substring(text, 1, 2)
-      WHEN 3 THEN upper(w) ELSE concat(upper(w), substring(text, length(w) + 1, 1000)) END"""
+def _translated(rest: str) -> str:
+    """``rest`` is the text behind its first word; the given SQL takes 1,000 characters of it, Spark all."""
+    return f"""CASE pos % 11 WHEN 1 THEN '  ' WHEN 2 THEN substring(text, 1, 2)
+      WHEN 3 THEN upper(w) ELSE concat(upper(w), {rest}) END"""
 
 
 def conversation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,7 @@ SQL = {
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) // 2 AS INT) AS line,
          CASE event_id % 5 WHEN 0 THEN 'screen' WHEN 1 THEN 'ui' ELSE 'say' END AS kind, event_id AS seq FROM events)""",
     "evp": f"""evp AS (
-  SELECT text, {_translated()} AS tr, pos FROM (SELECT text, min(seq) AS pos, min(speaker) AS w FROM ev GROUP BY text) WHERE pos % 11 <> 0)""",
+  SELECT text, {_translated("substring(text, length(w) + 1, 1000)")} AS tr, pos FROM (SELECT text, min(seq) AS pos, min(speaker) AS w FROM ev GROUP BY text) WHERE pos % 11 <> 0)""",
     "convp": "convp AS (SELECT text, concat('» ', text) AS tr, pos FROM (SELECT text, min(seq) AS pos FROM conv GROUP BY text) WHERE pos % 3 <> 0)",
 }
 NEEDS = {"script": ("doc_lines",), "evp": ("ev",), "convp": ("conv",)}

@@ -1,4 +1,4 @@
-"""The script queries over whole lines, against brute force."""
+"""The script queries over whole lines, against brute force, and whole made-up translations."""
 
 import random
 import re
@@ -110,3 +110,11 @@ def test_whole_lines_equal_brute_force(spark, given):
     assert got("per_file_summary") == [(f, sum(e[2] == f for e in plain)) for f in sorted({r[0] for r in rows})]
     assert got("extract_totals") == [(len(plain), len({e[0] for e in plain}))]
     assert got("subsystem_literals") == sorted((f, n, t) for f, n, raw in rows for t in re.findall(r'"([^"]{4,})"', raw))
+
+
+def test_translations_are_whole(spark, tmp_path):
+    from scriptloom.plans import adapters
+
+    props = "x" * 3000 + "[end]"
+    spark.sql(f"SELECT 15L AS event_id, timestamp'2024-01-01' AS ts, 1L AS user_id, 'click' AS event_type, '{props}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in adapters.event_progress(spark, str(tmp_path)).collect()] == [(f"click [u1] {props}", f"CLICK [u1] {props}", 15)]
