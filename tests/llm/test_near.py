@@ -147,3 +147,10 @@ def test_candidate_loss_at_the_threshold():
                 rest = M.SKETCHES - whole - half
                 dropped += comb(M.SKETCHES, whole) * comb(M.SKETCHES - whole, half) * s ** (2 * whole) * (2 * s * (1 - s)) ** half * (1 - s) ** (2 * rest)
     assert dropped < 1e-7
+
+
+def test_keep_one_of_repeated_ids(spark):
+    a, b, c = (words(k, 80, 5000) for k in (21, 22, 23))
+    rows = [(1, a), (5, a + " tail"), (5, b), (6, b), (7, c), (7, c), (8, c.upper()), (9, None), (9, None), (None, a)]
+    found = sorted(((r["doc_id"] or 0, r["text"] or "") for r in M.keep_one(frame(spark, rows), 5).collect()))
+    assert found == sorted([(1, a), (5, b), (7, c), (9, ""), (0, a)])
