@@ -1,21 +1,33 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element; lines of boilerplate
-(by element, class or id, or made of links) count as empty, and a border of a
-sectioning element puts ``WINDOW`` empty lines between its sides. Text lengths are
-summed over sliding windows of ``WINDOW`` lines: where the sum rises from nothing
-the text surges, where it falls to nothing it dives, and what lies between is a
-region. Regions of the article (or main) element are kept; on pages without one,
-all regions are.
+Markup is stripped into lines, one for each block element. A line's weight is its
+length, or 0 where more than half of it is link text. Weights are summed over
+sliding windows of ``WINDOW`` lines; one container border between two lines counts
+as an empty line, more as ``WINDOW``, so that the sums fall between separate parts
+of a page. The text surges where a sum rises from nothing and dives where it falls
+to nothing; what lies between is a region. The page's own distribution sets the threshold: a region counts where it
+holds a window of at least 1 / ``SHARE`` of the page's largest one.
+
+Tags and names only take away what cannot be text: ``nav footer aside dialog menu
+button``, a ``header`` outside an article, scripts and the like; and containers one
+of whose class, id or role tokens says in all of its parts that it is boilerplate
+(``cookie-notice``, not ``share-price-table``). Forms and containers with a weak
+name (``header``, ``search``, ``widget`` ..) stay where they hold a line at least half as
+long as the page's longest; all named ones stay where they hold the ``h1``.
+
+Where an article (or else main) element holds a counting window, all of its lines
+are the text. Elsewhere it is the counting regions, with what joins them: any line
+between two of them, a heading's region before them, a short region of paragraphs
+whose container is like theirs, and linked paragraphs beside their lines.
 
 Inside a line character references are decoded and white space (``br`` and cell
 borders too) becomes one space; lines are joined by one line feed. Nothing is
-capped.
+capped. Time is linear in the page's length.
 
 Defined results: null or empty html, and pages without a region, give the empty
 text; cut-off pages are read as far as they go (an unfinished tag is dropped);
-repeated rows are read one by one; extra columns are ignored; an empty table gives
-no rows.
+repeated rows are read one by one; null ids and urls are carried; extra columns,
+whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,42 +40,84 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, texts_of
 
-WINDOW = 3
+WINDOW, SHARE = 3, 8
 _TAG = re.compile(r"<(?:!--(?s:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+|[^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))")
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SECTION = frozenset("article main nav header footer aside form body section".split())
-BLOCK = SECTION | frozenset("address blockquote caption center dd details dialog div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 head hr html legend li menu ol option p pre summary table tbody tfoot thead tr ul".split())
-CONTAINER = BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 hr li dt dd tr option".split())
-BOILERPLATE = frozenset("nav footer aside form header menu dialog button".split())
+BLOCK = frozenset(
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol "
+    "option p pre section summary table tbody tfoot thead tr ul".split()
+)
+CONTAINER = BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 hr li dt dd tr option caption figcaption legend summary".split())
+CELL = frozenset(("td", "th"))
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Parts of class, id and role values that mark boilerplate.
-MARKS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer form gdpr header "
-    "masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted promotion related replies reply search share sharing sidebar "
-    "signup social sponsor sponsored subscribe subscription taboola toolbar widget".split()
+NEVER_NAMED = frozenset("html body article main h1".split())
+STRIPPED = frozenset("nav footer aside dialog menu button".split())
+#: Words that name boilerplate. A token of a class, id or role counts where all of its words are here or in PLACES.
+STRONG = frozenset(
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus gdpr modal nav navbar navigation "
+    "newsletter outbrain pager pagination popup promo promoted promotion replies share sharing sidebar signup social sponsor sponsored subscribe subscription taboola".split()
+)
+WEAK = frozenset("footer form header masthead menu notice notices related reply search toolbar widget".split())
+PLACES = frozenset(
+    "area bar block bottom box button buttons container content form global icons inner item items left link links list main page panel post posts primary right secondary section site slot "
+    "sticky stories text top unit user wrap wrapper".split()
 )
 _PART = re.compile(r"[^a-z0-9]+")
-KEPT_ALWAYS = frozenset("html body article main h1".split())
+_KEEP, _STRIP, _STRONG, _WEAK, _OWN_HEADER = range(5)
+
+
+def _names(attributes: str) -> list[str]:
+    return [t for m in _NAMES.finditer(attributes) for t in (m[2] or m[3] or m[4] or "").lower().split()]
+
+
+def named(attributes: str) -> int:
+    """Whether a name among the attributes is one of boilerplate, and how strong."""
+    out = _KEEP
+    for token in _names(attributes):
+        parts = [p for p in _PART.split(token) if p]
+        if parts and all(p in STRONG or p in WEAK or p in PLACES for p in parts):
+            if any(p in STRONG for p in parts):
+                return _STRONG
+            if any(p in WEAK for p in parts):
+                out = _WEAK
+    return out
+
 
+class _Node:
+    """A container of the page, or another element with a name of boilerplate."""
 
-def _marked(attributes: str) -> bool:
-    return any(p in MARKS for m in _NAMES.finditer(attributes) for p in _PART.split((m[1] or m[2] or m[3] or "").lower()))
+    __slots__ = ("parent", "depth", "tag", "look", "kind", "level", "title", "longest", "gone", "own_header")
 
+    def __init__(self, parent: _Node | None, tag: str, kind: int, look: str = ""):
+        self.parent, self.tag, self.kind, self.look = parent, tag, kind, look
+        self.depth = parent.depth + 1 if parent else 0
+        self.level = max(parent.level if parent else 0, {"article": 2, "main": 1}.get(tag, 0))
+        self.title, self.longest, self.gone, self.own_header = False, 0, False, False
 
-class _Lines:
-    """Collects lines as (text, in article)."""
+
+class _Line:
+    __slots__ = ("text", "weight", "node", "block")
+
+    def __init__(self, text: str, weight: int, node: _Node, block: str):
+        self.text, self.weight, self.node, self.block = text, weight, node, block
+
+
+class _Page:
+    """Collects lines and the containers they lie in, in page order."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, bool]] = []
+        self.nodes = [_Node(None, "", _KEEP)]
+        self.stack = [self.nodes[0]]
+        self.lines: list[_Line] = []
         self.parts: list[str] = []
-        self.linked = 0
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
-        self.link = 0
-        self.heading = False
+        self.linked = self.link = 0
+        self.block = ""
 
     def text(self, raw: str) -> None:
+        if self.stack[-1].tag == "button":
+            return
         value = entities.unescape(raw) if "&" in raw else raw
         self.parts.append(value)
         if self.link:
@@ -74,55 +128,49 @@ class _Lines:
             return
         line = " ".join("".join(self.parts).split())
         linked, self.parts, self.linked = self.linked, [], 0
-        if not line:
-            return
-        boilerplate = any(b for _, b, _ in self.stack)
-        article = any(a for _, _, a in self.stack)
-        if boilerplate and article and self.heading and all(t == "header" for t, b, _ in self.stack if b):
-            boilerplate = False
-        if not article and 2 * linked > len(line):
-            boilerplate = True
-        self.lines.append(("" if boilerplate else line, article))
-
-    def gap(self) -> None:
-        self.lines.extend([("", False)] * WINDOW)
+        if line:
+            self.lines.append(_Line(line, 0 if 2 * linked > len(line) else len(line), self.stack[-1], self.block))
 
     def opened(self, tag: str, attributes: str) -> None:
-        if tag in BLOCK:
+        kind = named(attributes) if attributes and (tag in BLOCK or tag in CELL) and tag not in NEVER_NAMED else _KEEP
+        if tag in BLOCK or kind:
             self.flush()
-            while self.stack and self.stack[-1][0] == "p":
+            self.block = tag
+            while len(self.stack) > 1 and (self.stack[-1].tag == "p" or (tag not in CONTAINER and self.stack[-1].tag == tag)):
                 self.stack.pop()
-        elif tag in ("br", "td", "th"):
+        elif tag == "br" or tag in CELL:
             self.parts.append(" ")
-        if tag in SECTION:
-            self.gap()
         if tag in VOID:
             return
-        boilerplate = tag in BOILERPLATE or (tag not in KEPT_ALWAYS and bool(attributes) and _marked(attributes))
-        if tag in CONTAINER or boilerplate:
-            self.stack.append((tag, boilerplate, tag in ("article", "main")))
+        if tag in STRIPPED:
+            kind = _STRIP
+        elif tag == "header":
+            kind = _OWN_HEADER if self.stack[-1].level else _STRIP
+        elif tag == "form":
+            kind = max(kind, _WEAK)
+        if tag in CONTAINER or kind:
+            self.nodes.append(_Node(self.stack[-1], tag, kind, f"{tag} {' '.join(_names(attributes))}" if attributes else tag))
+            self.stack.append(self.nodes[-1])
         if tag == "a":
             self.link += 1
-        self.heading = self.heading or tag in HEADING
+        if tag == "h1":
+            self.stack[-1].title = True
 
     def closed(self, tag: str) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK or (tag in CELL and self.stack[-1].tag == tag):
             self.flush()
-        if tag in HEADING:
-            self.heading = False
+            self.block = ""
         if tag == "a":
             self.link = max(0, self.link - 1)
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].tag == tag:
                 del self.stack[k:]
                 break
-        if tag in SECTION:
-            self.gap()
 
 
-def to_lines(page: str) -> list[tuple[str, bool]]:
-    """(text, in article) of each line; boilerplate lines and borders are empty."""
-    out, at, n = _Lines(), 0, len(page)
+def read(page: str) -> _Page:
+    """All lines of a page, without scripts and the like."""
+    out, at, n = _Page(), 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -143,15 +191,45 @@ def to_lines(page: str) -> list[tuple[str, bool]]:
         else:
             out.opened(tag, m[3])
     out.flush()
-    return out.lines
+    return out
+
+
+def text_lines(page: _Page) -> list[_Line]:
+    """The lines outside boilerplate."""
+    for line in page.lines:
+        line.node.longest = max(line.node.longest, len(line.text))
+    for node in reversed(page.nodes[1:]):
+        node.parent.longest = max(node.parent.longest, node.longest)
+        node.parent.title = node.parent.title or node.title
+    # what is stripped does not tell how long this page's text is
+    longest = 0
+    for node in page.nodes[1:]:
+        node.gone = node.parent.gone or node.kind == _STRIP or (node.kind == _STRONG and not node.title)
+    for line in page.lines:
+        if not line.node.gone:
+            longest = max(longest, len(line.text))
+    for node in page.nodes[1:]:
+        short = node.kind == _WEAK and not node.title and 2 * node.longest < longest
+        node.gone = node.gone or node.parent.gone or short
+        node.own_header = node.parent.own_header or node.kind == _OWN_HEADER
+    return [x for x in page.lines if not x.node.gone and (not x.node.own_header or x.block == "p" or x.block in HEADING)]
+
+
+def borders(a: _Node, b: _Node) -> int:
+    """Container borders between two places: to the nearest common container and down again."""
+    n = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        n += 1
+    return n
 
 
 def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     """Half-open line ranges between surge and dive points of the windowed text lengths."""
-    sums, total = [], 0
-    for k, x in enumerate(lengths):
-        total += x - (lengths[k - window] if k >= window else 0)
-        sums.append(total)  # of the window that ends at line k
+    sums = windowed(lengths, window)
     out, begin = [], None
     for k, s in enumerate(sums):
         if s and begin is None:
@@ -164,11 +242,71 @@ def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
+def windowed(lengths: list[int], window: int = WINDOW) -> list[int]:
+    """Sum of the window that ends at each line."""
+    out, total = [], 0
+    for k, x in enumerate(lengths):
+        total += x - (lengths[k - window] if k >= window else 0)
+        out.append(total)
+    return out
+
+
+def spaced(lines: list[_Line]) -> list[_Line | None]:
+    """The lines with empty ones (None) where borders are crossed."""
+    out: list[_Line | None] = []
+    for k, line in enumerate(lines):
+        n = borders(lines[k - 1].node, line.node) if k else 0
+        out += [None] * (n if n < 2 else WINDOW)
+        out.append(line)
+    return out
+
+
+def largest(lines: list[_Line]) -> int:
+    return max(windowed([x.weight if x else 0 for x in spaced(lines)]), default=0)
+
+
+def _joined(rows: list[_Line | None], found: list[tuple[int, int]], counts: list[bool]) -> list[_Line]:
+    """Lines of the counting regions and of what joins them."""
+    first, last = counts.index(True), len(counts) - 1 - counts[::-1].index(True)
+    begin, end = found[first][0], found[last][1]
+
+    def lines(k: int) -> list[_Line]:
+        return [x for x in rows[slice(*found[k])] if x]
+
+    def alike(k: int, edge: _Line) -> bool:
+        some = lines(k)
+        same = all(x.node.look == edge.node.look and borders(x.node, edge.node) <= 2 for x in some)
+        return same and all(x.block == "p" or x.block in HEADING for x in some)
+
+    while first > 0 and (alike(first - 1, rows[begin]) or all(x.block in HEADING for x in lines(first - 1))):
+        first, begin = first - 1, found[first - 1][0]
+    while last + 1 < len(found) and alike(last + 1, rows[end - 1]):
+        last, end = last + 1, found[last + 1][1]
+    # linked paragraphs beside the first and the last line
+    beside = lambda x, edge: x is not None and x.node is edge.node and x.block == "p"
+    while begin > 0 and beside(rows[begin - 1], rows[begin]):
+        begin -= 1
+    while end < len(rows) and beside(rows[end], rows[end - 1]):
+        end += 1
+    return [x for x in rows[begin:end] if x]
+
+
 def main_text(page: str) -> str:
-    lines = to_lines(page)
-    whole = any(a for _, a in lines)
-    found = regions([len(x) for x, _ in lines])
-    return "\n".join(x for a, b in found for x, inside in lines[a:b] if x and (inside or not whole))
+    lines = text_lines(read(page))
+    if not any(x.weight for x in lines):
+        for x in lines:  # all paragraphs are links: they are the text
+            x.weight = len(x.text) if x.block == "p" else 0
+    rows = spaced(lines)
+    weights = [x.weight if x else 0 for x in rows]
+    sums = windowed(weights)
+    least = max(1, -(-max(sums, default=0) // SHARE))
+    for level in (2, 1):
+        inside = [x for x in lines if x.node.level >= level]
+        if inside and largest(inside) >= least:
+            return "\n".join(x.text for x in inside)
+    found = regions(weights)
+    counts = [max(sums[a:b], default=0) >= least for a, b in found]
+    return "\n".join(x.text for x in _joined(rows, found, counts)) if any(counts) else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

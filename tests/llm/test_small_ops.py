@@ -281,6 +281,63 @@ def test_pages_of_several_regions(page, text):
     assert H.main_text(page) == text
 
 
+_LONG = "a long paragraph of running text " * 8
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div><section><p>first of two</p></section><section><p>the second</p></section></div>", "first of two\nthe second"),
+        ("<p>before the box</p><aside>box</aside><p>behind it</p>", "before the box\nbehind it"),
+        ("<body><form action=x><input><div><h1>T</h1><p>All of this page is in a form.</p><p>More.</p></div></form></body>", "T\nAll of this page is in a form.\nMore."),
+        ('<article><div class="article-header"><h1>Title</h1><p>Lead.</p></div><p>Body.</p></article>', "Title\nLead.\nBody."),
+        ('<article><p>Body.</p><div class="share-price-table"><p>1 2 3</p></div><div id="related-work"><p>Others did it.</p></div></article>', "Body.\n1 2 3\nOthers did it."),
+        ("<div><p>Text.</p><p><a href=x>mostly a link here</a> x</p></div>", "Text.\nmostly a link here x"),
+        ("<div><p><a href=x>mostly a link here</a> x</p></div>", "mostly a link here x"),
+        ("<table><tr><td class=sidebar>Home</td><td><p>Cell text.</p></td></tr></table>", "Cell text."),
+        ("<ul><li class=ad>Buy<li>kept</ul>", "kept"),
+        (f'<article><h2>Teaser</h2></article><div class="x1"><p>{_LONG}</p></div><article><h2>Teaser</h2></article>', f"Teaser\n{_LONG.strip()}"),
+    ],
+)
+def test_no_text_is_lost(page, text):
+    assert H.main_text(page) == text
+
+
+def unmarked_page(rng):
+    """A page without telling tags or names, and its text: only lengths and links tell the article from what is around it."""
+    name = lambda: f'class="{rng.choice("kqvx")}{rng.randrange(1000)}"'
+    said = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n)) + "."
+    links = lambda n: f"<ul {name()}>" + "".join(f'<li><a href="/{k}">{said(rng.randrange(1, 4))}</a></li>' for k in range(n)) + "</ul>"
+    blocks = [said(rng.randrange(40, 160))] + [said(rng.choice((1, 3, 20, 60, 120))) for _ in range(rng.randrange(1, 12))] + [said(rng.randrange(30, 90))]
+    body, title = name(), said(6)
+    kind = rng.randrange(3)
+    if kind == 0:  # paragraphs in one container
+        inner = f"<div {body}><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in blocks) + "</div>"
+    elif kind == 1:  # every paragraph in a section of its own
+        inner = f"<div><h1>{title}</h1></div>" + "".join(f"<div {body}><p>{x}</p></div>" for x in blocks)
+    else:  # bare text, with an unrelated box of links in the middle of the markup
+        inner = f"<div {body}><h2>{title}</h2>{blocks[0]}<p>" + "<p>".join(blocks[1:]) + "</div>"
+    around = f"<div {name()}>{said(2)}</div><div {name()}>{links(rng.randrange(3, 9))}</div>"
+    after = f"<div {name()}>{links(5)}</div><div {name()}>{said(4)}</div>"
+    return f"<html><body {name()}>{around}<div {name()}>{inner}</div>{after}</body></html>", "\n".join([title, *blocks])
+
+
+def test_surge_and_dive_find_unmarked_articles():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(300):
+        page, text = unmarked_page(rng)
+        assert H.main_text(page) == text, page
+
+
+def test_threshold_of_the_page():
+    """A short block counts on a page of short blocks, and does not beside a long one."""
+    short = "<div class=a>eleven char</div>"
+    assert H.main_text(short + "<div class=b>another one here</div>") == "eleven char\nanother one here"
+    assert H.main_text(short + f"<div class=b>{_LONG}</div>") == _LONG.strip()
+
+
 def brute_article(page):
     import html
 
