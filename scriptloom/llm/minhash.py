@@ -3,29 +3,36 @@
 Signatures. A document's set is its distinct word shingles (64-bit hashes). Of
 ``SKETCHES`` small collections of two minhashes each, every pair forms a table key:
 26 minhashes serve 78 tables. Two sets of similarity 0.8 share no key with
-probability 4.1e-5, of 0.9 with 2.4e-8.
+probability 4.1e-5, of 0.9 with 2.4e-8; nothing else below loses more than 3e-8.
 
-Candidates. Documents with equal sets (128-bit fingerprint) are one representative.
-Each key's smallest and largest member in a random order are its centres; members
-pair with them (a partial aggregation and a join, no pairs within a group). Pairs
-whose signatures agree in fewer than ``AGREE`` of 26 places are dropped; a pair of
-similarity 0.8 that shares a key is, with probability 2e-8. Components of what is
-left are groups.
+Representatives. Documents with equal sets (128-bit fingerprint) are one.
 
-Confirmation. Each group's whole texts come together (in blocks of at most
-``BLOCK_SHINGLES`` shingles; larger groups as pairs of blocks) and exact set
-similarity links its members: 100 * intersection >= 80 * union. All pairs are
-settled that could join two components. The links' components are the result.
+Centres. Each key's first and last member in a random order are its centres; members
+pair with them (a partial aggregation and a join, no pairs within a key). Pairs that
+agree in ``AGREE`` of 26 minhashes are confirmed one by one on their full sets: 100 *
+intersection >= 80 * union. True links alone make components.
+
+What is left are keys whose members are in several components. Members outside a
+key's largest component meet another random centre of it; then, for keys that still
+hold several, the members outside the largest are compared with all others of the
+key, unless they are in one component already. That is done by blocks of bounded
+size and like set sizes (``BLOCK`` members, more for keys with over 64 blocks), each
+two of them a task of its own, on sketches of ``LONG`` bytes; each pair in the first
+key it shares only. Pairs whose sketches agree in ``LONG_AGREE`` places are confirmed
+like the others. So every pair that shares a key is in one component at the end, or
+was compared.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z. Fewer words than the shingle
 size: the whole sequence is the one shingle. Null or wordless texts have the empty
 set and link with nothing. Repeated rows and null ids are kept: null ids take part
-under no id (component null, kept). Extra columns are ignored or carried; an
-empty table gives no rows.
+under no id (component null, kept); different texts under one id link what any of
+them links. Extra columns are ignored or carried, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +44,10 @@ from .common import map_rows, materialise, mix64, partitions, seeds64, shared_di
 from .components import components
 
 SKETCHES, EACH, AGREE = 13, 2, 9
-BLOCK_SHINGLES, MEMBER_WEIGHT = 2_000_000, 400
+PAIRS = [(i, j) for i in range(SKETCHES) for j in range(i + 1, SKETCHES)]
+LONG, LONG_AGREE = 512, 360
+#: Members of a block: the least, and the most where a key has more than ``BLOCKS`` of the least.
+BLOCK, MOST, BLOCKS = 128, 2048, 64
 PERCENT = 80
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACES = np.zeros(256, bool)
@@ -143,113 +153,213 @@ def _shuffled(column, back: bool = False):
     return column
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct (a, b) of representatives that share a table key with its centre and whose signatures agree enough."""
-    pairs = [(i, j) for i in range(SKETCHES) for j in range(i + 1, SKETCHES)]
+def meetings(reps: DataFrame) -> DataFrame:
+    """(key, t: number of its table, p: member in random order, lo, hi: centres, n: members) of keys with several members."""
 
     def sketch(i: int):
         return [F.get("sig", F.lit(EACH * i + k)) for k in range(EACH)]
 
-    keys = F.array(*[F.xxhash64(F.lit(i * SKETCHES + j), *sketch(i), *sketch(j)) for i, j in pairs])
-    rows = reps.select(F.explode(keys).alias("key"), _shuffled(F.col("rep")).alias("p"))
-    centres = rows.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).filter("lo <> hi")
-    met = rows.join(centres, "key").select("p", F.explode(F.array("lo", "hi")).alias("c")).filter("p <> c")
-    met = met.select(F.least("p", "c").alias("p"), F.greatest("p", "c").alias("c")).distinct()
-    met = met.select(_shuffled(F.col("p"), True).alias("a"), _shuffled(F.col("c"), True).alias("b"))
-    left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    keys = F.array(*[F.xxhash64(F.lit(i * SKETCHES + j), *sketch(i), *sketch(j)) for i, j in PAIRS])
+    rows = reps.select(F.posexplode(keys).alias("t", "key"), _shuffled(F.col("rep")).alias("p"))
+    centres = rows.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    return rows.join(centres, "key").select("key", F.col("t").cast("byte").alias("t"), "p", "lo", "hi", "n")
+
+
+def centre_pairs(met: DataFrame) -> DataFrame:
+    """Distinct (a, b) of members and the centres of their keys."""
+    pairs = met.select("p", F.explode(F.array("lo", "hi")).alias("c")).filter("p <> c")
+    pairs = pairs.select(F.least("p", "c").alias("p"), F.greatest("p", "c").alias("c")).distinct()
+    return pairs.select(_shuffled(F.col("p"), True).alias("a"), _shuffled(F.col("c"), True).alias("b"))
+
+
+def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose minhashes and set sizes allow a link."""
+    left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
+    right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return met.join(left, "a").join(right, "b").filter(agree >= AGREE).select("a", "b")
+    sizes = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    return pairs.join(left, "a").join(right, "b").filter(sizes & (agree >= AGREE)).select("a", "b").distinct()
+
+
+def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids (node), each text of an id once."""
+    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return rows.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("doc_id", "text")
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, set) of the given nodes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(_bytes(batch.column(1)), size)
+        cuts = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+        values = pa.array(np.concatenate(sets).view(np.int64)) if sets else pa.array([], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, values)], names=["node", "set"])
+
+    return map_rows(_wanted(docs, nodes), run, "node long, set array<long>")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, size: int, folder: str) -> DataFrame:
+    """The pairs (a, b) that are links by exact set similarity."""
+    pairs = materialise(pairs, f"{folder}/pairs")
+    sets = materialise(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), size), f"{folder}/sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    counted = both.select("a", "b", shared.alias("k"), (F.size("sa") + F.size("sb")).alias("n"))
+    return materialise(counted.filter(F.col("k") * 100 >= PERCENT * (F.col("n") - F.col("k"))).select("a", "b"), f"{folder}/links")
+
+
+def undecided(left: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, t, node, component, settled: in the key's largest component) of keys whose members are in several components."""
+    placed = left.select("key", "t", "node").join(found, "node", "left").select("key", "t", "node", F.coalesce("component", "node").alias("component"))
+    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    keys = counts.groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return placed.join(keys, "key").select("key", "t", "node", "component", (F.col("component") == F.col("largest")).alias("settled"))
+
 
+def further_pairs(left: DataFrame) -> DataFrame:
+    """(a, b) of members outside the largest component with one random member inside and one outside."""
+    order = F.xxhash64("node", "key")
+    centres = left.groupBy("key").agg(*[F.max_by(F.when(c, F.struct("node", "component")), F.when(c, order)).alias(n) for n, c in (("x", F.col("settled")), ("y", ~F.col("settled")))])
+    met = left.filter("NOT settled").join(centres, "key").select("node", "component", F.explode(F.array("x", "y")).alias("c")).filter("component <> c.component")
+    return met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
-def link_group(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Smallest linked id of each member of one group, by exact set similarity.
 
-    A member whose component is not the largest is compared with all others outside
-    its component; the rest are joined by then, so no link between components is lost.
+def long_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """uint8 minhashes, one row for each (non-empty) set."""
+    a, c = seeds64(LONG, 41), mix64(seeds64(LONG, 43))
+    joined = np.concatenate(sets)
+    at = np.cumsum([0, *map(len, sets)])[:-1]
+    out = np.empty((len(sets), LONG), np.uint8)
+    for k in range(LONG):
+        x = joined * a[k] + c[k]
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        out[:, k] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), at).astype(np.uint8)
+    return out
+
+
+def sketched(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, long) of the given nodes: their long sketches."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        sets = shingle_sets(_bytes(batch.column(1)), size)
+        some = [k for k, s in enumerate(sets) if len(s)]
+        if not some:
+            return None
+        rows = long_sketches([sets[k] for k in some])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "long"])
+
+    return map_rows(_wanted(docs, nodes), run, "node long, long binary")
+
+
+def block_rows(left: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, t, x, y, own, node, component, n, sig): each member once for each task (x, y: blocks to compare) it takes part in.
+
+    A block holds members of one key, one class of set sizes (linked sets are in the
+    same or the next one) and one side (in the largest component, or not).
     """
-    n = len(ids)
-    lengths = np.array([len(s) for s in sets])
-    joined = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
-    at = np.cumsum(np.append(0, lengths))
-    parts = [joined[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-    mark = np.zeros(int(joined.max()) + 1 if len(joined) else 0, np.uint8)
-    label = np.arange(n)
-    done = np.zeros(n, bool)
-    order = np.argsort(-lengths, kind="stable")
-    first = True
-    while True:
-        counts = np.bincount(label, minlength=n)
-        largest = int(np.argmax(counts))
-        open_ = order[~done[order] & ((label[order] != largest) | first)]
-        if not len(open_) or counts[largest] == n:
-            break
-        p, first = int(open_[0]), False
-        done[p] = True
-        others = np.flatnonzero((label != label[p]) & (lengths * 100 >= percent * lengths[p]) & (lengths * percent <= 100 * lengths[p]))
-        if not len(others):
-            continue
-        mark[parts[p]] = 1
-        rows = np.concatenate([parts[o] for o in others])
-        cuts = np.cumsum(np.append(0, lengths[others]))[:-1]
-        shared = np.add.reduceat(mark[rows].astype(np.int64), cuts)
-        mark[parts[p]] = 0
-        union = lengths[others] + lengths[p] - shared
-        for o in others[shared * 100 >= percent * union]:
-            if label[o] != label[p]:
-                label[label == label[o]] = label[p]
-    out = np.empty(n, ids.dtype)
-    for c in np.unique(label):
-        out[label == c] = ids[label == c].min()
+    sizes = reps.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "sig")
+    rows = left.join(sizes, "node").withColumn("side", F.floor(F.log("n") / math.log(100 / PERCENT)).cast("long") * 2 + F.when(F.col("settled"), 1).otherwise(0))
+    many = lambda m: F.ceil(m / F.least(F.greatest(F.ceil(m / BLOCKS), F.lit(BLOCK)), F.lit(MOST))).cast("int")
+    counts = rows.groupBy("key", "side").agg(F.count(F.lit(1)).alias("m")).select("key", "side", many(F.col("m")).alias("blocks"))
+    # one entry for each class of sizes and side: some hundred at most
+    plans = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("side", "blocks"))).alias("plan"))
+    placed = rows.join(plans, "key")
+    own = F.shiftleft("side", 32) + F.pmod(F.xxhash64("node"), F.try_element_at("plan", F.col("side")))
+    settled = F.col("side") % 2
+    near = [F.when((settled == 0) | F.lit(other == 0), (F.floor(F.col("side") / 2) + d) * 2 + other) for d in (-1, 0, 1) for other in (0, 1)]
+
+    def blocks(side):
+        n = F.coalesce(F.try_element_at("plan", side), F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.shiftleft(side, 32) + b)).otherwise(F.array().cast("array<bigint>"))
+
+    others = F.flatten(F.transform(F.filter(F.array(*near), lambda x: x.isNotNull()), blocks))
+    dealt = placed.select("key", "t", own.alias("own"), "node", "component", "n", "sig", F.explode(others).alias("other"))
+    return dealt.select("key", "t", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "n", "sig")
+
+
+def block_candidates(table: int, first: np.ndarray, nodes, comps, n, sig, long) -> list[tuple[int, int]]:
+    """Pairs of one task (``first``: in the first block) that may be links: of different components, in their first shared table."""
+    i, j = PAIRS[table]
+    whole = sig.reshape(len(nodes), SKETCHES, EACH)
+    one = bool(first.all())
+    out = []
+    for p in np.flatnonzero(first):
+        q = np.arange(p + 1, len(nodes)) if one else np.flatnonzero(~first)
+        q = q[(comps[q] != comps[p]) & (100 * np.minimum(n[q], n[p]) >= PERCENT * np.maximum(n[q], n[p]))]
+        same = (whole[q][:, : j + 1] == whole[p][: j + 1]).all(axis=2)
+        q = q[same[:, i] & same[:, j] & (same.sum(axis=1) == 2)]
+        q = q[(long[q] == long[p]).sum(axis=1) >= LONG_AGREE]
+        out += [(min(a, b), max(a, b)) for a, b in ((int(nodes[p]), int(nodes[x])) for x in q) if a != b]
     return out
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, size: int, folder: str) -> DataFrame:
-    """(a, b) edges of a spanning forest of the exact links within each group."""
-    spark = docs.sparkSession
-    members = reps.select(F.col("rep").alias("node"), "n_shingles").join(groups, "node")
-    members = members.groupBy("node", "component").agg(F.max("n_shingles").alias("n_shingles"))
-    sizes = members.groupBy("component").agg(F.ceil(F.sum(F.col("n_shingles") + MEMBER_WEIGHT) / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a group of one block is one task's; of more, each pair of blocks is
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    tasks = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.filter(other, lambda x: x != F.col("block")), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    )
-    wanted = placed.select(F.col("node").alias("doc_id"), "component", tasks.alias("tasks"))
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(wanted, "doc_id")
-    rows = texts.select("component", F.explode("tasks").alias("t"), "doc_id", "text").select("component", "t.i", "t.j", "doc_id", "text")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
+def remaining_pairs(docs: DataFrame, left: DataFrame, reps: DataFrame, size: int, folder: str) -> DataFrame:
+    """Distinct (a, b) of members of a key in different components, not both in its largest, whose long sketches allow a link."""
+    longs = materialise(sketched(docs, left, size), f"{folder}/long")
+    rows = block_rows(left, reps).join(longs, "node")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
 
         def flush() -> pa.RecordBatch | None:
-            if len(ids) < 2:
+            if len(held) < 2:
                 return None
-            least = link_group(np.array(ids, np.int64), sets)
-            own = np.array(ids, np.int64)
-            moved = own != least
-            return pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(least[moved])], names=["a", "b"])
+            columns = list(zip(*held, strict=True))
+            first = np.array(columns[0]) == key[2]
+            if key[2] != key[3] and first.all():
+                return None  # the other block is empty
+            nodes, comps, n = (np.array(c, np.int64) for c in columns[1:4])
+            sig = np.stack([np.asarray(x, np.int32) for x in columns[4]])
+            long = np.stack([np.frombuffer(x, np.uint8) for x in columns[5]])
+            found = block_candidates(key[1], first, nodes, comps, n, sig, long)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"]) if found else None
 
         for batch in batches:
-            found = shingle_sets(_bytes(batch.column(4)), size)
-            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            for k, doc_id, s in zip(names, batch.column(3).to_pylist(), found, strict=True):
-                if k != key:
+            columns = [batch.column(k).to_pylist() for k in range(10)]
+            for row in zip(*columns, strict=True):
+                if row[:4] != key:
                     out = flush()
                     if out is not None:
                         yield out
-                    key, ids, sets = k, [], []
-                if len(s):
-                    ids.append(doc_id)
-                    sets.append(s)
+                    key, held = row[:4], []
+                held.append(row[4:])
         out = flush()
         if out is not None:
             yield out
 
-    order = ("component", "i", "j", "doc_id")
-    dealt = rows.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions(*order)
-    return dealt.mapInArrow(link, "a long, b long")
+    task = ("key", "t", "x", "y")
+    dealt = rows.select(*task, "own", "node", "component", "n", "sig", "long").repartition(partitions(docs.sparkSession), *task).sortWithinPartitions(*task, "own", "node")
+    return dealt.mapInArrow(search, "a long, b long").distinct()
+
+
+def with_links(found: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """Components (node, component) after more links (a, b): only links between components count, and only those join anew."""
+    ends = [found.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in ("a", "b")]
+    edges = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    edges = materialise(edges.filter("a <> b").distinct(), f"{folder}/edges")
+    if edges.isEmpty():
+        return found
+    up = materialise(components(edges, folder), f"{folder}/up")
+    moved = found.join(up.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    return materialise(moved.unionAll(up), f"{folder}/found")
+
+
+def linked(docs: DataFrame, reps: DataFrame, size: int, folder: str) -> DataFrame:
+    """(node, component) of the representatives that are linked with a smaller one."""
+    met = materialise(meetings(reps), f"{folder}/met")
+    links = confirmed(docs, agreeing(centre_pairs(met), reps), size, f"{folder}/centres")
+    found = materialise(components(links, f"{folder}/centres"), f"{folder}/found")
+    left = met.filter("n > 2").select("key", "t", _shuffled(F.col("p"), True).alias("node"))
+    left = materialise(undecided(left, found), f"{folder}/left")
+    if left.isEmpty():
+        return found
+    found = with_links(found, confirmed(docs, agreeing(further_pairs(left), reps), size, f"{folder}/further"), f"{folder}/further")
+    left = materialise(undecided(left, found), f"{folder}/left-2")
+    if left.isEmpty():
+        return found
+    return with_links(found, confirmed(docs, remaining_pairs(docs, left, reps, size, folder), size, f"{folder}/blocks"), f"{folder}/blocks")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -260,10 +370,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     same = ("f1", "f2", "n_shingles")
     reps = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = materialise(reps, f"{folder}/reps")
-    found = components(candidate_pairs(reps), f"{folder}/candidates")
-    groups = materialise(found.unionAll(found.select(F.col("component").alias("node"), "component").distinct()).distinct(), f"{folder}/groups")
-    links = materialise(confirmed_links(docs, groups, reps, size, folder), f"{folder}/links")
-    joined = components(links, f"{folder}/linked")
+    joined = linked(docs, reps, size, folder)
     names = reps.select(*same, "rep").join(joined, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = signed.drop("sig").join(names, list(same), "left")
     component = F.coalesce("component", "doc_id")

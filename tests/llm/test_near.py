@@ -41,11 +41,63 @@ def test_components_equal_brute_force(spark, size):
     assert found == {d: (len(s), c, d == c) for d, s, c in zip(ids, sets, least, strict=True)}
 
 
-def test_groups_in_blocks(spark, monkeypatch):
+def template_texts(seed, n, shared=120, own=60, copies=40):
+    """Pages of one template that do not link, and near copies of some of them."""
+    rng = random.Random(seed)
+    frame_words = words(seed, shared, 5000).split()
+    out = []
+    for k in range(n):
+        out.append(" ".join([*frame_words, *(f"u{rng.randrange(10**6)}" for _ in range(own))]))
+    for k in range(copies):
+        w = out[rng.randrange(n)].split()
+        w[-1 - rng.randrange(own)] = f"edit{k}"
+        out.append(" ".join(w))
+    rng.shuffle(out)
+    return list(enumerate(out, 1))
+
+
+@pytest.mark.parametrize(("block", "blocks"), [(128, 64), (2, 64), (3, 1)])
+def test_keys_of_many_components(spark, monkeypatch, block, blocks):
+    rows = template_texts(3, 150) + near_texts(seed=9, groups=3)[:20]
+    rows = [(k, t) for k, (_, t) in enumerate(rows, 1)]
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "BLOCKS", blocks)
+    ids, texts = zip(*rows, strict=True)
+    found = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(frame(spark, rows), 4).collect()}
+    assert found == dict(zip(ids, brute_components(ids, brute_sets(texts, 4)), strict=True))
+
+
+def test_blocks_alone_find_all_links(spark, monkeypatch):
+    """Without centres of keys of three or more members, and without further ones."""
     rows = near_texts(seed=9, groups=5)
-    expected = {tuple(r) for r in M.near_duplicates(frame(spark, rows), 4).collect()}
-    monkeypatch.setattr(M, "BLOCK_SHINGLES", 1500)
-    assert {tuple(r) for r in M.near_duplicates(frame(spark, rows), 4).collect()} == expected
+    ids, texts = zip(*rows, strict=True)
+    whole = M.centre_pairs
+    monkeypatch.setattr(M, "centre_pairs", lambda met: whole(met.filter("n = 2")))
+    monkeypatch.setattr(M, "further_pairs", lambda left: left.selectExpr("node AS a", "node AS b").limit(0))
+    found = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(frame(spark, rows), 4).collect()}
+    assert found == dict(zip(ids, brute_components(ids, brute_sets(texts, 4)), strict=True))
+
+
+def test_tasks_of_a_template_crowd_are_bounded(spark):
+    """5,000 pages of one template that do not link: no task holds more than two blocks, and what is sent grows with the blocks of a key."""
+    from pyspark.sql import functions as F
+
+    n = 5000
+    rng = random.Random(4)
+    shared = words(4, 90, 5000).split()
+    rows = [(k, " ".join([*shared, *(f"u{rng.randrange(10**6)}" for _ in range(50))])) for k in range(n)]
+    docs = frame(spark, rows).repartition(4)
+    folder = shared_dir(spark)
+    reps = M.materialise(M.sign(docs, 5).select(F.col("doc_id").alias("rep"), "n_shingles", "sig"), f"{folder}/reps")
+    met = M.materialise(M.meetings(reps), f"{folder}/met")
+    nothing = spark.createDataFrame([], "node long, component long")
+    left = M.materialise(M.undecided(met.filter("n > 2").select("key", "t", M._shuffled(F.col("p"), True).alias("node")), nothing), f"{folder}/left")
+    dealt = M.block_rows(left, reps)
+    largest = left.groupBy("key").count().agg(F.max("count")).first()[0]
+    tasks = dealt.groupBy("key", "t", "x", "y").count()
+    assert largest > 1000 and tasks.agg(F.max("count")).first()[0] < 3 * M.BLOCK
+    assert dealt.count() <= left.count() * (largest // M.BLOCK + 4)
+    assert M.near_duplicates(docs, 5).select("component_id").distinct().count() == n
 
 
 def test_odd_documents(spark, odd, nothing):
@@ -60,14 +112,29 @@ def test_odd_documents(spark, odd, nothing):
     assert M.near_duplicates(nothing, 5).count() == 0 and M.keep_one(nothing, 5).count() == 0
 
 
-def test_link_group_equals_brute_force():
+def test_block_candidates_equal_brute_force():
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        base = rng.integers(0, 1 << 60, 40).astype(np.uint64)
-        sets = [np.unique(np.concatenate([base[: rng.integers(25, 41)], rng.integers(0, 1 << 60, rng.integers(0, 8)).astype(np.uint64)])) for _ in range(9)]
-        ids = rng.permutation(9).astype(np.int64)
-        found = M.link_group(ids, sets)
-        assert found.tolist() == brute_components(ids.tolist(), [set(s.tolist()) for s in sets])
+    for round_ in range(20):
+        base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[: rng.integers(35, 61)], rng.integers(0, 1 << 60, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(14)]
+        sig, long = M.signatures(sets).view(np.int32), M.long_sketches(sets)
+        comps = rng.integers(0, 4, 14)
+        n = np.array([len(x) for x in sets])
+        whole = sig.reshape(14, M.SKETCHES, M.EACH)
+        first = np.ones(14, bool) if round_ % 2 else np.arange(14) < 6
+        expected, seen = set(), set()
+        for p in range(14):
+            for q in range(p + 1, 14):
+                same = np.flatnonzero((whole[p] == whole[q]).all(axis=1))
+                k = len(np.intersect1d(sets[p], sets[q]))
+                crossing = round_ % 2 or first[p] != first[q]
+                if len(same) > 1 and comps[p] != comps[q] and crossing and 100 * k >= 80 * (n[p] + n[q] - k):
+                    expected.add((p, q))
+        for t in range(len(M.PAIRS)):
+            found = M.block_candidates(t, first, np.arange(14), comps, n, sig, long)
+            assert not seen & set(found)  # each pair in one table only
+            seen |= set(found)
+        assert expected <= seen
 
 
 def test_shingles_do_not_depend_on_the_batch():
@@ -147,6 +214,8 @@ def test_candidate_loss_at_the_threshold():
                 rest = M.SKETCHES - whole - half
                 dropped += comb(M.SKETCHES, whole) * comb(M.SKETCHES - whole, half) * s ** (2 * whole) * (2 * s * (1 - s)) ** half * (1 - s) ** (2 * rest)
     assert dropped < 1e-7
+    # and the long sketches of such a pair agree in too few places less than once in 10^7
+    assert sum(comb(M.LONG, k) * 0.8**k * 0.2 ** (M.LONG - k) for k in range(M.LONG_AGREE)) < 1e-7
 
 
 def test_keep_one_of_repeated_ids(spark):
