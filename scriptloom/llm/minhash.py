@@ -7,20 +7,22 @@ probability 4.1e-5, of 0.9 with 2.4e-8; nothing else below loses more than 3e-8.
 
 Representatives. Documents with equal sets (128-bit fingerprint) are one.
 
-Centres. Each key's first and last member in a random order are its centres; members
-pair with them (a partial aggregation and a join, no pairs within a key). Pairs that
-agree in ``AGREE`` of 26 minhashes are confirmed one by one on their full sets: 100 *
-intersection >= 80 * union. True links alone make components.
-
-What is left are keys whose members are in several components. Members outside a
-key's largest component meet another random centre of it; then, for keys that still
-hold several, the members outside the largest are compared with all others of the
-key, unless they are in one component already. That is done by blocks of bounded
-size and like set sizes (``BLOCK`` members, more for keys with over 64 blocks), each
-two of them a task of its own, on sketches of ``LONG`` bytes; each pair in the first
-key it shares only. Pairs whose sketches agree in ``LONG_AGREE`` places are confirmed
-like the others. So every pair that shares a key is in one component at the end, or
-was compared.
+Hubs. A member's weight is the number of members of all its keys; each key's heaviest
+member is its hub, with which the others pair (no pairs within a key): of edited
+copies that is the least edited one. Pairs that agree in ``AGREE`` of 26 minhashes are
+confirmed one by one on their full sets: 100 * intersection >= 80 * union. True links
+alone make components.
+
+What is left are keys whose members are in several components. There members outside
+the largest component meet a random member of it, and the heaviest one outside.
+Keys that still hold several components are put together to groups by the components
+they share, and each group's members outside its largest component are compared with
+all others, exactly and on whole sets, unless they are joined already. Members are
+dealt to blocks by set size (linked sets are in the same or the next class), and two
+blocks are one task, so its work is bounded: ``BLOCK`` members a block, up to ``MOST``
+where a group would have more than ``BLOCKS`` of them, and ``BLOCK_SHINGLES`` shingles. So
+every pair that shares a key is in one component at the end, or was compared. Members
+of a group of m different texts that do not link are sent m / block times.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z. Fewer words than the shingle
 size: the whole sequence is the one shingle. Null or wordless texts have the empty
@@ -45,9 +47,8 @@ from .components import components
 
 SKETCHES, EACH, AGREE = 13, 2, 9
 PAIRS = [(i, j) for i in range(SKETCHES) for j in range(i + 1, SKETCHES)]
-LONG, LONG_AGREE = 512, 360
-#: Members of a block: the least, and the most where a key has more than ``BLOCKS`` of the least.
-BLOCK, MOST, BLOCKS = 128, 2048, 64
+#: Members of a block, and the most where a group has more than ``BLOCKS`` such blocks; shingles of a block.
+BLOCK, MOST, BLOCKS, BLOCK_SHINGLES = 128, 2048, 64, 400_000
 PERCENT = 80
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACES = np.zeros(256, bool)
@@ -137,39 +138,25 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _half(column):
-    return F.xxhash64(column).bitwiseAND(0xFFFFFFFF)
-
-
-def _shuffled(column, back: bool = False):
-    """Two Feistel rounds: a bijection of 64-bit integers whose order is random; ``back`` inverts it."""
-    for _ in range(2):
-        left, right = F.shiftrightunsigned(column, 32), column.bitwiseAND(0xFFFFFFFF)
-        if back:
-            left, right = right.bitwiseXOR(_half(left)), left
-        else:
-            left, right = right, left.bitwiseXOR(_half(right))
-        column = F.shiftleft(left, 32).bitwiseOR(right)
-    return column
-
-
-def meetings(reps: DataFrame) -> DataFrame:
-    """(key, t: number of its table, p: member in random order, lo, hi: centres, n: members) of keys with several members."""
+def meetings(reps: DataFrame, folder: str) -> DataFrame:
+    """(key, node, n: members of the key, weight: members of all keys of the node, hub: heaviest node) of keys with several members."""
 
     def sketch(i: int):
         return [F.get("sig", F.lit(EACH * i + k)) for k in range(EACH)]
 
     keys = F.array(*[F.xxhash64(F.lit(i * SKETCHES + j), *sketch(i), *sketch(j)) for i, j in PAIRS])
-    rows = reps.select(F.posexplode(keys).alias("t", "key"), _shuffled(F.col("rep")).alias("p"))
-    centres = rows.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    return rows.join(centres, "key").select("key", F.col("t").cast("byte").alias("t"), "p", "lo", "hi", "n")
+    rows = reps.select(F.explode(keys).alias("key"), F.col("rep").alias("node"))
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialise(rows.join(several, "key"), f"{folder}/met")
+    weights = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = materialise(met.join(weights, "node"), f"{folder}/weighed")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    return weighed.join(hubs, "key")
 
 
-def centre_pairs(met: DataFrame) -> DataFrame:
-    """Distinct (a, b) of members and the centres of their keys."""
-    pairs = met.select("p", F.explode(F.array("lo", "hi")).alias("c")).filter("p <> c")
-    pairs = pairs.select(F.least("p", "c").alias("p"), F.greatest("p", "c").alias("c")).distinct()
-    return pairs.select(_shuffled(F.col("p"), True).alias("a"), _shuffled(F.col("c"), True).alias("b"))
+def hub_pairs(met: DataFrame) -> DataFrame:
+    """Distinct (a, b) of members and the hubs of their keys."""
+    return met.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -210,127 +197,115 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, folder: str) -> Data
 
 
 def undecided(left: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, t, node, component, settled: in the key's largest component) of keys whose members are in several components."""
-    placed = left.select("key", "t", "node").join(found, "node", "left").select("key", "t", "node", F.coalesce("component", "node").alias("component"))
+    """(key, node, weight, component, largest: the key's largest component) of keys whose members are in several components."""
+    placed = left.select("key", "node", "weight").join(found, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
     counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     keys = counts.groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    return placed.join(keys, "key").select("key", "t", "node", "component", (F.col("component") == F.col("largest")).alias("settled"))
+    return placed.join(keys, "key").select("key", "node", "weight", "component", "largest")
 
 
 def further_pairs(left: DataFrame) -> DataFrame:
-    """(a, b) of members outside the largest component with one random member inside and one outside."""
-    order = F.xxhash64("node", "key")
-    centres = left.groupBy("key").agg(*[F.max_by(F.when(c, F.struct("node", "component")), F.when(c, order)).alias(n) for n, c in (("x", F.col("settled")), ("y", ~F.col("settled")))])
-    met = left.filter("NOT settled").join(centres, "key").select("node", "component", F.explode(F.array("x", "y")).alias("c")).filter("component <> c.component")
+    """(a, b) of members outside the largest component with a random member inside and the heaviest one outside."""
+    inside, who = F.col("component") == F.col("largest"), F.struct("node", "component")
+    centres = left.groupBy("key").agg(F.max_by(F.when(inside, who), F.when(inside, F.xxhash64("node", "key"))).alias("x"), F.max_by(F.when(~inside, who), F.when(~inside, F.struct("weight", "node"))).alias("y"))
+    met = left.filter(~inside).join(centres, "key").select("node", "component", F.explode(F.array("x", "y")).alias("c")).filter("component <> c.component")
     return met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def long_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """uint8 minhashes, one row for each (non-empty) set."""
-    a, c = seeds64(LONG, 41), mix64(seeds64(LONG, 43))
-    joined = np.concatenate(sets)
-    at = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.empty((len(sets), LONG), np.uint8)
-    for k in range(LONG):
-        x = joined * a[k] + c[k]
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        out[:, k] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), at).astype(np.uint8)
-    return out
-
-
-def sketched(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, long) of the given nodes: their long sketches."""
+def group_members(left: DataFrame, folder: str) -> DataFrame:
+    """(group, node, component, settled: in the group's largest component): keys that share a component are one group."""
+    edges = left.filter("component <> largest").select(F.col("component").alias("a"), F.col("largest").alias("b"))
+    up = materialise(components(edges, folder), f"{folder}/groups").select(F.col("node").alias("component"), F.col("component").alias("group"))
+    members = left.select("node", "component").distinct().join(up, "component", "left").select(F.coalesce("group", "component").alias("group"), "node", "component")
+    counts = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = counts.groupBy("group").agg(F.max(F.struct("m", "component"))["component"].alias("largest"))
+    return members.join(largest, "group").select("group", "node", "component", (F.col("component") == F.col("largest")).alias("settled"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        sets = shingle_sets(_bytes(batch.column(1)), size)
-        some = [k for k, s in enumerate(sets) if len(s)]
-        if not some:
-            return None
-        rows = long_sketches([sets[k] for k in some])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "long"])
-
-    return map_rows(_wanted(docs, nodes), run, "node long, long binary")
 
+def block_rows(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """(group, x, y, own, node, component): each member once for each task (x, y: blocks to compare) it takes part in.
 
-def block_rows(left: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, t, x, y, own, node, component, n, sig): each member once for each task (x, y: blocks to compare) it takes part in.
-
-    A block holds members of one key, one class of set sizes (linked sets are in the
-    same or the next one) and one side (in the largest component, or not).
+    A block holds members of one group, one class of set sizes and one side (in the largest component, or not).
     """
-    sizes = reps.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "sig")
-    rows = left.join(sizes, "node").withColumn("side", F.floor(F.log("n") / math.log(100 / PERCENT)).cast("long") * 2 + F.when(F.col("settled"), 1).otherwise(0))
-    many = lambda m: F.ceil(m / F.least(F.greatest(F.ceil(m / BLOCKS), F.lit(BLOCK)), F.lit(MOST))).cast("int")
-    counts = rows.groupBy("key", "side").agg(F.count(F.lit(1)).alias("m")).select("key", "side", many(F.col("m")).alias("blocks"))
+    sizes = reps.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"))
+    rows = members.join(sizes, "node").withColumn("side", F.floor(F.log("n") / math.log(100 / PERCENT)).cast("long") * 2 + F.when(F.col("settled"), 1).otherwise(0))
+    each = F.least(F.greatest(F.ceil(F.col("m") / BLOCKS), F.lit(BLOCK)), F.lit(MOST))
+    counts = rows.groupBy("group", "side").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    counts = counts.select("group", "side", F.greatest(F.ceil(F.col("m") / each), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     # one entry for each class of sizes and side: some hundred at most
-    plans = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("side", "blocks"))).alias("plan"))
-    placed = rows.join(plans, "key")
+    plans = counts.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("side", "blocks"))).alias("plan"))
+    placed = rows.join(plans, "group")
     own = F.shiftleft("side", 32) + F.pmod(F.xxhash64("node"), F.try_element_at("plan", F.col("side")))
-    settled = F.col("side") % 2
-    near = [F.when((settled == 0) | F.lit(other == 0), (F.floor(F.col("side") / 2) + d) * 2 + other) for d in (-1, 0, 1) for other in (0, 1)]
+    open_ = F.col("side") % 2 == 0
+    near = [F.when(open_ | F.lit(other == 0), (F.floor(F.col("side") / 2) + d) * 2 + other) for d in (-1, 0, 1) for other in (0, 1)]
 
     def blocks(side):
         n = F.coalesce(F.try_element_at("plan", side), F.lit(0))
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.shiftleft(side, 32) + b)).otherwise(F.array().cast("array<bigint>"))
 
     others = F.flatten(F.transform(F.filter(F.array(*near), lambda x: x.isNotNull()), blocks))
-    dealt = placed.select("key", "t", own.alias("own"), "node", "component", "n", "sig", F.explode(others).alias("other"))
-    return dealt.select("key", "t", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "n", "sig")
+    dealt = placed.select("group", own.alias("own"), "node", "component", F.explode(others).alias("other"))
+    return dealt.select("group", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component")
 
 
-def block_candidates(table: int, first: np.ndarray, nodes, comps, n, sig, long) -> list[tuple[int, int]]:
-    """Pairs of one task (``first``: in the first block) that may be links: of different components, in their first shared table."""
-    i, j = PAIRS[table]
-    whole = sig.reshape(len(nodes), SKETCHES, EACH)
+def block_links(first: np.ndarray, nodes: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links of one task that join components; ``first``: the member is in the first block (all are where a block meets itself)."""
     one = bool(first.all())
-    out = []
+    sizes = np.array([len(s) for s in sets])
+    coded = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    cuts = np.cumsum(np.append(0, sizes))
+    mark = np.zeros(int(coded.max()) + 1, bool)
+    label, out = np.unique(comps, return_inverse=True)[1], []
+    begin = 0 if one else int(np.flatnonzero(~first)[0])  # members come in the order of their blocks
+    rest = slice(int(cuts[begin]), None)
     for p in np.flatnonzero(first):
-        q = np.arange(p + 1, len(nodes)) if one else np.flatnonzero(~first)
-        q = q[(comps[q] != comps[p]) & (100 * np.minimum(n[q], n[p]) >= PERCENT * np.maximum(n[q], n[p]))]
-        same = (whole[q][:, : j + 1] == whole[p][: j + 1]).all(axis=2)
-        q = q[same[:, i] & same[:, j] & (same.sum(axis=1) == 2)]
-        q = q[(long[q] == long[p]).sum(axis=1) >= LONG_AGREE]
-        out += [(min(a, b), max(a, b)) for a, b in ((int(nodes[p]), int(nodes[x])) for x in q) if a != b]
+        q = np.arange(begin, len(nodes))
+        q = q[(label[q] != label[p]) & (q > p) & (100 * np.minimum(sizes[q], sizes[p]) >= percent * np.maximum(sizes[q], sizes[p]))]
+        if not len(q):
+            continue
+        own = coded[cuts[p] : cuts[p + 1]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[coded[rest]], cuts[begin:-1] - cuts[begin], dtype=np.int64)[q - begin]
+        mark[own] = False
+        for x in q[100 * shared >= percent * (sizes[q] + sizes[p] - shared)]:
+            if label[x] != label[p]:
+                label[label == label[x]] = label[p]
+                out.append((int(nodes[p]), int(nodes[x])))
     return out
 
 
-def remaining_pairs(docs: DataFrame, left: DataFrame, reps: DataFrame, size: int, folder: str) -> DataFrame:
-    """Distinct (a, b) of members of a key in different components, not both in its largest, whose long sketches allow a link."""
-    longs = materialise(sketched(docs, left, size), f"{folder}/long")
-    rows = block_rows(left, reps).join(longs, "node")
+def remaining_links(docs: DataFrame, left: DataFrame, reps: DataFrame, size: int, folder: str) -> DataFrame:
+    """(a, b) of true links between components of undecided keys."""
+    members = materialise(group_members(left, folder), f"{folder}/members")
+    sets = materialise(sets_of(docs, members, size), f"{folder}/sets")
+    rows = block_rows(members, reps).join(sets, "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def flush() -> pa.RecordBatch | None:
-            if len(held) < 2:
-                return None
-            columns = list(zip(*held, strict=True))
-            first = np.array(columns[0]) == key[2]
-            if key[2] != key[3] and first.all():
-                return None  # the other block is empty
-            nodes, comps, n = (np.array(c, np.int64) for c in columns[1:4])
-            sig = np.stack([np.asarray(x, np.int32) for x in columns[4]])
-            long = np.stack([np.frombuffer(x, np.uint8) for x in columns[5]])
-            found = block_candidates(key[1], first, nodes, comps, n, sig, long)
+            own, nodes, comps, sets = zip(*held, strict=True) if held else ((),) * 4
+            first = np.array(own) == (key or (0, 0))[1]
+            if len(held) < 2 or not first.any() or (key[1] != key[2] and first.all()):
+                return None  # a block is empty
+            found = block_links(first, np.array(nodes, np.int64), np.array(comps, np.int64), list(sets))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"]) if found else None
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(10)]
-            for row in zip(*columns, strict=True):
-                if row[:4] != key:
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for *row, data in zip(*columns, batch.column(6), strict=True):
+                if tuple(row[:3]) != key:
                     out = flush()
                     if out is not None:
                         yield out
-                    key, held = row[:4], []
-                held.append(row[4:])
+                    key, held = tuple(row[:3]), []
+                held.append((*row[3:], data.values.to_numpy()))
         out = flush()
         if out is not None:
             yield out
 
-    task = ("key", "t", "x", "y")
-    dealt = rows.select(*task, "own", "node", "component", "n", "sig", "long").repartition(partitions(docs.sparkSession), *task).sortWithinPartitions(*task, "own", "node")
+    task = ("group", "x", "y")
+    dealt = rows.select(*task, "own", "node", "component", "set").repartition(partitions(docs.sparkSession), *task).sortWithinPartitions(*task, "own", "node")
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
@@ -348,18 +323,18 @@ def with_links(found: DataFrame, links: DataFrame, folder: str) -> DataFrame:
 
 def linked(docs: DataFrame, reps: DataFrame, size: int, folder: str) -> DataFrame:
     """(node, component) of the representatives that are linked with a smaller one."""
-    met = materialise(meetings(reps), f"{folder}/met")
-    links = confirmed(docs, agreeing(centre_pairs(met), reps), size, f"{folder}/centres")
-    found = materialise(components(links, f"{folder}/centres"), f"{folder}/found")
-    left = met.filter("n > 2").select("key", "t", _shuffled(F.col("p"), True).alias("node"))
-    left = materialise(undecided(left, found), f"{folder}/left")
+    met = materialise(meetings(reps, folder), f"{folder}/hubs")
+    links = confirmed(docs, agreeing(hub_pairs(met), reps), size, f"{folder}/first")
+    found = materialise(components(links, f"{folder}/first"), f"{folder}/found")
+    left = materialise(undecided(met.filter("n > 2"), found), f"{folder}/left")
     if left.isEmpty():
         return found
     found = with_links(found, confirmed(docs, agreeing(further_pairs(left), reps), size, f"{folder}/further"), f"{folder}/further")
     left = materialise(undecided(left, found), f"{folder}/left-2")
     if left.isEmpty():
         return found
-    return with_links(found, confirmed(docs, remaining_pairs(docs, left, reps, size, folder), size, f"{folder}/blocks"), f"{folder}/blocks")
+    links = materialise(remaining_links(docs, left, reps, size, f"{folder}/blocks"), f"{folder}/blocks/links")
+    return with_links(found, links, f"{folder}/blocks")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
