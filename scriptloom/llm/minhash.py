@@ -165,7 +165,7 @@ def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     sizes = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    return pairs.join(left, "a").join(right, "b").filter(sizes & (agree >= AGREE)).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").filter(sizes & (agree >= AGREE)).select("a", "b")
 
 
 def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
