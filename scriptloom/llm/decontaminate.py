@@ -8,7 +8,8 @@ length, and only regions that meet the bound go on to a banded alignment.
 
 Texts are compared as UTF-8 bytes, in lower case and with ASCII white space as
 spaces. Items shorter than the window are wanted whole; items shorter than
-``LEAST`` bytes are no evidence and are not searched for.
+``LEAST`` bytes too, exactly as they are and between word borders (one automaton
+finds all of them in one pass), as they are too short for the bound to tell.
 
 The benchmark goes to the workers in blocks of at most ``BLOCK_BYTES`` of text,
 one pass over the documents for each block.
@@ -64,10 +65,32 @@ def qgrams(data: np.ndarray, q: int = Q) -> np.ndarray:
     return words
 
 
+#: Bytes of words: letters, digits and all of characters beyond ASCII.
+_WORD = [bytes([c]).isalnum() or c >= 128 for c in range(256)]
+
+
+def _automaton(items: list[tuple[int, bytes]]):
+    """Finds all the given strings at once; None without any."""
+    import ahocorasick
+
+    if not items:
+        return None
+    by_text: dict[bytes, list[int]] = {}
+    for i, b in items:
+        by_text.setdefault(b, []).append(i)
+    out = ahocorasick.Automaton()
+    for b, ids in by_text.items():
+        out.add_word(b.decode("latin-1"), (ids, len(b)))
+    out.make_automaton()
+    return out
+
+
 class Block:
     """q-gram index of some benchmark items."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
+        short = [(i, b.strip(b" ")) for i, b in items if len(b) < LEAST]
+        self.short = _automaton([(i, b) for i, b in short if b])
         items = [(i, b) for i, b in items if len(b) >= LEAST]
         self.ids = [i for i, _ in items]
         self.texts = [b for _, b in items]
@@ -82,6 +105,21 @@ class Block:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self._slot(self.hashes)] = True
 
+    def short_matches(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        """(text number, item id, begin, end, 0) of the first place of each short item, in bytes."""
+        out: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
+        for t, data in enumerate(texts) if self.short is not None else ():
+            for last, (ids, n) in self.short.iter(data.decode("latin-1")):
+                begin, end = last + 1 - n, last + 1
+                if not (_WORD[data[begin]] and begin and _WORD[data[begin - 1]]) and not (_WORD[data[last]] and end < len(data) and _WORD[data[end]]):
+                    for i in ids:
+                        out.setdefault((t, i), (t, i, begin, end, 0))
+        return list(out.values())
+
+    def found(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        """(text number, item id, begin, end, edits) of all items."""
+        return [(t, self.ids[i], x, y, e) for t, i, x, y, e in self.search(texts)] + self.short_matches(texts)
+
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
@@ -255,11 +293,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = _built(name, shipped)
             for batch in (p for b in batches for p in slices(b, 2 << 20)):
-                rows = block.search(_texts(batch.column(1)))
+                rows = block.found(_texts(batch.column(1)))
                 if rows:
                     ids = batch.column(0).to_pylist()
                     yield pa.RecordBatch.from_pylist(
-                        [{"doc_id": ids[t], "item_id": block.ids[i], "begin": x, "end": y, "edits": e} for t, i, x, y, e in rows],
+                        [{"doc_id": ids[t], "item_id": i, "begin": x, "end": y, "edits": e} for t, i, x, y, e in rows],
                         schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]),
                     )
 
@@ -281,7 +319,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             block = _built(name, shipped)
             for batch in (p for b in batches for p in slices(b, 2 << 20)):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[r[0] for r in block.search(_texts(batch.column(text)))]] = False
+                keep[[r[0] for r in block.found(_texts(batch.column(text)))]] = False
                 yield batch.filter(pa.array(keep))
 
         return run

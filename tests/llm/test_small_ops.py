@@ -121,7 +121,53 @@ def test_matches(spark):
     edited = p[:40] + "#" + p[41:120] + p[121:]
     docs = [(10, words(60, 300)), (11, words(61, 50) + " " + p + " tail"), (12, "x " + edited), (13, p[50:140]), (14, p[50:110]), (15, None), (16, ""), (17, items[1][1].lower().replace(" ", "\n")), (18, "so tiny"), (19, "and " + items[4][1]), (11, p)]
     found = {(r["doc_id"], r["item_id"]): r["edits"] for r in D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert set(found) == {(11, 1), (12, 1), (13, 1), (17, 2), (19, 5)} and found[11, 1] == 0
+    assert set(found) == {(11, 1), (12, 1), (13, 1), (17, 2), (18, 3), (19, 5)} and found[11, 1] == 0
+
+
+def test_short_items_are_found_between_word_borders(spark):
+    items = [(1, "ab 12"), (2, "AB 12 "), (3, "é"), (4, " "), (5, "?!"), (6, "12 is the answer to all of it")]
+    docs = [(1, "so ab\n12."), (2, "cab 12"), (3, "ab 123"), (4, "é"), (5, "éé"), (6, "what?!"), (7, ""), (8, None), (9, "12 is the answer to all of it, ab 12 (ab 12)")]
+    found = {(r["doc_id"], r["item_id"], r["edits"]) for r in D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(1, 1, 0), (1, 2, 0), (4, 3, 0), (6, 5, 0), (9, 6, 0), (9, 1, 0), (9, 2, 0)}
+    kept = {r["doc_id"] for r in D.clean_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert kept == {2, 3, 5, 7, 8}
+
+
+def test_search_equals_quadratic_search():
+    """Documents with edited stretches of items against every window of every item at every place."""
+    import random
+
+    rng = random.Random(21)
+    items = [D.normal(words(k, n)) for k, n in ((60, 20), (61, 26), (62, 9))]
+    block = D.Block(list(enumerate(items)))
+
+    def edited(piece, edits):
+        out = bytearray(piece)
+        for _ in range(edits):
+            place = rng.randrange(len(out))
+            kind = rng.randrange(3)
+            if kind == 0:
+                out[place] = 35
+            elif kind == 1:
+                del out[place]
+            else:
+                out.insert(place, 35)
+        return bytes(out)
+
+    texts = []
+    for k in range(36):
+        item = items[k % 3]
+        w, budget, _ = block.window(k % 3)
+        at = rng.randrange(len(item) - w + 1)
+        texts.append(D.normal(words(900 + k, 6)) + b" " + edited(item[at : at + w], rng.choice((0, budget - 1, budget, budget + 1, budget + 3))) + b" " + D.normal(words(950 + k, 6)))
+    expected = set()
+    for t, text in enumerate(texts):
+        for i, item in enumerate(items):
+            w, budget, _ = block.window(i)
+            if any(edit_distance_inside(item[b : b + w], text) <= budget for b in range(len(item) - w + 1)):
+                expected.add((t, i))
+    assert {r[:2] for r in block.search(texts)} == expected
+    assert 5 < len(expected) < len(texts)  # some are just beyond the budget
 
 
 def edit_distance_inside(a, b):
