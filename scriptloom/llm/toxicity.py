@@ -4,8 +4,11 @@ Features are the distinct hashed n-grams (orders 3 to 6) of the lower-cased text
 From a bounded sample of labelled rows come smoothed log-count ratios r; the
 features with the largest chi-square statistic are kept, scaled by r, and a
 logistic regression with L2 penalty is fitted on the driver (L-BFGS, sample
-weights restore the share of the classes). Scoring looks up every n-gram of every
-whole text in one table of the kept features; presence counts, not frequency.
+weights restore the share of the classes). Cross-validation on the sampled rows
+finds the cut that keeps most toxic rows, where a share of clean rows above it
+weighs ``FALSE_COST`` times as much; the intercept is moved so that this cut has the
+score ``THRESHOLD``. Scoring looks up every n-gram of every whole text in one table
+of the kept features; presence counts, not frequency.
 
 Bounds: at most ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` labelled rows (lowest hashes of
 doc_id) are fitted; executors count their features, and the driver gets the counts
@@ -13,7 +16,11 @@ of the ``KEEP`` best and which of those each sampled row holds.
 
 Defined results: null and empty texts score as the intercept; null labels and
 labels without a document are not used; without both classes in the sample every
-score is the smoothed share of toxic labels (0.5 without labels); repeated rows are scored one by one; an empty table gives no rows.
+score is the smoothed share of toxic labels (0.5 without labels); classes of fewer
+than ``2 * FOLDS`` rows are not cross-validated; rows repeated or with equal ids are
+scored one by one (one of them is fitted); null ids are scored, not fitted, and not
+held out; extra columns, whatever their names, are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -29,9 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import crc32_mod, map_rows, materialise, remove, shared_dir, slices, texts_of
 
-ORDERS, HASH_BITS, KEEP = (3, 4, 5, 6), 20, 20_000
+ORDERS, HASH_BITS, KEEP = (3, 4, 5, 6), 20, 4_000
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 3_000
-THRESHOLD = 0.3
+THRESHOLD, FOLDS, FALSE_COST = 0.3, 4, 10
 _P, _K = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -117,16 +124,18 @@ def chi_square(c1, c0, n1, n0):
     return (c1 * (n0 - c0) - c0 * (n1 - c1)) ** 2 / (both * (n1 + n0 - both + 0.5))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, c1: np.ndarray, c0: np.ndarray, toxic_share: float, smoothing: float = 1.0, penalty: float = 1.0) -> Model:
-    """Fit on presence of the ``kept`` features (sorted), which ``c1`` toxic and ``c0`` clean rows hold."""
-    labels = labels.astype(bool)
+def log_count_ratios(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int, smoothing: float = 1.0) -> np.ndarray:
+    """How much more often a feature is in toxic rows than in clean ones, as a logarithm."""
+    return np.log((c1 + smoothing) / (n1 + 2 * smoothing)) - np.log((c0 + smoothing) / (n0 + 2 * smoothing))
+
+
+def _regression(rows: list[np.ndarray], labels: np.ndarray, n: int, toxic_share: float, penalty: float) -> tuple[np.ndarray, float]:
+    """(weight of each of ``n`` features, intercept) from the features each row holds."""
     n1, n0 = int(labels.sum()), int((~labels).sum())
-    weights = np.zeros(1 << HASH_BITS, np.float32)
-    if not n1 or not n0 or not len(kept):
-        return Model(weights, 0.0)
-    r = np.log((c1 + smoothing) / (n1 + 2 * smoothing)) - np.log((c0 + smoothing) / (n0 + 2 * smoothing))
-    column = np.searchsorted(kept, np.concatenate(rows))
+    column = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    c1 = np.bincount(column[labels[row]], minlength=n)
+    r = log_count_ratios(c1, np.bincount(column, minlength=n) - c1, n1, n0)
     weight = np.where(labels, toxic_share / n1, (1 - toxic_share) / n0) * len(labels)
     y = labels.astype(np.float64)
 
@@ -137,9 +146,40 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, c1: np.nda
         e = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
         return loss, np.append(np.bincount(column, weights=e[row], minlength=len(w)) * r + penalty * w, e.sum())
 
-    x = _lbfgs(objective, np.zeros(len(kept) + 1))
-    weights[kept] = x[:-1] * r
-    return Model(weights, float(x[-1]))
+    x = _lbfgs(objective, np.zeros(n + 1))
+    return x[:-1] * r, float(x[-1])
+
+
+def fair_cut(z: np.ndarray, labels: np.ndarray) -> float:
+    """The cut with the largest share of toxic rows above it less ``FALSE_COST`` times that of clean rows; half way to the next value below."""
+    values = np.unique(z)
+    toxic, clean = np.sort(z[labels]), np.sort(z[~labels])
+    above = lambda x: 1 - np.searchsorted(x, values) / len(x)
+    best = int(np.argmax(above(toxic) - FALSE_COST * above(clean)))
+    return float(values[best] + values[max(0, best - 1)]) / 2
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, toxic_share: float, penalty: float = 1.0) -> Model:
+    """Fit on which of the ``kept`` features (sorted) each row holds."""
+    labels = labels.astype(bool)
+    weights = np.zeros(1 << HASH_BITS, np.float32)
+    least = min(labels.sum(), (~labels).sum())
+    if not least or not len(kept):
+        return Model(weights, 0.0)
+    columns = [np.searchsorted(kept, x) for x in rows]
+    found, intercept = _regression(columns, labels, len(kept), toxic_share, penalty)
+    if least >= 2 * FOLDS:
+        fold = np.empty(len(rows), np.int64)
+        for label in (True, False):
+            fold[labels == label] = np.arange((labels == label).sum()) % FOLDS
+        z = np.empty(len(rows))
+        for k in range(FOLDS):
+            w, b = _regression([columns[i] for i in np.flatnonzero(fold != k)], labels[fold != k], len(kept), toxic_share, penalty)
+            for i in np.flatnonzero(fold == k):
+                z[i] = w[columns[i]].sum() + b
+        intercept += float(np.log(THRESHOLD / (1 - THRESHOLD))) - fair_cut(z, labels)
+    weights[kept] = found
+    return Model(weights, intercept)
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 2) -> Model:
@@ -176,10 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 2) -> Mo
     ranked = sums.filter((F.col("feature") < 1 << HASH_BITS) & (F.col("c1") + F.col("c0") >= 3)).withColumn(
         "chi", chi_square(F.col("c1").cast("double"), F.col("c0").cast("double"), float(whole["c1"]), float(whole["c0"]))
     )
-    best = sorted(tuple(r) for r in ranked.filter("chi > 0").orderBy(F.desc("chi"), "feature").limit(KEEP).select("feature", "c1", "c0").collect())
-    if not best:
+    kept = np.array(sorted(r["feature"] for r in ranked.filter("chi > 0").orderBy(F.desc("chi"), "feature").limit(KEEP).select("feature").collect()), dtype=np.int64)
+    if not len(kept):
         return nothing
-    kept, c1, c0 = (np.array(x, dtype=np.int64) for x in zip(*best, strict=True))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(1 << HASH_BITS, bool)
@@ -190,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 2) -> Mo
 
     got = sorted((r["doc_id"], r["toxic"], bytes(r["features"])) for r in sample.mapInArrow(featurise, "doc_id long, toxic int, features binary").collect())
     remove(spark, folder)
-    return fit([np.frombuffer(x, "<u4").astype(np.int64) for _, _, x in got], np.array([t for _, t, _ in got]), kept, c1, c0, counts[1] / (counts[0] + counts[1]))
+    return fit([np.frombuffer(x, "<u4").astype(np.int64) for _, _, x in got], np.array([t for _, t, _ in got]), kept, counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, held_out_remainder: int = 2) -> DataFrame:

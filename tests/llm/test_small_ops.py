@@ -252,13 +252,65 @@ def test_blocks_of_the_benchmark(spark, sf, monkeypatch):
 # ---- toxicity --------------------------------------------------------------
 
 
+def brute_features(text):
+    """Distinct hashed n-grams of the padded lower-case text, one by one."""
+    points, out = [ord(c) for c in f" {text.lower()} "], set()
+    for n in X.ORDERS:
+        for k in range(len(points) - n + 1):
+            h = points[k] + 1
+            for x in points[k + 1 : k + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ x
+            out.add(((h * 0x9E3779B1 + n) * 0x01000193 & 0xFFFFFFFF) >> 32 - X.HASH_BITS)
+    return out
+
+
 def test_presence_equals_brute_force():
-    texts = ["", "ab", "Hello wOrld", "aaaaaaaa", "é ß", "x" * 5000]
-    found = X.presence(texts)
-    for t, f in zip(texts, found, strict=True):
-        p = f" {t.lower()} "
-        alone = X.presence([t])[0]
-        assert np.array_equal(f, alone) and len(f) <= sum(max(0, len(p) - n + 1) for n in X.ORDERS) and (len(f) > 0) == (len(p) >= 3)
+    texts = ["", "ab", "Hello wOrld", "aaaaaaaa", "é ß 日本", "x" * 5000, "to be or not to be"]
+    wanted = np.arange(1 << X.HASH_BITS) % 3 == 0
+    for t, f, some in zip(texts, X.presence(texts), X.presence(texts, wanted), strict=True):
+        assert sorted(brute_features(t)) == f.tolist() and some.tolist() == [x for x in f.tolist() if x % 3 == 0]
+
+
+def test_model_equals_brute_force(spark):
+    """Counts, selection, ratios and scores of a small table, recomputed from the n-grams."""
+    from math import exp, log
+    from zlib import crc32
+
+    rows = [(k, words(700 + k, 12, 30) + (" vile scum" if k % 4 == 0 else "")) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    model = X.train(docs, labels)
+    fitted = [(k % 4 == 0, brute_features(t)) for k, t in rows if crc32(str(k).encode()) % 4 != 2]
+    n1 = sum(y for y, _ in fitted)
+    n0 = len(fitted) - n1
+    c1, c0 = (Counter(x for y, f in fitted if y == toxic for x in f) for toxic in (True, False))
+    chi = {x: (c1[x] * (n0 - c0[x]) - c0[x] * (n1 - c1[x])) ** 2 / ((c1[x] + c0[x]) * (n1 + n0 - c1[x] - c0[x] + 0.5)) for x in c1 | c0 if c1[x] + c0[x] >= 3}
+    best = sorted((x for x in chi if chi[x] > 0), key=lambda x: (-chi[x], x))[: X.KEEP]
+    kept = np.array(sorted(best))
+    ratio = {x: log((c1[x] + 1) / (n1 + 2)) - log((c0[x] + 1) / (n0 + 2)) for x in best}
+    assert np.allclose(X.log_count_ratios(np.array([c1[x] for x in best]), np.array([c0[x] for x in best]), n1, n0), list(ratio.values()))
+    again = X.fit([np.array(sorted(f & set(best)), dtype=np.int64) for _, f in fitted], np.array([y for y, _ in fitted]), kept, n1 / (n1 + n0))
+    assert set(np.flatnonzero(model.weights)) <= set(best) and np.allclose(model.weights, again.weights, atol=1e-4) and abs(model.intercept - again.intercept) < 1e-3
+    # the weights are a stationary point of the penalised loss in units of the ratios
+    columns = [np.searchsorted(kept, sorted(f & set(best))) for _, f in fitted]
+    y = np.array([y for y, _ in fitted])
+    w, b = X._regression(columns, y, len(kept), n1 / (n1 + n0), 1.0)
+    r = np.array([ratio[x] for x in kept])
+    p = np.array([1 / (1 + exp(-(w[c].sum() + b))) for c in columns])
+    gradient = np.array([sum((p[i] - y[i]) * r[j] for i, c in enumerate(columns) if j in set(c.tolist())) + w[j] / r[j] for j in range(0, len(kept), 97)])
+    assert np.abs(gradient).max() < 0.05 and abs((p - y).sum()) < 0.05
+    found = {r_["doc_id"]: (r_["held_out"], r_["score"], r_["predicted"]) for r_ in X.score(docs, model).collect()}
+    for k, t in rows:
+        z = model.intercept + sum(float(model.weights[x]) for x in brute_features(t))
+        held, score, predicted = found[k]
+        assert abs(score - 1 / (1 + exp(-z))) < 1e-5 and held == (crc32(str(k).encode()) % 4 == 2) and predicted == int(score >= 0.3)
+        assert predicted == int(k % 4 == 0)
+
+
+def test_fair_cut():
+    z, labels = np.array([-3, -2, -1, 0.0, 1, 2, 3]), np.array([0, 0, 0, 0, 1, 1, 1], bool)
+    assert X.fair_cut(z, labels) == 0.5
+    assert X.fair_cut(np.append(z, 1.5), np.append(labels, False)) == 1.75  # one clean row in five weighs more than one toxic row in three
 
 
 def test_held_out_accuracy(spark):
@@ -274,7 +326,7 @@ def test_held_out_accuracy(spark):
     right = out.filter("predicted = toxic").count()
     caught = out.filter("toxic = 1 AND predicted = 1").count() / out.filter("toxic = 1").count()
     false = out.filter("toxic = 0 AND predicted = 1").count() / out.filter("toxic = 0").count()
-    assert right / n > 0.97 and caught > 0.75 and false < 0.01
+    assert right / n > 0.97 and caught >= 0.9 and false < 0.01
 
 
 def test_scores_of_odd_documents(spark, odd, nothing, sf):
