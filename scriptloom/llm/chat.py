@@ -17,7 +17,8 @@ a backslash is put after the first character of each control string.
 
 Defined results: a null role or text is the empty string; turns are ordered by
 (turn, role, text) with null turns first, so ties and repeated rows have a fixed
-order; a null conversation id is one conversation; an empty table gives no rows.
+order; a null conversation id is one conversation; extra columns, whatever their
+names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import materialise, partitions, shared_dir
 
 START, SEP, END = "<|turn|>", "<|says|>", "<|over|>"
 #: Strings with a meaning for some chat model; none survives inside a text.
@@ -41,6 +42,9 @@ TEMPLATE = (
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}"
     "{% else %}{{ m.text | escape }}{% endif %}<|over|>{% endfor %}"
 )
+#: Code points of a written chunk of formatted text.
+CHUNK = 1 << 16
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
@@ -500,18 +504,67 @@ def format_turns(conversations: DataFrame, source: str = TEMPLATE) -> DataFrame:
     return _grouped(conversations).mapInArrow(run, "conv_id long, piece_no long, piece string, in_loss boolean")
 
 
-def digests(conversations: DataFrame, source: str = TEMPLATE) -> DataFrame:
-    """Format every conversation and read the output back: counts and digests of what it holds."""
+def format_chunks(conversations: DataFrame, source: str = TEMPLATE, size: int = CHUNK) -> DataFrame:
+    """The formatted text as rows (conv_id, begin, text, loss): at least ``size`` code points but for the last of a conversation,
+    where the text begins in its conversation, and the half-open spans (a, b) of it under the loss mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = compile_template(source)
+        rows: list = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), _SPANS), strict=True)], names=["conv_id", "begin", "text", "loss"])
+
+        for conv_id, turns in _conversations(batches):
+            begin, at, parts, spans = 0, 0, [], []
+            for piece, loss in compiled(turns):
+                parts.append(piece)
+                if loss and piece:
+                    if spans and spans[-1]["b"] == at:
+                        spans[-1]["b"] = at + len(piece)
+                    else:
+                        spans.append({"a": at, "b": at + len(piece)})
+                at += len(piece)
+                if at >= size:
+                    rows.append((conv_id, begin, "".join(parts), spans))
+                    held += at
+                    begin, at, parts, spans = begin + at, 0, [], []
+                    if held > 4 << 20:
+                        yield batch()
+                        rows, held = [], 0
+            if parts or not begin:
+                rows.append((conv_id, begin, "".join(parts), spans))
+                held += at + 64
+        if rows:
+            yield batch()
+
+    return _grouped(conversations).mapInArrow(run, "conv_id long, begin long, text string, loss array<struct<a:int,b:int>>")
+
+
+def read_formatted(chunks: DataFrame) -> DataFrame:
+    """Counts and digests of what formatted conversations hold, from their text and loss spans alone."""
     names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
     types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = compile_template(source)
+        from itertools import groupby
+        from operator import itemgetter
+
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True))
         out = []
-        for conv_id, turns in _conversations(batches):
+        for conv_id, group in groupby(rows, key=itemgetter(0)):
             reader = Reader()
-            for piece, loss in compiled(turns):
-                reader.feed(piece, loss)
+            for _, begin, text, spans in group:
+                if begin != reader.formatted_chars:
+                    raise ValueError(f"a chunk of conversation {conv_id} is missing")
+                at = 0
+                for span in spans:
+                    reader.feed(text[at : span["a"]], False)
+                    reader.feed(text[span["a"] : span["b"]], True)
+                    at = span["b"]
+                reader.feed(text[at:], False)
             out.append((conv_id, *reader.digest()))
             if len(out) >= 10_000:
                 yield _batch(out, names, types)
@@ -519,7 +572,14 @@ def digests(conversations: DataFrame, source: str = TEMPLATE) -> DataFrame:
         if out:
             yield _batch(out, names, types)
 
-    return _grouped(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    n = partitions(chunks.sparkSession)
+    ordered = chunks.repartition(n, "conv_id").sortWithinPartitions("conv_id", "begin")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def digests(conversations: DataFrame, source: str = TEMPLATE) -> DataFrame:
+    """Format every conversation, write the text with its loss spans to the shared folder, read that back, and digest it."""
+    return read_formatted(materialise(format_chunks(conversations, source), f"{shared_dir(conversations.sparkSession)}/formatted"))
 
 
 def _batch(rows: list, names: tuple, types: tuple) -> pa.RecordBatch:
