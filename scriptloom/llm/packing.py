@@ -8,9 +8,10 @@ more than a share of the tokens are split by a hash). The token stream in this
 order is cut into sequences of ``length`` tokens; the tail becomes sequences of
 falling powers of two, so nothing is padded.
 
-Defined results: a null or empty text is its end id alone; null ids and repeated
-rows are packed like any other row; extra columns are ignored; an empty table
-gives no pieces.
+Defined results: a null or empty text is its end id alone; null ids, ties and
+repeated rows are packed like any other row (rows of one id and one cell are not
+split, as the hash is of the id); extra columns, whatever their names, are ignored;
+an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -177,5 +178,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = 1024) -> Dat
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ordered = placed.select("bucket", "doc_id", "n", "ids", "key").repartition(n_parts, "bucket").sortWithinPartitions("bucket", "key", "doc_id", "ids")
-    return ordered.mapInArrow(run, PIECES)
+    # neighbouring buckets, of about equal tokens, in each partition
+    place = F.floor(F.col("bucket") * n_parts / (max(sizes) + 1)).cast("int")
+    ordered = placed.select("bucket", "doc_id", "n", "ids", "key", place.alias("place")).repartitionById(n_parts, "place").sortWithinPartitions("bucket", "key", "doc_id", "ids")
+    return ordered.drop("place").mapInArrow(run, PIECES)
