@@ -140,7 +140,9 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int) -> list[S
 
     pafs.FileSystem.from_uri(folder)[0].create_dir(pafs.FileSystem.from_uri(folder)[1], recursive=True)
     rows = docs.select("doc_id", "text").mapInArrow(encode, "bucket int, doc_id long, ids binary")
-    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    # neighbouring buckets, of about equal rows, in each partition
+    place = F.floor(F.col("bucket") * n / (len(cuts) + 1)).cast("int")
+    rows = rows.withColumn("place", place).repartitionById(n, "place").drop("place").sortWithinPartitions("bucket", "doc_id", "ids")
     shards = rows.mapInArrow(write, "number int, path string, n_docs long, n_ids long").collect()
     return sorted((Shard(**r.asDict()) for r in shards), key=lambda s: s.number)
 
