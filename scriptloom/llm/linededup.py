@@ -8,7 +8,8 @@ windows merging. Each removed line therefore has an equal line further ahead.
 Documents with fewer than three lines have no window and stay as they are; so do
 repeated passages that cover fewer than three whole lines, however long.
 
-Aggregates and joins run on (hash, doc_id, line) only: the first window of each
+Aggregates and joins run on (hash, doc_id, line) only, which are written once below
+the shared folder: the first window of each
 hash comes from a partial aggregation, and hashes that occur once leave before
 the join, whose hot keys adaptive execution splits. Texts are shuffled once.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialise, shared_dir
 
 EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 WORD = r"[^\x20\x09-\x0D]"
@@ -56,6 +57,7 @@ def _windows(text: Column) -> Column:
 def covered_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, t: hash of the text, spans: places of first and last line of later windows) of documents that lose lines."""
     windows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.explode(_windows(F.col("text"))).alias("w")).select("doc_id", "t", "w.h", "w.a", "w.b")
+    windows = materialise(windows, f"{shared_dir(docs.sparkSession)}/windows")  # read twice, cut and hashed once
     place = F.struct("doc_id", "t", "a")
     first = windows.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "first")
     later = windows.join(first, "h").filter(place != F.col("first"))
