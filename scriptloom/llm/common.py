@@ -20,11 +20,14 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder URI below ``spark.checkpoint.dir``.
 
-    The setting names a folder that all executors share. Only where it is unset
+    The setting (or else the checkpoint folder set on the context) names a folder that
+    all executors share. Only where both are unset and the driver runs all tasks itself
     (local runs and tests) is a temporary folder of this machine used.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(spark.sparkContext, "_loom_shared", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="scriptloom-")

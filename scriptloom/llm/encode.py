@@ -9,7 +9,9 @@ is none, which is a cut in every case. The memo is bounded.
 Merging by rank of the joined bytes gives the library's ids where each token of the
 vocabulary, encoded alone by the library's own model, is itself: a pair that is no
 listed merge can then never be neighbours. This is verified for all tokens when a
-vocabulary is loaded. Where it holds, whole texts (byte-level vocabularies) or
+vocabulary is loaded, as are the order of the merges (ascending ids), that nothing
+else in the file could change the ids (normaliser, pre-tokeniser, added tokens of
+other kinds than those known here); any doubt leaves all texts to the library. Where it holds, whole texts (byte-level vocabularies) or
 words of letters (word-end vocabularies) within Latin-1, whose classes and case
 are alike in all engines, are merged by rank, which is faster. All else takes the
 library.
@@ -120,6 +122,24 @@ def _byte_alphabet() -> dict[str, int]:
 WORD_END = b"\xff"
 
 
+def _plain(whole: dict, words: bool) -> bool:
+    """Whether the file's steps around the model are those that the rank encoder takes over."""
+    for t in whole.get("added_tokens") or []:
+        if any(t.get(k) for k in ("single_word", "lstrip", "rstrip")) or (words and t.get("normalized")):
+            return False
+    if whole.get("truncation") or whole.get("padding"):
+        return False
+    normal, before = whole.get("normalizer"), whole.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", [before])
+    last = steps[-1]
+    if last.get("type") != "ByteLevel" or last.get("add_prefix_space") or any(s.get("type") not in ("ByteLevel", "Split") for s in steps):
+        return False
+    if words:  # a word of letters is lowered and stays one piece: any cutting pattern of words does that
+        kinds = [s.get("type") for s in (normal or {}).get("normalizers", [normal or {}])]
+        return set(kinds) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in kinds and len(steps) == 2
+    return normal is None and len(steps) == 1 and last.get("use_regex", True)
+
+
 def _ranks(path: str, loaded):
     """A rank-based encoder proven equal to the library's model, or None."""
     import json
@@ -130,14 +150,20 @@ def _ranks(path: str, loaded):
     from tokenizers.models import BPE
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model = whole["model"]
     suffix = model.get("end_of_word_suffix") or ""
+    if not _plain(whole, bool(suffix)):
+        return None
     if model.get("type") != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
         return None
     special = {t.content: i for i, t in loaded.get_added_tokens_decoder().items()}
     letters = _byte_alphabet()
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     tokens = {t: i for t, i in model["vocab"].items() if t not in special}
+    made = [model["vocab"].get(a + b, -1) for a, b in merges]
+    if made != sorted(set(made)) or (made and made[0] < 0):
+        return None  # ids must ascend with the merges, as ranks do
     ends = {t: i for t, i in tokens.items() if suffix and t.endswith(suffix)}
     inner = {t: i for t, i in tokens.items() if t not in ends}
     for some, end in ((inner, None), (ends, suffix)):

@@ -42,6 +42,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does to all documents, from the failure bits alone."""
+    return quality.ablation(quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")), "v1")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), end_id=0, length=1024)
 
@@ -62,7 +67,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_near_duplicates, op4_main_text, op5_decontaminate, op6_quality, op7_packing, op8_token_counts, op9_token_ids, op10_chat)
+    f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_near_duplicates, op4_main_text, op5_decontaminate, op6_quality, op7_packing, op8_token_counts, op9_token_ids, op10_chat, quality_ablation)
 }
 
 
@@ -132,6 +137,18 @@ v AS (SELECT *, ({" OR ".join(f"({r.fails})" for r in quality.RULES if r.name in
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AS kept FROM v
 """
 
+_V1 = [r for r in quality.RULES if r.name in quality.POLICIES["v1"]]
+ABLATION_SQL = rf"""
+WITH m AS ({_MEASURED}),
+starts AS (SELECT doc_id, i FROM (SELECT doc_id, unnest(g) AS x, unnest(range(len(g))) AS i FROM m) QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+repeats AS (SELECT doc_id, CAST(count(DISTINCT p) AS BIGINT) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM starts) GROUP BY doc_id),
+f AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words FROM m LEFT JOIN repeats r USING (doc_id)),
+failed AS (SELECT doc_id, [x FOR x IN [{", ".join(f"CASE WHEN {r.fails} THEN '{r.name}' END" for r in _V1)}] IF x IS NOT NULL] AS names FROM f)
+SELECT rule, CAST(count(*) FILTER (WHERE list_contains(names, rule)) AS BIGINT) AS n_failed,
+       CAST(count(*) FILTER (WHERE names = [rule]) AS BIGINT) AS n_only, CAST(count(*) AS BIGINT) AS n_documents
+FROM failed, (SELECT unnest([{", ".join(f"'{r.name}'" for r in _V1)}]) AS rule) GROUP BY rule
+"""
+
 OP10_SQL = rf"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -145,4 +162,4 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op6_quality": OP6_SQL, "op10_chat": OP10_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op6_quality": OP6_SQL, "op10_chat": OP10_SQL, "quality_ablation": ABLATION_SQL}

@@ -97,6 +97,15 @@ def test_line_dedup(spark):
     assert found[503] == ("z", 39) and found[500] == (None, 0)
 
 
+def test_line_dedup_of_texts_under_one_id(spark):
+    """Different texts under one id count as one document in the order of their text hashes."""
+    texts = ["a\nb\nc\nd", "b\nc\nd\ne", "x\na\nb\nc"]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(2, "a\nb\nc")], "doc_id long, text string")
+    order = [r["text"] for r in docs.filter("doc_id = 1").orderBy(F.xxhash64("text")).collect()]
+    after = brute_lines([(k, t) for k, t in enumerate(order)] + [(9, "a\nb\nc")])
+    assert Counter(r["text"] for r in L.dedup_lines(docs).collect()) == Counter(after.values())
+
+
 def test_line_dedup_of_long_documents(spark):
     """Many separate spans in one long document, which must not take quadratic time."""
     shared = [f"shared {k} a\nshared {k} b\n\nshared {k} c" for k in range(20_000)]

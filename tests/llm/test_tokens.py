@@ -157,6 +157,33 @@ def test_hilbert_curve_is_a_path():
     assert (np.abs(np.diff(grid[order], axis=0)).sum(axis=1) == 1).all()
 
 
+def test_sequences_follow_the_curve(spark, sf):
+    """In the order of the packed stream, the Hilbert keys of the documents ascend, cell by cell; split cells are full ones."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path = T.vocabulary("byte_bpe_50k.json")
+    keys = {r["doc_id"]: r["key"] for r in P._encode(docs, path, 0).select("doc_id", "key").collect()}
+    pieces = sorted((r["sequence_id"], r["offset"], r["doc_id"]) for r in P.pack(docs, path).filter("start = 0").collect())
+    cells = [keys[d] >> (P.DIMS * P.BITS + P.TIE_BITS - P.CELL_BITS) for _, _, d in pieces]
+    assert len(cells) == len(keys) and cells == sorted(cells)
+    order = [keys[d] for _, _, d in pieces]
+    alone = [c for c in set(cells) if cells.count(c) > 1]
+    assert sum(a > b for a, b in zip(order, order[1:])) <= len(alone) * 4  # only where a hot cell was split by the hash
+
+
+def test_only_known_files_are_merged_by_rank():
+    import json
+
+    for name, words_ in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        with open(T.vocabulary(name), encoding="utf-8") as f:
+            plain = json.load(f)
+        assert E._plain(plain, words_)
+        byte_level = plain["pre_tokenizer"].get("pretokenizers", [plain["pre_tokenizer"]])[-1]
+        assert not E._plain(plain | {"pre_tokenizer": byte_level | {"add_prefix_space": True}}, words_)
+        assert not E._plain(plain | {"normalizer": {"type": "NFKC"}}, words_)
+        assert not E._plain(plain | {"added_tokens": [plain["added_tokens"][0] | {"lstrip": True}]}, words_)
+        assert not E._plain(plain | {"pre_tokenizer": {"type": "Whitespace"}}, words_)
+
+
 def test_neighbours_are_alike():
     a, b = [np.frombuffer(E.encoder(BYTE).encode([t])[0], "<u2") for t in ("the cat sat on the mat " * 30, "the cat sat on the mat " * 29 + "a dog")]
     assert np.abs(P.points([a])[0].astype(int) - P.points([b])[0].astype(int)).max() <= 12
@@ -221,6 +248,16 @@ def test_conversations(spark):
         text[r["conv_id"]] = text.get(r["conv_id"], "") + r["piece"]
     assert {k: len(v) for k, v in text.items()} == {k: r["formatted_chars"] for k, r in found.items()}
     assert C.digests(df.limit(0)).count() == 0
+    # cut into many chunks, what is read back is the same; the mask comes from the written spans alone
+    whole = C.format_chunks(df, size=3)
+    again = {r["conv_id"]: r for r in C.read_formatted(whole).collect()}
+    assert again == found and whole.count() > 10
+    for r in whole.collect():
+        said = [r["text"][x["a"] : x["b"]] for x in r["loss"]]
+        assert all(x and x in ("yo" + C.escape("</s>"), "") for x in said)
+    lost = whole.filter("NOT (conv_id = 1 AND begin = 0)")
+    with pytest.raises(Exception, match="is missing"):
+        C.read_formatted(lost).collect()
 
 
 def test_queries_against_sql(spark, sf):
