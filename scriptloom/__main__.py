@@ -10,6 +10,7 @@ import os
 import shutil
 import sys
 import tempfile
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from .operators import extract, patch, qa, translate
 from .shipping import ship_package
 from .sources import scripts
 
-#: Batches between two writes of the progress file.
+#: Batches between two writes of the progress file; each batch is in the journal at once.
 WAVE = 16
 
 
@@ -67,8 +68,15 @@ def run_translate(args: argparse.Namespace, fail) -> int:
     if warning:
         print(warning)
     work = tempfile.mkdtemp(prefix="scriptloom-", dir=os.path.dirname(target) or ".")
+    # every batch is on file here as soon as it is done; what an interrupted run left counts
+    journal = os.path.abspath(f"{target}.journal")
+    os.makedirs(journal, exist_ok=True)
     try:
-        progress = _kept(scripts.read_progress(spark, target), f"{work}/start")
+        progress = scripts.read_progress(spark, target)
+        if any(name.endswith(".json") for name in os.listdir(journal)):
+            left = spark.read.schema(translate.JOURNAL).json(journal, pathGlobFilter="*.json")
+            progress = translate.upserted(progress, translate.accepted(left).withColumn("pos", F.col("pos") + (1 << 40)))
+        progress = _kept(progress, f"{work}/start")
         todo = _kept(translate.batches(translate.remaining(entries, progress), profile.batch_size), f"{work}/todo")
         total, done, left = translate.totals(entries, progress).first()
         print(f"Total: {total} | Done: {done} | Todo: {left}")
@@ -78,10 +86,12 @@ def run_translate(args: argparse.Namespace, fail) -> int:
         for begin in range(0, last, WAVE):
             wave = todo.filter((F.col("batch") >= begin) & (F.col("batch") < begin + WAVE)).drop("place", "batch")
             # the wave's entries are all untranslated: an empty progress makes the pass take each of them
-            results = _kept(translate.translate(wave, progress.limit(0), profile, system, args.pause), f"{work}/wave-{begin}")
+            results = _kept(translate.translate(wave, progress.limit(0), profile, system, args.pause, journal=f"file://{journal}"), f"{work}/wave-{begin}")
             progress = _kept(translate.upserted(progress, translate.accepted(results).withColumn("pos", F.col("pos") + (1 << 40))), f"{work}/progress-{begin}")
             accepted, n = results.filter("status = 'ok'").count(), scripts.write_progress(progress, target)
             print(f"Batches {begin + 1}-{min(begin + WAVE, last)} of {last}: accepted {accepted}/{results.count()}. Total done: {n}")
+        scripts.write_progress(progress, target)
+        shutil.rmtree(journal)
     finally:
         shutil.rmtree(work, ignore_errors=True)
     return 0
@@ -101,11 +111,13 @@ def run_qa(args: argparse.Namespace, fail) -> int:
     if warning:
         print(warning)
     found = hold(qa.issues(entries, progress, rules, profile.keep, args.technical_only))
-    text, code = qa.report(found, profile, entries.count(), progress.count(), args.technical_only)
-    print(text, end="")
+    lines, code = qa.report_stream(found, profile, entries.count(), progress.count(), args.technical_only)
+    with open(args.report, "w", encoding="utf-8") if args.report else nullcontext() as f:
+        for line in lines:
+            print(line)
+            if f:
+                f.write(line + "\n")
     if args.report:
-        with open(args.report, "w", encoding="utf-8") as f:
-            f.write(text)
         print(f"Report written to {args.report}")
     return code
 
