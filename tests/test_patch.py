@@ -1,6 +1,7 @@
 import ast
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scriptloom.functions import text as X
@@ -86,17 +87,32 @@ def python_of(source):
     return "\n".join(out)
 
 
-def run(profile, earlier=None):
+def run(profile, earlier=None, styles=None):
     shown = []
     renpy = Box(game=Box(preferences=Box(language=None)), notify=shown.append, Keymap=lambda **k: k)
     renpy.change_language = lambda lang, force=False: setattr(renpy.game.preferences, "language", lang)
     config = Box(say_menu_text_filter=earlier, keymap={}, underlay=[], start_callbacks=[], after_load_callbacks=[], font_replacement_map={})
-    scope = {"renpy": renpy, "config": config, "persistent": Box(_pt_br_auto_set=False), "style": Box(default=Box(), notify=Box())}
+    scope = {"renpy": renpy, "config": config, "persistent": Box(_pt_br_auto_set=False), "style": Box(**(styles or {"default": Box(), "notify": Box()}))}
     exec(python_of(patch.filter_source(profile)), scope)
     scope["_pt_br_translations"]["hi"] = "oi"
     return scope, renpy, config
 
 
+def test_fonts_survive_missing_styles():
+    """A style that has no font keeps its size, and one that is missing stops nothing."""
+    class Stubborn(Box):
+        def __setattr__(self, key, value):
+            if key == "font":
+                raise AttributeError(key)
+            super().__setattr__(key, value)
+
+    font = {"regular": "R.ttf", "size_scale": 2, "base_sizes": {"notify": 10, "gone": 3}, "styles": ["gone", "notify", "default"]}
+    profile = Profile({**PROFILE.data, "font": font})
+    scope, renpy, config = run(profile, styles={"default": Box(), "notify": Stubborn()})
+    renpy.change_language("pt-br")
+    assert scope["style"].notify.size == 20 and scope["style"].default.font == "R.ttf"
+
+
 def test_filter_runs():
     scope, renpy, config = run(PROFILE, lambda t: None if t == "oi" else t + "!")
     show = config.say_menu_text_filter
@@ -125,6 +141,9 @@ def test_runtime(spark):
     assert [r["shown"] for r in runtime.lookup(rows, progress(spark), active=False).orderBy("seq").collect()] == ["t0", "x", "t1", "y"]
     assert tuple(runtime.counters(rows, progress(spark)).first()) == (4, 2, "y")
     lists = spark.createDataFrame([(1, ["t0", "z", "t0"], 2), (2, [], 0), (3, None, 0)], "k int, said array<string>, before int")
-    assert {r["k"]: r["said"] for r in runtime.translate_arrays(lists, progress(spark), "said", ["k"]).collect()} == {1: ["T0", "z", "T0"], 2: [], 3: None}
-    assert {r["k"]: r["said"] for r in runtime.translate_arrays(lists, progress(spark), "said", ["k"], "before").collect()}[1] == ["t0", "z", "T0"]
+    assert {r["k"]: r["said"] for r in runtime.translate_arrays(lists, progress(spark), "said").collect()} == {1: ["T0", "z", "T0"], 2: [], 3: None}
+    assert {r["k"]: r["said"] for r in runtime.translate_arrays(lists, progress(spark), "said", "before").collect()}[1] == ["t0", "z", "T0"]
+    same = spark.createDataFrame([(1, ["t0"]), (1, ["t1", None]), (None, ["t2"]), (None, ["t2"]), (None, None)], "k int, said array<string>")
+    found = runtime.translate_arrays(same, progress(spark), "said").collect()
+    assert sorted(map(str, found)) == sorted(map(str, [Row(k=1, said=["T0"]), Row(k=1, said=["T1", None]), *[Row(k=None, said=["T2"])] * 2, Row(k=None, said=None)]))
     assert runtime.missing_functions(["a", "b"], {"b"}) == ["a"]
