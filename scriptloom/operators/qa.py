@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,10 +112,11 @@ def issues(entries: DataFrame, progress: DataFrame, config: QaRules | None = Non
     )
     if technical_only or not any(r.dedupe for r in config.rules):
         return out.drop("once")
-    # the first entry of each (rule, text), by a partial minimum; rows of other checks pass
-    first = out.filter("once").groupBy("label", "text").agg(F.min("seq").alias("seq"))
-    once = out.filter("once").join(first, ["label", "text", "seq"], "left_semi")
-    return out.filter("NOT once").unionByName(once).drop("once")
+    # one partial aggregation keeps the first entry of each (rule, text); an issue of another check is a group of its own
+    rest = ("category", "label", "speaker", "file", "line", "tr")
+    each = F.when(~F.col("once"), F.col("seq"))
+    first = out.groupBy("check_ord", "text", each.alias("each")).agg(F.min(F.struct("seq", *rest)).alias("f"))
+    return first.select("f.category", "f.label", "f.speaker", "f.file", "f.line", "text", "f.tr", "f.seq", "check_ord")
 
 
 def by_category(found: DataFrame, technical_only: bool = False) -> DataFrame:
@@ -129,26 +132,35 @@ def summary(found: DataFrame) -> DataFrame:
     return found.agg(hard.alias("hard"), soft.alias("review"), (hard + soft).alias("total"), (hard > 0).alias("fails"))
 
 
-def report(found: DataFrame, profile: Profile, n_strings: int, n_translations: int, technical_only: bool = False) -> tuple[str, int]:
-    """The report text (a fixed layout) and the exit code; issues stream through the driver."""
-    bar, lines = "=" * 72, []
-    counts = {r["category"]: r["n_issues"] for r in by_category(found, technical_only).collect()}
-    if technical_only:
-        counts = {1: counts.get(1, 0)}
+def report_lines(found: DataFrame, profile: Profile, n_strings: int, n_translations: int, counts: dict[int, int]) -> Iterator[str]:
+    """The report (a fixed layout) line by line; issues stream through the driver."""
+    bar = "=" * 72
     title = profile.data.get("language_name", profile.data.get("language_id", "?"))
-    lines += ["", "#" * 72, f"  TRANSLATION QUALITY REPORT — {profile.data.get('game_name', '?')} → {title}", f"  Strings: {n_strings} | Trans loaded: {n_translations}", "#" * 72]
+    yield from ("", "#" * 72, f"  TRANSLATION QUALITY REPORT — {profile.data.get('game_name', '?')} → {title}", f"  Strings: {n_strings} | Trans loaded: {n_translations}", "#" * 72)
     rows = found.filter(F.col("category").isin(*counts)).orderBy("category", "seq", "check_ord").toLocalIterator()
     row = next(rows, None)
     for c in sorted(counts):
-        lines += ["", bar, f"  {TITLES.get(c, f'CAT {c}')}  ({counts[c]} issues)", bar]
+        yield from ("", bar, f"  {TITLES.get(c, f'CAT {c}')}  ({counts[c]} issues)", bar)
         if not counts[c]:
-            lines.append("  CLEAN — no issues found.")
+            yield "  CLEAN — no issues found."
         while row is not None and row["category"] == c:
-            lines += [f"  [{row['label']}]  spk={row['speaker']}  {row['file']}:{row['line']}", f"    EN: {row['text'][:80]}", f"    TR: {row['tr'][:90]}"]
+            yield from (f"  [{row['label']}]  spk={row['speaker']}  {row['file']}:{row['line']}", f"    EN: {row['text'][:80]}", f"    TR: {row['tr'][:90]}")
             row = next(rows, None)
-    hard = sum(n for c, n in counts.items() if c != 4)
-    review = counts.get(4, 0)
-    lines += ["", bar, "  SUMMARY", bar]
-    lines += [f"  Cat {c}: {counts[c]:4d}  {'(review manually)' if c == 4 else '(must fix)'}" for c in sorted(counts)]
-    lines += ["  " + "-" * 25, f"  Hard issues:   {hard:4d}", f"  Total flagged: {hard + review:4d}", ""]
-    return "\n".join(lines) + "\n", int(hard > 0)
+    hard, review = sum(n for c, n in counts.items() if c != 4), counts.get(4, 0)
+    yield from ("", bar, "  SUMMARY", bar)
+    yield from (f"  Cat {c}: {counts[c]:4d}  {'(review manually)' if c == 4 else '(must fix)'}" for c in sorted(counts))
+    yield from ("  " + "-" * 25, f"  Hard issues:   {hard:4d}", f"  Total flagged: {hard + review:4d}", "")
+
+
+def report(found: DataFrame, profile: Profile, n_strings: int, n_translations: int, technical_only: bool = False) -> tuple[str, int]:
+    """The report as one text, and the exit code."""
+    lines, code = report_stream(found, profile, n_strings, n_translations, technical_only)
+    return "\n".join(lines) + "\n", code
+
+
+def report_stream(found: DataFrame, profile: Profile, n_strings: int, n_translations: int, technical_only: bool = False) -> tuple[Iterator[str], int]:
+    """The lines of the report, one by one, and the exit code."""
+    counts = {r["category"]: r["n_issues"] for r in by_category(found, technical_only).collect()}
+    if technical_only:
+        counts = {1: counts.get(1, 0)}
+    return report_lines(found, profile, n_strings, n_translations, counts), int(any(n for c, n in counts.items() if c != 4))

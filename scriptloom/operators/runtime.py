@@ -30,20 +30,26 @@ def chained(text: Column, translate: Callable[[Column], Column], previous: Calla
     return translated if previous is None else F.coalesce(previous(translated), translated)
 
 
-def translate_arrays(rows: DataFrame, progress: DataFrame, column: str, key: list[str], since: str | None = None) -> DataFrame:
+def translate_arrays(rows: DataFrame, progress: DataFrame, column: str, since: str | None = None) -> DataFrame:
     """Translate the members of an array column; with ``since`` only those at that place or later.
 
-    Members are looked up by a join and put back in order, so the dictionary never has to fit a literal.
+    Members are looked up by a join, so the dictionary never has to fit a literal, and put
+    back in order by row, not by any of its values: equal rows, repeated and null keys stay
+    as many rows, null arrays and null members stay null.
     """
+    others = [c for c in rows.columns if c != column]
     table = progress.select(F.col("text").alias("_m"), "tr")
-    wanted = [*key, *([since] if since else [])]
-    flat = rows.select(*wanted, F.posexplode(column).alias("_p", "_m")).join(table, "_m", "left")
-    new = F.coalesce("tr", "_m")
-    if since:
-        new = F.when(F.col("_p") >= F.col(since), new).otherwise(F.col("_m"))
-    back = flat.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_p", new.alias("v")))).alias("_s"))
-    shown = F.coalesce(F.transform("_s", lambda x: x["v"]), F.col(column))
-    return rows.join(back, key, "left").withColumn(column, shown).drop("_s")
+    flat = rows.withColumn("_id", F.monotonically_increasing_id())
+    flat = flat.select("_id", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(f"`{column}`").isNull().alias("_none"), F.posexplode_outer(f"`{column}`").alias("_p", "_m"))
+    # the other columns travel with the first member only
+    flat = flat.withColumn("_from", F.col("_row").getField(since) if since else F.lit(0))
+    flat = flat.withColumn("_row", F.when(F.coalesce("_p", F.lit(0)) == 0, F.col("_row")))
+    member = F.when(F.col("_p") >= F.col("_from"), F.coalesce("tr", "_m")).otherwise(F.col("_m"))
+    found = flat.join(table, "_m", "left").groupBy("_id").agg(
+        F.first("_row", ignorenulls=True).alias("_row"), F.bool_or("_none").alias("_none"), F.sort_array(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_p", member.alias("v"))))).alias("_s")
+    )
+    shown = F.when(~F.col("_none"), F.transform("_s", lambda x: x["v"]))
+    return found.select(*[(shown if c == column else F.col("_row").getField(c)).alias(c) for c in rows.columns])
 
 
 def missing_functions(wanted: list[str], present: set[str]) -> list[str]:

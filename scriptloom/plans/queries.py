@@ -25,6 +25,7 @@ RULES = QaRules.parse(
             {"name": "crowded", "category": 3, "pattern": r"\[u", "near": {"group": "loud", "min": 2, "dominant_over": ["calm"]}},
             {"name": "each", "category": 5, "pattern": r": [1-4]\d?\}", "speakers": ["click"], "skip_monologue": True, "dedupe": False},
             {"name": "never", "pattern": ".", "speakers_group": "unknown"},
+            {"name": "shouts", "category": 3, "pattern": "[A-Z]{4}", "skip_monologue": True},
         ],
     }
 )
@@ -49,10 +50,9 @@ def query(name: str, sql: str | None = None):
 
 
 def script_query(name: str, sql: str):
-    """Register an operator over whole script lines as ``name``_whole, which has no SQL, and over the cut lines of the given SQL as ``name``."""
+    """Register an operator over the script lines."""
 
     def add(f: Callable[[DataFrame], DataFrame]):
-        query(f"{name}_whole")(lambda spark, sf_dir: f(A.whole_script(spark, sf_dir)))
         query(name, sql)(lambda spark, sf_dir: f(A.script(spark, sf_dir)))
         return f
 
@@ -81,6 +81,8 @@ sc AS (
 full_lines AS (SELECT s.*, c.line IS NOT NULL AS in_screen FROM sh s LEFT JOIN sc c ON c.file = s.file AND c.line = s.line)"""
 )
 _Q = r'"((?:[^"\\]|\\.)*)"'
+#: A marked string in double or single quotes.
+_MARK = rf"""'_\(\s*(?:{_Q}|''((?:[^''\\]|\\.)*)'')\s*\)'"""
 _SAY = rf"^(\s*)([a-zA-Z_]\w*)\s+{_Q}\s*(?:\([^)]*\))?\s*$"
 _WORDS = ", ".join(f"'{w}'" for w in NON_SPEAKERS)
 _PARSED = rf"""
@@ -101,7 +103,8 @@ _FULL = _SCREENS + rf""",
 parsed AS ({_PARSED} FROM full_lines WHERE NOT hidden AND NOT is_header AND NOT in_screen),
 screen_entries AS (SELECT file, line, regexp_extract(raw, '^\s*(?:text|textbutton|label|tooltip)\s+{_Q}', 1) AS text FROM full_lines
   WHERE NOT hidden AND NOT is_header AND in_screen AND regexp_matches(raw, '^\s*(?:text|textbutton|label|tooltip)\s+{_Q}')),
-ui AS (SELECT file, line, unnest(regexp_extract_all(raw, '_\(\s*{_Q}\s*\)', 1)) AS text, unnest(range(len(regexp_extract_all(raw, '_\(\s*{_Q}\s*\)', 1)))) AS ord FROM full_lines WHERE NOT cm),
+ui AS (SELECT file, line, unnest([concat(x[1], x[2]) FOR x IN list_zip(regexp_extract_all(raw, {_MARK}, 1), regexp_extract_all(raw, {_MARK}, 2))]) AS text,
+  unnest(range(len(regexp_extract_all(raw, {_MARK}, 1)))) AS ord FROM full_lines WHERE NOT cm),
 entries AS (
   SELECT text, speaker, file, line, kind, 99 AS ord FROM ({_TEXTS}) WHERE trim(text) <> ''
   UNION ALL SELECT text, '_screen', file, line, 'screen', 99 FROM screen_entries WHERE trim(text) <> '' AND {_OK}
@@ -248,13 +251,18 @@ def progress_upsert(spark, sf_dir):
     return translate.upserted(A.event_progress(spark, sf_dir), new)
 
 
-@query("translate_pass")
+@query(
+    "translate_pass",
+    with_tables("conv", "convp")
+    + """SELECT seq, text, upper(replace(text, 'ß', 'SS')) AS tr, 'ok' AS status, CAST(place // 7 AS BIGINT) AS batch
+FROM (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS place FROM conv WHERE text NOT IN (SELECT text FROM convp))""",
+)
 def translate_pass(spark, sf_dir):
     """All conversations that lack a translation, by the offline provider."""
     return translate.translate(A.conversation_entries(spark, sf_dir), A.conversation_progress(spark, sf_dir), PROFILE, pause=0)
 
 
-@query("reply_recovery")
+@query("reply_recovery", with_tables("conv") + "SELECT seq, text AS tr FROM conv")
 def reply_recovery(spark, sf_dir):
     """Noisy replies around each conversation turn, read back."""
     rows = A.conversation_entries(spark, sf_dir)
@@ -271,7 +279,7 @@ def reply_recovery(spark, sf_dir):
     return noisy.mapInPandas(run, "seq long, tr string")
 
 
-@query("review_sample")
+@query("review_sample", with_tables("ev", "evp") + "SELECT text, tr, pos FROM evp ORDER BY md5(text || '#0'), text LIMIT 25")
 def review_sample(spark, sf_dir):
     return translate.sample(A.event_progress(spark, sf_dir), 25)
 
@@ -302,6 +310,7 @@ _ISSUES = f"""{_TECHNICAL}
   UNION ALL SELECT 2, 'shouts', {_COLUMNS} FROM near WHERE {_HAS} AND speaker IN ('error', 'purchase') AND regexp_matches(tr, '[A-Z]{{5}}') QUALIFY row_number() OVER (PARTITION BY text ORDER BY seq) = 1
   UNION ALL SELECT 3, 'crowded', {_COLUMNS} FROM near WHERE {_HAS} AND regexp_matches(tr, '\\[u') AND loud >= 2 AND loud >= calm QUALIFY row_number() OVER (PARTITION BY text ORDER BY seq) = 1
   UNION ALL SELECT 5, 'each', {_COLUMNS} FROM near WHERE {_HAS} AND speaker = 'click' AND NOT (text LIKE '(%' AND text LIKE '%)') AND regexp_matches(tr, ': [1-4]\\d?\\}}')
+  UNION ALL SELECT 3, 'shouts', {_COLUMNS} FROM near WHERE {_HAS} AND NOT (text LIKE '(%' AND text LIKE '%)') AND regexp_matches(tr, '[A-Z]{{4}}') QUALIFY row_number() OVER (PARTITION BY text ORDER BY seq) = 1
   UNION ALL SELECT 4, 'roman:' || array_to_string(({_ROMAN})[1:3], ','), {_COLUMNS} FROM near WHERE {_HAS} AND len({_ROMAN}) > 0
   UNION ALL SELECT 4, 'short?', {_COLUMNS} FROM near WHERE {_HAS} AND length(text) > 20 AND length(tr) < length(text) * CAST(0.28 AS DOUBLE)"""
 
@@ -415,7 +424,15 @@ def patch_lines(spark, sf_dir):
     return built.filter(~head)
 
 
-@query("patch_files")
+_FILTER_LINES = patch.filter_source(PROFILE).count("\n")
+
+
+@query(
+    "patch_files",
+    with_tables("ev", "evp", more=_SCREENED)
+    + f"""SELECT path, CAST(count(*) + 6 AS BIGINT) AS n_lines FROM ({_DICT_LINES}) GROUP BY path
+UNION ALL SELECT path, CAST(count(*) + 4 AS BIGINT) FROM ({_STRINGS_LINES}) GROUP BY path UNION ALL SELECT 'tl/th-ai/00_th_ai_filter.rpy', {_FILTER_LINES}""",
+)
 def patch_files(spark, sf_dir):
     return patch.build(A.event_progress(spark, sf_dir), PROFILE, A.event_entries(spark, sf_dir), 500).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
 
@@ -449,25 +466,30 @@ def filter_chain(spark, sf_dir):
 
 
 def _arrays(spark, sf_dir) -> DataFrame:
+    """One array a conversation and one for its second half, under the same key; the key of some is null."""
     rows = A.conversation_entries(spark, sf_dir).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("s"))
-    return rows.select("file", F.transform("s", lambda x: x["text"]).alias("said"), F.lit(2).alias("before"))
+    rows = rows.select("file", F.explode(F.array("s", F.filter("s", lambda x, k: k >= 3))).alias("s"))
+    name = F.when(F.substring("file", -1, 1) != "7", F.col("file"))
+    return rows.select(name.alias("file"), F.transform("s", lambda x: x["text"]).alias("said"), F.lit(2).alias("before"))
 
 
-@query(
-    "array_translate",
-    with_tables("conv", "convp") + "SELECT file, md5(string_agg(coalesce(tr, conv.text), chr(10) ORDER BY seq)) AS said FROM conv LEFT JOIN convp ON convp.text = conv.text GROUP BY file",
-)
+_NUMBERED = """FROM (SELECT *, unnest([0, 3]) AS half FROM (
+  SELECT file, seq, conv.text, tr, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS p FROM conv LEFT JOIN convp ON convp.text = conv.text)) n
+GROUP BY n.file, half"""
+_NAMED = "CASE WHEN right(file, 1) <> '7' THEN file END AS file"
+
+
+@query("array_translate", with_tables("conv", "convp") + f"SELECT {_NAMED}, md5(coalesce(string_agg(coalesce(tr, text), chr(10) ORDER BY seq) FILTER (WHERE p >= half), '')) AS said {_NUMBERED}")
 def array_translate(spark, sf_dir):
-    out = runtime.translate_arrays(_arrays(spark, sf_dir), A.conversation_progress(spark, sf_dir), "said", ["file"])
+    out = runtime.translate_arrays(_arrays(spark, sf_dir), A.conversation_progress(spark, sf_dir), "said")
     return out.select("file", F.md5(F.array_join("said", "\n")).alias("said"))
 
 
 @query(
     "append_translate",
     with_tables("conv", "convp")
-    + """SELECT file, md5(string_agg(CASE WHEN p >= 2 THEN coalesce(tr, text) ELSE text END, chr(10) ORDER BY seq)) AS said FROM (
-  SELECT file, seq, conv.text, tr, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS p FROM conv LEFT JOIN convp ON convp.text = conv.text) GROUP BY file""",
+    + f"SELECT {_NAMED}, md5(coalesce(string_agg(CASE WHEN p - half >= 2 THEN coalesce(tr, text) ELSE text END, chr(10) ORDER BY seq) FILTER (WHERE p >= half), '')) AS said {_NUMBERED}",
 )
 def append_translate(spark, sf_dir):
-    out = runtime.translate_arrays(_arrays(spark, sf_dir), A.conversation_progress(spark, sf_dir), "said", ["file"], since="before")
+    out = runtime.translate_arrays(_arrays(spark, sf_dir), A.conversation_progress(spark, sf_dir), "said", since="before")
     return out.select("file", F.md5(F.array_join("said", "\n")).alias("said"))

@@ -31,10 +31,11 @@ def dressed(docs):
             files.setdefault(source, []).extend(re.split(r"\r\n|\r|\n", text))
     for file, texts in files.items():
         for n, raw in enumerate(texts, 1):
-            t, k, deep = raw.replace('"', "").replace("\\", ""), n // 13, lambda m, k=n // 13: "    " * (k % m)
+            t, u = (raw.replace("\\", "\\\\").replace(q, "\\" + q) for q in "\"'")
+            k, deep = n // 13, lambda m, k=n // 13: "    " * (k % m)
             yield file, n, [
                 f'    hero "{t}"', f'    "{t}"', f'    "{t}" if ok:', f'    show text "{t}"', f'    $ x = "{t}"', deep(3) + "python:",
-                f'{deep(4)}y = _("{t}") + _("ok{n}")', f'# _("{t}")', f"{deep(2)}screen s{n}:", f'{deep(3)}text "{t}"',
+                f"{deep(4)}y = _('{u}') + _(\"{t}\")" if k % 3 == 0 else f'{deep(4)}y = _("{t}") + _("ok{n}")', f'# _("{t}")', f"{deep(2)}screen s{n}:", f'{deep(3)}text "{t}"',
                 f'        textbutton _("[x]") action "{t}"', f'{deep(2)}label "{t}"', f'extend "{t}"' if k % 2 else "",
             ][n % 13]
 
@@ -90,8 +91,8 @@ def test_whole_lines_equal_brute_force(spark, given):
     from scriptloom.plans.queries import QUERIES
 
     folder, rows = given
-    got = lambda name: sorted(tuple(r) for r in QUERIES[f"{name}_whole"](spark, folder).collect())
-    assert sorted(tuple(r) for r in adapters.whole_script(spark, folder).collect()) == rows
+    got = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, folder).collect())
+    assert sorted(tuple(r) for r in adapters.script(spark, folder).collect()) == rows
     flags, plain = scanned(rows, False)
     shown, full = scanned(rows, True)
     assert any(len(e[0]) > 60 for e in plain) and len({e[0] for e in plain}) > len({e[0][:60] for e in plain})
