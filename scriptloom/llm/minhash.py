@@ -42,13 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, mix64, partitions, seeds64, shared_dir
+from .common import map_rows, materialise, mix64, partitions, remove, seeds64, shared_dir
 from .components import components
 
 SKETCHES, EACH, AGREE = 13, 2, 9
 PAIRS = [(i, j) for i in range(SKETCHES) for j in range(i + 1, SKETCHES)]
 #: Members of a block, and the most where a group has more than ``BLOCKS`` such blocks; shingles of a block.
-BLOCK, MOST, BLOCKS, BLOCK_SHINGLES = 128, 2048, 64, 400_000
+BLOCK, MOST, BLOCKS, BLOCK_SHINGLES = 256, 2048, 64, 400_000
 PERCENT = 80
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACES = np.zeros(256, bool)
@@ -155,8 +155,8 @@ def meetings(reps: DataFrame, folder: str) -> DataFrame:
 
 
 def hub_pairs(met: DataFrame) -> DataFrame:
-    """Distinct (a, b) of members and the hubs of their keys."""
-    return met.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    """Distinct (a, b) of members and the hubs of their keys; a hub is another one's member only where that is heavier."""
+    return met.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -186,10 +186,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return map_rows(_wanted(docs, nodes), run, "node long, set array<long>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, folder: str) -> DataFrame:
-    """The pairs (a, b) that are links by exact set similarity."""
-    pairs = materialise(pairs, f"{folder}/pairs")
-    sets = materialise(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), size), f"{folder}/sets")
+def confirmed(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """The pairs (a, b) that are links by exact similarity of their ``sets`` (node, set)."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     counted = both.select("a", "b", shared.alias("k"), (F.size("sa") + F.size("sb")).alias("n"))
@@ -209,7 +207,7 @@ def further_pairs(left: DataFrame) -> DataFrame:
     inside, who = F.col("component") == F.col("largest"), F.struct("node", "component")
     centres = left.groupBy("key").agg(F.max_by(F.when(inside, who), F.when(inside, F.xxhash64("node", "key"))).alias("x"), F.max_by(F.when(~inside, who), F.when(~inside, F.struct("weight", "node"))).alias("y"))
     met = left.filter(~inside).join(centres, "key").select("node", "component", F.explode(F.array("x", "y")).alias("c")).filter("component <> c.component")
-    return met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    return met.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
 
 
 def group_members(left: DataFrame, folder: str) -> DataFrame:
@@ -274,10 +272,9 @@ def block_links(first: np.ndarray, nodes: np.ndarray, comps: np.ndarray, sets: l
     return out
 
 
-def remaining_links(docs: DataFrame, left: DataFrame, reps: DataFrame, size: int, folder: str) -> DataFrame:
+def remaining_links(left: DataFrame, reps: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """(a, b) of true links between components of undecided keys."""
     members = materialise(group_members(left, folder), f"{folder}/members")
-    sets = materialise(sets_of(docs, members, size), f"{folder}/sets")
     rows = block_rows(members, reps).join(sets, "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +302,7 @@ def remaining_links(docs: DataFrame, left: DataFrame, reps: DataFrame, size: int
             yield out
 
     task = ("group", "x", "y")
-    dealt = rows.select(*task, "own", "node", "component", "set").repartition(partitions(docs.sparkSession), *task).sortWithinPartitions(*task, "own", "node")
+    dealt = rows.select(*task, "own", "node", "component", "set").repartition(partitions(left.sparkSession), *task).sortWithinPartitions(*task, "own", "node")
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
@@ -323,17 +320,22 @@ def with_links(found: DataFrame, links: DataFrame, folder: str) -> DataFrame:
 
 def linked(docs: DataFrame, reps: DataFrame, size: int, folder: str) -> DataFrame:
     """(node, component) of the representatives that are linked with a smaller one."""
+    spark = docs.sparkSession
     met = materialise(meetings(reps, folder), f"{folder}/hubs")
-    links = confirmed(docs, agreeing(hub_pairs(met), reps), size, f"{folder}/first")
+    for name in ("met", "weighed"):
+        remove(spark, f"{folder}/{name}")
+    # the sets of all that share a key with another one, cut and hashed once
+    sets = materialise(sets_of(docs, met.select("node"), size), f"{folder}/sets")
+    links = confirmed(agreeing(hub_pairs(met), reps), sets, f"{folder}/first")
     found = materialise(components(links, f"{folder}/first"), f"{folder}/found")
     left = materialise(undecided(met.filter("n > 2"), found), f"{folder}/left")
     if left.isEmpty():
         return found
-    found = with_links(found, confirmed(docs, agreeing(further_pairs(left), reps), size, f"{folder}/further"), f"{folder}/further")
+    found = with_links(found, confirmed(agreeing(further_pairs(left), reps), sets, f"{folder}/further"), f"{folder}/further")
     left = materialise(undecided(left, found), f"{folder}/left-2")
     if left.isEmpty():
         return found
-    links = materialise(remaining_links(docs, left, reps, size, f"{folder}/blocks"), f"{folder}/blocks/links")
+    links = materialise(remaining_links(left, reps, sets, f"{folder}/blocks"), f"{folder}/blocks/links")
     return with_links(found, links, f"{folder}/blocks")
 
 
