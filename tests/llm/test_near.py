@@ -166,7 +166,14 @@ def test_stages_on_odd_documents(spark, odd, nothing, sf):
         out = stage(spark, odd, sf)
         assert out.columns == odd.columns, name
         assert out.count() <= odd.count() and stage(spark, nothing, sf).count() == 0
-    assert corpus_pipeline.STAGES[-1][1](spark, nothing, sf).count() == 0
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, nothing, sf).count() == 0
+    pieces = pack(spark, odd, sf).collect()
+    # every row is packed whole, its end id with it; null and empty texts are that id alone
+    assert sum(p["length"] for p in pieces if p["doc_id"] in (3, 4)) == 2
+    assert {p["doc_id"] for p in pieces} == {d for d, _ in odd_texts()}
+    ends = sorted((p["sequence_id"], p["offset"], p["length"]) for p in pieces)
+    assert all(a[1] + a[2] == b[1] for a, b in zip(ends, ends[1:], strict=False) if a[0] == b[0])
 
 
 def test_pipeline_equals_its_parts(spark, sf):
@@ -186,8 +193,10 @@ def test_pipeline_equals_its_parts(spark, sf):
     # a stretch of an item is enough for the stage, so it may take more than whole items
     whole_item = unique - clean
     assert not found & whole_item and found <= clean
-    extra = clean - found
-    assert all(any(after[d].lower().encode()[k : k + 40] in i for i in items for k in range(0, len(after[d]), 7)) for d in extra) or not extra
+    # what else it takes shares 16 bytes with an item: 80 bytes with four edits hold as many unedited in a row
+    for d in clean - found:
+        text = D.normal(after[d])
+        assert any(i[k : k + 16] in text for i in items for k in range(len(i) - 15)), d
 
 
 def test_candidate_loss_at_the_threshold():
