@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scriptloom.llm import minhash as M
-from scriptloom.llm.common import shared_dir
-from scriptloom.llm.components import components
+from scriptloom.llm.common import partitions, shared_dir
+from scriptloom.llm.components import _with_least, components
 
 from .conftest import brute_components, brute_sets, odd_texts, words
 
@@ -81,7 +82,6 @@ def test_blocks_alone_find_all_links(spark, monkeypatch):
 
 def test_tasks_of_a_template_crowd_are_bounded(spark):
     """5,000 pages of one template that do not link: no task holds more than two blocks, and a member is sent as often as there are blocks."""
-    from pyspark.sql import functions as F
 
     n = 5000
     rng = random.Random(4)
@@ -158,6 +158,16 @@ def test_connected_components(spark):
     assert {n for n in parent if root(n) != n} <= set(found)
 
 
+def test_edges_of_a_star_are_dealt_to_many_tasks(spark):
+    edges = [(500, k) for k in range(1000) if k != 500]
+    found = _with_least(spark.createDataFrame([*edges, (3000, 2000)], "a long, b long"))
+    assert {(r["a"], r["b"], r["m"]) for r in found.collect()} == {(500, k, 0) for _, k in edges} | {(3000, 2000, 2000)}
+    shares = found.filter("a = 500").groupBy(F.pmod(F.xxhash64("b"), F.lit(partitions(spark))).alias("s")).count().collect()
+    assert len(shares) == partitions(spark) and max(r["count"] for r in shares) < 2 * len(edges) / len(shares)
+    linked = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), shared_dir(spark)).collect()}
+    assert linked == {k: 0 for k in range(1, 1000)}
+
+
 # ---- pipeline --------------------------------------------------------------
 
 
