@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.order import ranked
+from ..functions.order import numbered
 from ..model import NON_SPEAKERS
+from ..shared import written
 
 
 def with_layout(lines: DataFrame) -> DataFrame:
@@ -25,53 +28,138 @@ def with_layout(lines: DataFrame) -> DataFrame:
     )
 
 
-#: Lines that one task numbers or scans together; longer files are cut and joined by their summaries.
+#: Lines that are scanned together; longer files are cut, and each piece gets what the pieces before it left open.
 CHUNK = 1 << 16
+#: No block is open.
+NONE = 2**31 - 1
+#: Bits of a line, for the scan.
+BLANK, OPENS, UNSEEN, PYTHON, SCREEN = 1, 2, 4, 8, 16
 
 
-def with_blocks(lines: DataFrame, header: Column, seen: Column, name: str) -> DataFrame:
-    """Add ``name``: the line is inside a block that a ``header`` line opens; only ``seen`` lines count, others are outside.
+def scan_blocks(indent: np.ndarray, bits: np.ndarray, enter: int = NONE) -> tuple[np.ndarray, int, int]:
+    """Which lines of a piece are inside a block, the least indent of its lines, and the least indent of a header left open.
 
-    A block ends at the next line that is not blank and not indented deeper than
-    its header; blocks within blocks change nothing. So a line is inside exactly
-    where, for some header indent L, the last line at or before it that is not
-    blank and not indented deeper than L is an earlier header of indent L. That is
-    one running maximum for each L that occurs. Files are scanned in chunks, and
-    chunks get what came before from one row for each (file, chunk).
+    A block goes on to the next line that is not blank and not indented deeper than its
+    header. ``enter`` is the least indent of a header that earlier pieces left open: of all
+    open blocks the least indented one ends last, so that one number is all a piece needs to
+    know of everything before it.
     """
-    opens = seen & F.coalesce(header, F.lit(False))
-    levels = sorted(r[0] for r in lines.filter(opens).select("indent").distinct().collect())
-    if not levels:
-        return lines.withColumn(name, F.lit(False))
-    # line * 2, plus 1 where it opens a block: the largest one is the last one
-    code = F.col("line").cast("long") * 2
-    reach = [F.when(seen & ~F.col("blank") & (F.col("indent") <= L), code + F.when(opens & (F.col("indent") == L), 1).otherwise(0)) for L in levels]
-    coded = lines.withColumns({"_chunk": F.floor(F.col("line") / CHUNK), "_seen": seen, **{f"_r{k}": r for k, r in enumerate(reach)}})
-    ends = coded.groupBy("file", "_chunk").agg(*[F.max(f"_r{k}").alias(f"_m{k}") for k in range(len(levels))])
-    earlier = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = ends.select("file", "_chunk", *[F.max(f"_m{k}").over(earlier).alias(f"_b{k}") for k in range(len(levels))])
-    running = Window.partitionBy("file", "_chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    coded = coded.withColumns({f"_r{k}": F.max(f"_r{k}").over(running) for k in range(len(levels))}).join(before, ["file", "_chunk"])
-    inside = F.lit(False)
-    for k in range(len(levels)):
-        last = F.coalesce(f"_r{k}", f"_b{k}")
-        inside = inside | F.coalesce((last % 2 == 1) & (last < F.col("line").cast("long") * 2), F.lit(False))
-    return coded.select(*lines.columns, (F.col("_seen") & inside).alias(name))
+    seen = (bits & UNSEEN) == 0
+    solid = np.flatnonzero(seen & ((bits & BLANK) == 0))
+    depth = indent[solid]
+    heads = np.flatnonzero(seen & ((bits & OPENS) != 0))
+    inside = np.zeros(len(indent), bool)
+
+    def end_of(first: int, level: int) -> int:
+        """Place among the solid lines, from ``first``, of the first one at most as deep as ``level``."""
+        step = 64
+        while first < len(depth):
+            hit = np.flatnonzero(depth[first : first + step] <= level)
+            if len(hit):
+                return first + int(hit[0])
+            first, step = first + step, step * 2
+        return len(depth)
+
+    at, left = 0, NONE
+    if enter != NONE:
+        k = end_of(0, enter)
+        at = int(solid[k]) if k < len(solid) else len(indent)
+        inside[:at], left = True, enter if k == len(solid) else NONE
+    h = int(np.searchsorted(heads, at))
+    while h < len(heads):
+        head = int(heads[h])
+        k = end_of(int(np.searchsorted(solid, head, side="right")), int(indent[head]))
+        at = int(solid[k]) if k < len(solid) else len(indent)
+        inside[head + 1 : at] = True
+        if k == len(solid):
+            left = int(indent[head])
+            break
+        h = int(np.searchsorted(heads, at))
+    return inside & seen, int(depth.min()) if len(depth) else NONE, left
+
+
+_PIECE = "key struct<file:string,chunk:bigint>, line array<int>, indent array<int>, bits array<int>, least int, left int"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], settle: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of pieces after ``settle`` (indent, bits, enter) has put its flags into bits."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            indent, bits = (row.column(row.schema.get_field_index(n)).flatten().to_numpy() for n in ("indent", "bits"))
+            bits = settle(indent, bits, row.column(row.schema.get_field_index("enter"))[0].as_py())
+            _, least, left = scan_blocks(indent, bits)
+            line = row.column(row.schema.get_field_index("line"))
+            arrays = [row.column(0), line, pa.array([indent], pa.list_(pa.int32())), pa.array([bits], pa.list_(pa.int32())), pa.array([least], pa.int32()), pa.array([left], pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "line", "indent", "bits", "least", "left"])
+
+
+def _entered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``enter``, what the earlier pieces of the file leave open; these meet as two numbers a piece."""
+    ends = pieces.groupBy(F.col("key.file").alias("file")).agg(F.sort_array(F.collect_list(F.struct("key.chunk", "least", "left"))).alias("ends"))
+    # least open indent after each piece: what came in, where nothing in the piece ended it, or what the piece leaves itself
+    after = lambda s, x: F.when(s < x["least"], F.least(s, x["left"])).otherwise(x["left"])
+    scan = F.aggregate("ends", F.struct(F.lit(NONE).alias("s"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct(after(a["s"], x).alias("s"), F.concat(a["all"], F.array(a["s"])).alias("all")))
+    each = ends.select("file", F.explode(F.arrays_zip(F.col("ends.chunk").alias("chunk"), scan["all"].alias("enter"))).alias("e"))
+    return pieces.join(each.select(F.struct("file", "e.chunk").alias("key"), "e.enter"), "key")
+
+
+def block_lines(lines: DataFrame, flags: Column, settles: list[Callable[[np.ndarray, np.ndarray, int], np.ndarray]]) -> DataFrame:
+    """(file, line, bits) of lines, by passes over packed pieces of files: each of ``settles`` uses the blocks that the flags of the one before it open.
+
+    Only indents and flags travel; a file is one row for each ``CHUNK`` line numbers. Lines
+    are read once, and the rows of a piece are written below the shared folder between passes.
+    """
+    slim = lines.select(F.struct("file", F.floor(F.col("line") / CHUNK).alias("chunk")).alias("key"), F.struct("line", "indent", flags.alias("bits")).alias("x"))
+    packed = slim.groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    pieces = packed.select("key", F.col("x.line").alias("line"), F.col("x.indent").alias("indent"), F.col("x.bits").alias("bits"), F.lit(NONE).alias("enter"))
+    pieces = written(pieces.mapInArrow(lambda batches: _pieces(batches, lambda indent, bits, enter: bits), _PIECE))
+    for settle in settles:
+        pieces = written(_entered(pieces).mapInArrow(lambda batches, settle=settle: _pieces(batches, settle), _PIECE))
+    each = pieces.select("key.file", F.explode(F.arrays_zip("line", "bits")).alias("x"))
+    return each.select("file", "x.line", "x.bits")
+
+
+def _python_then_screens(indent: np.ndarray, bits: np.ndarray, enter: int) -> np.ndarray:
+    """After the blocks of Python headers are known: their lines, and all else that is no statement, are unseen from here on, and screen headers open."""
+    inside, _, _ = scan_blocks(indent, bits, enter)
+    hidden = inside | ((bits & (OPENS | HIDES)) != 0)
+    out = bits & (BLANK | HEADS) | np.where(hidden, UNSEEN, 0) | np.where(inside, PYTHON, 0)
+    return (out | np.where(~hidden & ((bits & HEADS) != 0), OPENS, 0)).astype(np.int32)
+
+
+def _screens(indent: np.ndarray, bits: np.ndarray, enter: int) -> np.ndarray:
+    return (bits | np.where(scan_blocks(indent, bits, enter)[0], SCREEN, 0)).astype(np.int32)
+
+
+#: Further bits: a line that is hidden whatever surrounds it, and one that reads as a screen header.
+HIDES, HEADS = 32, 64
+
+
+def _bit(flag: Column, bit: int) -> Column:
+    return F.when(F.coalesce(flag, F.lit(False)), bit).otherwise(0)
 
 
 def inside_blocks(lines: DataFrame, header: Column) -> DataFrame:
     """(file, line) of lines inside a block that a ``header`` line opens."""
-    return with_blocks(lines, header, F.lit(True), "_in").filter("_in").select("file", "line")
+    found = block_lines(lines, _bit(F.col("blank"), BLANK) + _bit(header, OPENS), [_python_then_screens])
+    return found.filter(F.col("bits").bitwiseAND(PYTHON) != 0).select("file", "line")
 
 
 def masked(lines: DataFrame, screens: bool) -> DataFrame:
     """Lines with layout and the flags in_python and, in screens mode, in_screen and screen_header."""
-    out = with_blocks(with_layout(lines), F.col("python_header"), F.lit(True), "in_python")
+    laid = with_layout(lines)
+    flags = _bit(F.col("blank"), BLANK) + _bit(F.col("python_header"), OPENS) + _bit(F.col("python_line") | F.col("comment"), HIDES)
+    if screens:
+        flags = flags + _bit(X.matches(F.col("body"), X.SCREEN_HEADER), HEADS)
+    found = block_lines(laid, flags, [_python_then_screens, _screens] if screens else [_python_then_screens])
+    # most lines are in no block: only the others are joined
+    bits = found.filter(F.col("bits").bitwiseAND(PYTHON | SCREEN) != 0).select(F.struct("file", "line").alias("_key"), "bits")
+    out = laid.withColumn("_key", F.struct("file", "line")).join(bits, "_key", "left").drop("_key")
+    has = lambda bit: F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
+    out = out.withColumns({"in_python": has(PYTHON), "in_screen": has(SCREEN)}).drop("bits")
     out = out.withColumn("hidden", F.col("in_python") | F.col("python_header") | F.col("python_line") | F.col("comment"))
-    if not screens:
-        return out.withColumn("screen_header", F.lit(False)).withColumn("in_screen", F.lit(False))
-    out = out.withColumn("screen_header", ~F.col("hidden") & X.matches(F.col("body"), X.SCREEN_HEADER))
-    return with_blocks(out, F.col("screen_header"), ~F.col("hidden"), "in_screen")
+    return out.withColumn("screen_header", ~F.col("hidden") & X.matches(F.col("body"), X.SCREEN_HEADER) if screens else F.lit(False))
 
 
 def _row(pattern: str, text_group: int, kind: str, speaker: Column) -> tuple[Column, Column]:
@@ -112,7 +200,7 @@ def occurrences(lines: DataFrame, screens: bool = False) -> DataFrame:
 
 def in_order(entries: DataFrame) -> DataFrame:
     """Add ``seq``: the place by file, line and order on the line."""
-    return ranked(entries, F.struct("file", F.floor(F.col("line") / CHUNK)), ["line", "ord"], "seq").drop("ord")
+    return numbered(entries, ["file", "line", "ord"], "seq").drop("ord")
 
 
 def first_occurrences(entries: DataFrame, key: str = "text") -> DataFrame:
@@ -145,7 +233,3 @@ def speakers(entries: DataFrame) -> DataFrame:
 def subsystem_literals(lines: DataFrame) -> DataFrame:
     """Quoted strings of four or more characters on any line."""
     return lines.select("file", "line", F.explode(X.quoted_literals(F.col("raw"))).alias("text"))
-
-
-def union_files(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.order import ranked
+from ..functions.order import numbered
 from ..model import Profile, QaRule, QaRules
 
 #: Section titles of the report.
@@ -29,32 +29,32 @@ def missing(tr: Column) -> Column:
     return tr.isNull() | X.blank(tr)
 
 
-#: Rows of a file that one task counts over; longer files are cut, each piece with the rows around it.
+#: Rows that one task counts over; the rows around each such piece are copied to it.
 CHUNK = 1 << 16
 
 
 def window_counts(rows: DataFrame, groups: dict[str, tuple[str, ...]], names: list[str], width: int) -> DataFrame:
     """Add ``near_<k>`` for the k-th named group: its speakers among the rows within ``width`` of the row in its file.
 
-    Rows that share file and line use the window of the last of them. Files are
-    counted in pieces of ``CHUNK`` rows, and a row within ``width`` of another piece
-    is copied there; only positions and speaker flags move, the texts join the
-    counts of their line.
+    Rows that share file and line use the window of the last of them. Rows are numbered
+    once in the order of their files, which computes and writes them once; pieces of
+    ``CHUNK`` numbers are counted, on numbers and speaker flags only, and a row within
+    ``width`` of another piece is copied there.
     """
     if not names:
         return rows
+    held = numbered(rows, ["file", "line", "seq"], "_at")
     members = [F.col("speaker").isin(*groups[n]) if groups.get(n) else F.lit(False) for n in names]
-    slim = rows.select("file", "line", "seq", *[F.when(m, 1).otherwise(0).alias(f"_g{k}") for k, m in enumerate(members)])
-    slim = ranked(slim, F.floor(F.col("line") / CHUNK), ["line", "seq"], "_at", within=["file"])
+    slim = held.select("file", "line", "_at", *[F.when(m, 1).otherwise(0).alias(f"_g{k}") for k, m in enumerate(members)])
     piece = lambda at: F.floor(at / CHUNK)
-    pieces = F.sequence(piece(F.greatest(F.col("_at") - width, F.lit(0))), piece(F.col("_at") + width))
-    spread = slim.withColumn("_piece", F.explode(pieces))
-    around = Window.partitionBy("file", "_piece").orderBy("_at").rowsBetween(-width, width)
+    spread = slim.withColumn("_piece", F.explode(F.array_distinct(F.array(piece(F.col("_at") - width), piece(F.col("_at")), piece(F.col("_at") + width))) if width < CHUNK else F.sequence(piece(F.col("_at") - width), piece(F.col("_at") + width))))
+    around = Window.partitionBy("_piece", "file").orderBy("_at").rowsBetween(-width, width)
     counted = spread.select("file", "line", "_at", "_piece", *[F.sum(f"_g{k}").over(around).alias(f"_c{k}") for k in range(len(names))])
     counted = counted.filter(F.col("_piece") == piece(F.col("_at")))
-    last = counted.groupBy(F.col("file").alias("_file"), F.col("line").alias("_line")).agg(*[F.max_by(f"_c{k}", "_at").alias(f"near_{k}") for k in range(len(names))])
-    same = F.col("file").eqNullSafe(F.col("_file")) & F.col("line").eqNullSafe(F.col("_line"))
-    return rows.join(last, same).drop("_file", "_line")
+    counts = F.struct(*[F.col(f"_c{k}").alias(f"near_{k}") for k in range(len(names))])
+    last = counted.groupBy(F.struct("file", "line").alias("_key")).agg(F.max_by(counts, "_at").alias("_near"))
+    out = held.withColumn("_key", F.struct("file", "line")).join(last, "_key")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], "_near.*")
 
 
 def rule_holds(rule: QaRule, names: list[str]) -> Column:

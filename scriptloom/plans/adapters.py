@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.order import ranked
+from ..functions.order import numbered, ranked
 from ..shipping import ship_package
 from ..sources.scripts import split_lines
 
@@ -29,8 +29,8 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def script(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, line, raw): whole document lines, quotes and backslashes escaped, dressed as script statements."""
     lines = doc_lines(spark, sf_dir)
-    numbered = ranked(lines, F.floor(F.col("doc_id") / 4096), ["doc_id", "line"], "n", within=["file"])
-    return numbered.selectExpr("file", "CAST(n + 1 AS INT) AS line", f"{_escaped(34)} AS t", f"{_escaped(39)} AS u").selectExpr("file", "line", f"{_statement('div')} AS raw")
+    placed = ranked(lines, F.floor(F.col("doc_id") / 4096), ["doc_id", "line"], "n", within=["file"])
+    return placed.selectExpr("file", "CAST(n + 1 AS INT) AS line", f"{_escaped(34)} AS t", f"{_escaped(39)} AS u").selectExpr("file", "line", f"{_statement('div')} AS raw")
 
 
 def _escaped(quote: int) -> str:
@@ -53,7 +53,7 @@ def conversation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as entries: file c<id>, line is the turn."""
     rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
     rows = rows.select("text", F.col("role").alias("speaker"), F.concat(F.lit("c"), "conv_id").alias("file"), F.col("turn").cast("int").alias("line"), F.lit("say").alias("kind"), "conv_id")
-    return ranked(rows, F.floor(F.col("conv_id") / 4096), ["conv_id", "line", "speaker"], "seq").drop("conv_id")
+    return numbered(rows, ["conv_id", "line", "speaker"], "seq").drop("conv_id")
 
 
 #: What an event says; those of every seventh user are thoughts in parentheses.
