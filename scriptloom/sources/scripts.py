@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.order import numbered
 from ..model import ENTRY
+from . import files
+from .members import read_members
 
 
 def read_lines(spark: SparkSession, folder: str, glob: str = "*.rpy") -> DataFrame:
@@ -28,10 +33,9 @@ def split_lines(texts: DataFrame) -> DataFrame:
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of entries, with its positions as ``seq``."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.from_json("value", f"array<{ENTRY.simpleString()}>")).alias("seq", "e"))
-    return rows.select("e.*", F.col("seq").cast("long").alias("seq"))
+    """A JSON array of entries, with its positions as ``seq``; a large file is read by many tasks."""
+    rows = read_members(spark, path).select("place", F.from_json("member", ENTRY.simpleString()).alias("e"))
+    return rows.select("e.*", F.col("place").alias("seq"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -43,51 +47,46 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     """A flat JSON object as (text, tr, pos); missing file: none. A repeated key keeps its first place and last value."""
     if not exists(spark, path):
         return spark.createDataFrame([], "text string, tr string, pos long")
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.from_json("value", "map<string,string>")).alias("pos", "text", "tr"))
+    pair = F.from_json(F.concat(F.lit("{"), "member", F.lit("}")), "map<string,string>")
+    rows = read_members(spark, path).select(F.col("place").alias("pos"), F.explode(pair).alias("text", "tr"))
     return rows.groupBy("text").agg(F.max_by("tr", "pos").alias("tr"), F.min("pos").cast("long").alias("pos"))
 
 
-def write_entries(entries: DataFrame, path: str) -> int:
-    """Export entries in ``seq`` order as an indented JSON array; rows stream through the driver."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for r in entries.orderBy("seq").select("text", "speaker", "file", "line", "kind").toLocalIterator():
-            body = json.dumps(r.asDict(), ensure_ascii=False, indent=2).replace("\n", "\n  ")
-            f.write(("," if n else "") + "\n  " + body)
-            n += 1
-        f.write("\n]" if n else "]")
+def _rendered_json(rows: DataFrame, of: Callable[[dict], str]) -> DataFrame:
+    """Add ``value``: the row as indented JSON, by Python's encoder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = pa.array([of(r) for r in batch.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "value"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("value", T.StringType())])
+    return rows.mapInArrow(run, schema)
+
+
+def _write_json(rows: DataFrame, of: Callable[[dict], str], path: str, brackets: str) -> int:
+    """Rows with their place ``_n`` as members of one JSON array or object."""
+    n = rows.count()
+    members = _rendered_json(rows, of).select("_n", F.concat("value", F.when(F.col("_n") < n - 1, ",").otherwise("")).alias("value"))
+    files.write_lines(members, ["_n"], path, brackets[0] + ("\n" if n else ""), brackets[1])
     return n
 
 
+def write_entries(entries: DataFrame, path: str) -> int:
+    """Export entries in ``seq`` order as an indented JSON array; executors write it."""
+
+    def of(r: dict) -> str:
+        return "  " + json.dumps({c: r[c] for c in ENTRY.names}, ensure_ascii=False, indent=2).replace("\n", "\n  ")
+
+    return _write_json(numbered(entries.select("seq", *ENTRY.names), ["seq"], "_n"), of, path, "[]")
+
+
 def write_progress(progress: DataFrame, path: str) -> int:
-    """Export translations in ``pos`` order as an indented JSON object."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("{")
-        for r in progress.orderBy("pos").select("text", "tr").toLocalIterator():
-            f.write(("," if n else "") + f"\n  {json.dumps(r['text'], ensure_ascii=False)}: {json.dumps(r['tr'], ensure_ascii=False)}")
-            n += 1
-        f.write("\n}" if n else "}")
-    return n
+    """Export translations in ``pos`` order as an indented JSON object; executors write it."""
+    of = lambda r: f"  {json.dumps(r['text'], ensure_ascii=False)}: {json.dumps(r['tr'], ensure_ascii=False)}"
+    return _write_json(numbered(progress.select("pos", "text", "tr"), ["pos"], "_n"), of, path, "{}")
 
 
 def write_rendered(rendered: DataFrame, folder: str) -> list[str]:
     """Write (path, ord, line) rows to the named files, in order."""
-    out, current, f = [], None, None
-    for r in rendered.orderBy("path", "ord").toLocalIterator():
-        if r["path"] != current:
-            if f:
-                f.close()
-            current = r["path"]
-            target = os.path.join(folder, current)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            f = open(target, "w", encoding="utf-8", newline="\n")  # noqa: SIM115
-            out.append(target)
-        f.write(r["line"] + "\n")
-    if f:
-        f.close()
-    return out
+    return files.write_named(rendered, folder)
