@@ -28,6 +28,14 @@ def ranked(df: DataFrame, bucket: Column, order: list, name: str, within: list[s
     return out.select(*df.columns, (F.col("_start") + F.col("_inside")).cast("long").alias(name))
 
 
+def free(name: str, df: DataFrame) -> str:
+    """``name``, with more underscores ahead where ``df`` has such a column (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """Number all rows from 0 in the order of the columns ``order``; rows that tie there are ordered by a hash of all columns.
 
@@ -38,15 +46,16 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     # the hash comes first as a column, so that the ranges and the sort read one value
-    tie = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    last, place = free("_tie", df), free("_place", df)
+    tie = df.withColumn(last, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = tie.repartitionByRange(parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie")
-    held = written(sorted_.select(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id().alias("_place")))
-    part = F.shiftright("_place", 33).cast("int")
+    sorted_ = tie.repartitionByRange(parts, *keys, last).sortWithinPartitions(*keys, last)
+    held = written(sorted_.select(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id().alias(place)))
+    part = F.shiftright(place, 33).cast("int")
     counts = {r["p"]: r["n"] for r in held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = [], 0
     for p in range(max(counts, default=0) + 1):
         starts.append(str(total))
         total += counts.get(p, 0)
     first = F.get(F.split(F.lit(",".join(starts)), ",").cast("array<bigint>"), part)  # a constant after folding
-    return held.select(*[F.col(f"`{c}`") for c in df.columns], (first + F.col("_place").bitwiseAND(F.lit(_PLACE))).alias(name))
+    return held.select(*[F.col(f"`{c}`") for c in df.columns], (first + F.col(place).bitwiseAND(F.lit(_PLACE))).alias(name))
