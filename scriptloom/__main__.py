@@ -7,9 +7,7 @@ from __future__ import annotations
 
 import argparse
 import os
-import shutil
 import sys
-import tempfile
 from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +15,12 @@ from pyspark.sql import functions as F
 
 from .model import Profile, load_profile, load_rules
 from .operators import extract, patch, qa, translate
+from .shared import written
 from .shipping import ship_package
 from .sources import scripts
+from .sources.store import ProgressStore
 
-#: Batches between two writes of the progress file; each batch is in the journal at once.
+#: Batches of each parallel call between two writes to the store; each batch is in the journal at once.
 WAVE = 16
 
 
@@ -53,7 +53,7 @@ def run_extract(args: argparse.Namespace, fail) -> int:
         print(f"{r['file']}: {r['n_strings']} strings")
     total, unique = extract.totals(found).first()
     print(f"\nTotal: {total} occurrences" + (" (dedupe disabled)" if args.no_dedupe else f", {unique} unique strings"))
-    scripts.write_entries(found if args.no_dedupe else extract.first_occurrences(found), out)
+    scripts.save_entries(found if args.no_dedupe else extract.first_occurrences(found), out)
     print(f"Wrote {out}")
     return 0
 
@@ -62,51 +62,44 @@ def run_translate(args: argparse.Namespace, fail) -> int:
     profile = load_profile(args.profile)
     translate.make_call(profile)  # an unknown provider ends the run here
     spark = session()
-    entries = hold(scripts.read_entries(spark, profile.path("strings_file", "strings.json", args.strings)))
+    entries = hold(scripts.load_entries(spark, profile.path("strings_file", "strings.json", args.strings)))
     target = profile.path("progress_file", "translations.json", args.progress)
     system, warning = translate.system_prompt(profile)
     if warning:
         print(warning)
-    work = tempfile.mkdtemp(prefix="scriptloom-", dir=os.path.dirname(target) or ".")
-    # every batch is on file here as soon as it is done; what an interrupted run left counts
-    journal = os.path.abspath(f"{target}.journal")
-    os.makedirs(journal, exist_ok=True)
-    try:
-        progress = scripts.read_progress(spark, target)
-        if any(name.endswith(".json") for name in os.listdir(journal)):
-            left = spark.read.schema(translate.JOURNAL).json(journal, pathGlobFilter="*.json")
-            progress = translate.upserted(progress, translate.accepted(left).withColumn("pos", F.col("pos") + (1 << 40)))
-        progress = _kept(progress, f"{work}/start")
-        todo = _kept(translate.batches(translate.remaining(entries, progress), profile.batch_size), f"{work}/todo")
-        total, done, left = translate.totals(entries, progress).first()
-        print(f"Total: {total} | Done: {done} | Todo: {left}")
-        if not left:
-            print("All strings already translated.")
-        last = -(-left // profile.batch_size)
-        for begin in range(0, last, WAVE):
-            wave = todo.filter((F.col("batch") >= begin) & (F.col("batch") < begin + WAVE)).drop("place", "batch")
-            # the wave's entries are all untranslated: an empty progress makes the pass take each of them
-            results = _kept(translate.translate(wave, progress.limit(0), profile, system, args.pause, journal=f"file://{journal}"), f"{work}/wave-{begin}")
-            progress = _kept(translate.upserted(progress, translate.accepted(results).withColumn("pos", F.col("pos") + (1 << 40))), f"{work}/progress-{begin}")
-            accepted, n = results.filter("status = 'ok'").count(), scripts.write_progress(progress, target)
-            print(f"Batches {begin + 1}-{min(begin + WAVE, last)} of {last}: accepted {accepted}/{results.count()}. Total done: {n}")
-        scripts.write_progress(progress, target)
-        shutil.rmtree(journal)
-    finally:
-        shutil.rmtree(work, ignore_errors=True)
+    # every batch is on file below the store as soon as it is answered, every wave is a write to it; what an interrupted run left counts
+    store = ProgressStore(spark, args.store or f"{target}.store")
+    journal = translate.journal_folder(spark, f"{store.folder}/journal")
+    left_over = spark.read.schema(translate.JOURNAL).json(journal, pathGlobFilter="*.json")
+    if not left_over.isEmpty():
+        store.append(translate.accepted(left_over))
+    later = lambda rows: rows.withColumn("pos", F.col("pos") + (1 << 40))
+    before = hold(scripts.load_progress(spark, target))
+    progress = written(translate.upserted(before, later(store.read())))
+    todo = written(translate.batches(translate.remaining(entries, progress), profile.batch_size))
+    total, done, left = translate.totals(entries, progress).first()
+    print(f"Total: {total} | Done: {done} | Todo: {left}")
+    if not left:
+        print("All strings already translated.")
+    last, wave = -(-left // profile.batch_size), WAVE * (args.parallel or 1)
+    for begin in range(0, last, wave):
+        mine = todo.filter((F.col("batch") >= begin) & (F.col("batch") < begin + wave)).drop("place", "batch")
+        # the wave's entries are all untranslated: an empty progress makes the pass take each of them
+        results = written(translate.translate(mine, progress.limit(0), profile, system, args.pause, journal=journal, parallel=args.parallel))
+        store.append(translate.accepted(results))
+        counts = results.agg(F.count(F.lit(1)), F.count_if(F.col("status") == "ok")).first()
+        print(f"Batches {begin + 1}-{min(begin + wave, last)} of {last}: accepted {counts[1]}/{counts[0]}.")
+    n = scripts.save_progress(translate.upserted(before, later(store.read())), target)
+    print(f"Total done: {n}")
+    store.clear()
     return 0
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def run_qa(args: argparse.Namespace, fail) -> int:
     profile = load_profile(args.profile)
     spark = session()
-    entries = hold(scripts.read_entries(spark, profile.path("strings_file", "strings.json", args.strings)))
-    progress = hold(scripts.read_progress(spark, profile.path("progress_file", "translations.json", args.translations)))
+    entries = hold(scripts.load_entries(spark, profile.path("strings_file", "strings.json", args.strings)))
+    progress = hold(scripts.load_progress(spark, profile.path("progress_file", "translations.json", args.translations)))
     rules, warning = load_rules(profile, args.technical_only)
     if warning:
         print(warning)
@@ -125,9 +118,9 @@ def run_qa(args: argparse.Namespace, fail) -> int:
 def run_build(args: argparse.Namespace, fail) -> int:
     profile = load_profile(args.profile)
     spark = session()
-    progress = hold(scripts.read_progress(spark, profile.path("progress_file", "translations.json", args.translations)))
+    progress = hold(scripts.load_progress(spark, profile.path("progress_file", "translations.json", args.translations)))
     strings = profile.path("strings_file", "strings.json", args.strings)
-    entries = scripts.read_entries(spark, strings) if os.path.isfile(strings) else None
+    entries = scripts.load_entries(spark, strings) if scripts.exists(spark, strings) else None
     print(f"Building patch with {progress.count()} translations...")
     out = profile.path("output_dir", "output", args.out)
     for name in scripts.write_rendered(patch.build(progress, profile, entries, args.split_size), out):
@@ -148,7 +141,7 @@ def parser() -> argparse.ArgumentParser:
 
     flag = {"action": "store_true"}
     command("extract", run_extract, "scripts to strings", ("--src", {}), ("--out", {}), ("--no-dedupe", flag), ("--screens", flag))
-    command("translate", run_translate, "translate what is left", ("--strings", {}), ("--progress", {}), ("--pause", {"type": float, "default": 0.5}))
+    command("translate", run_translate, "translate what is left", ("--strings", {}), ("--progress", {}), ("--pause", {"type": float, "default": 0.5}), ("--store", {}), ("--parallel", {"type": int, "default": 1}))
     command("qa", run_qa, "check translations", ("--strings", {}), ("--translations", {}), ("--technical-only", flag), ("--report", {}))
     command("build", run_build, "write language files", ("--translations", {}), ("--strings", {}), ("--out", {}), ("--split-size", {"type": int, "default": 0}))
     return top

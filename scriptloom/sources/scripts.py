@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.order import numbered
 from ..model import ENTRY
+from ..shared import written
 from . import files
 from .members import read_members
 
@@ -90,3 +91,30 @@ def write_progress(progress: DataFrame, path: str) -> int:
 def write_rendered(rendered: DataFrame, folder: str) -> list[str]:
     """Write (path, ord, line) rows to the named files, in order."""
     return files.write_named(rendered, folder)
+
+
+# ---- by the name of the path: JSON, or else Parquet, the store for large projects
+
+
+def load_entries(spark: SparkSession, path: str) -> DataFrame:
+    return read_entries(spark, path) if path.endswith(".json") else spark.read.parquet(path).select(*ENTRY.names, F.col("seq").cast("long").alias("seq"))
+
+
+def load_progress(spark: SparkSession, path: str) -> DataFrame:
+    if path.endswith(".json") or not exists(spark, path):
+        return read_progress(spark, path)
+    return spark.read.parquet(path).select("text", "tr", F.col("pos").cast("long").alias("pos"))
+
+
+def _save(rows: DataFrame, path: str) -> int:
+    kept = written(rows)  # the rows may come from the table that they replace
+    kept.write.mode("overwrite").parquet(path)
+    return kept.count()
+
+
+def save_entries(entries: DataFrame, path: str) -> int:
+    return write_entries(entries, path) if path.endswith(".json") else _save(entries.select(*ENTRY.names, "seq"), path)
+
+
+def save_progress(progress: DataFrame, path: str) -> int:
+    return write_progress(progress, path) if path.endswith(".json") else _save(progress.select("text", "tr", "pos"), path)

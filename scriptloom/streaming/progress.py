@@ -7,30 +7,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..model import Profile
 from ..operators import translate as T
+from ..sources.store import ProgressStore
 
 
-def translate_stream(entries: DataFrame, profile: Profile, store: str, checkpoint: str, pause: float = 0.5) -> StreamingQuery:
-    """Translate a stream of entries; ``store`` is a folder with one Parquet folder per micro-batch.
+def translate_stream(entries: DataFrame, profile: Profile, store: str, checkpoint: str, pause: float = 0.5, parallel: int | None = None) -> StreamingQuery:
+    """Translate a stream of entries; ``store`` is a folder that executors share.
 
-    A micro-batch that is run again replaces its own folder, so each is counted once.
+    Each batch is in the journal below the store as soon as it is answered, and a micro-batch that
+    is run again finds there, or in the store, what it has paid for.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        done = stored(batch.sparkSession, store, before=number)
-        T.accepted(T.translate(batch, done, profile, pause=pause)).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        kept = ProgressStore(batch.sparkSession, store)
+        journal = T.journal_folder(batch.sparkSession, f"{kept.folder}/journal")
+        results = T.translate(batch, kept.read(), profile, pause=pause, journal=journal, parallel=parallel)
+        kept.append(T.accepted(results), number)
+        T.forget_journal(batch.sparkSession, journal)
 
     return entries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored(spark, store: str, before: int | None = None) -> DataFrame:
+def stored(spark, store: str) -> DataFrame:
     """Translations accepted so far; later micro-batches win."""
-    from pyspark.sql import functions as F
-
-    from ..sources.scripts import exists
-
-    if not exists(spark, store):
-        return spark.createDataFrame([], "text string, tr string, pos long")
-    rows = spark.read.schema("text string, tr string, pos long, batch long").option("basePath", store).parquet(store)
-    if before is not None:
-        rows = rows.filter(F.col("batch") < before)
-    return rows.groupBy("text").agg(F.max_by("tr", F.struct("batch", "pos")).alias("tr"), F.min("pos").alias("pos"))
+    return ProgressStore(spark, store).read()
