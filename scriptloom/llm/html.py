@@ -43,7 +43,7 @@ from .common import map_rows, texts_of
 WINDOW, SHARE = 3, 8
 _TAG = re.compile(r"<(?:!--(?s:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+|[^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object select".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol "
@@ -56,13 +56,13 @@ NEVER_NAMED = frozenset("html body article main h1".split())
 STRIPPED = frozenset("nav footer aside dialog menu button".split())
 #: Words that name boilerplate. A token of a class, id or role counts where all of its words are here or in PLACES.
 STRONG = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus gdpr modal nav navbar navigation "
-    "newsletter outbrain pager pagination popup promo promoted promotion replies share sharing sidebar signup social sponsor sponsored subscribe subscription taboola".split()
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies disclaimer disqus gdpr modal nav navbar navigation "
+    "newsletter outbrain pager pagination paywall popup promo promoted promotion replies responses share sharing sidebar signup social sponsor sponsored subscribe subscription taboola".split()
 )
-WEAK = frozenset("footer form header masthead menu notice notices related reply search toolbar widget".split())
+WEAK = frozenset("footer form header masthead menu notice notices recommended related reply search teaser teasers toolbar trending widget".split())
 PLACES = frozenset(
-    "area bar block bottom box button buttons container content form global icons inner item items left link links list main page panel post posts primary right secondary section site slot "
-    "sticky stories text top unit user wrap wrapper".split()
+    "area articles bar block body bottom box button buttons container content form global icons inline inner item items left link links list main page panel post posts primary rail reader readers right secondary section site slot "
+    "sticky stories text thread threads top unit user visitor wrap wrapper".split()
 )
 _PART = re.compile(r"[^a-z0-9]+")
 _KEEP, _STRIP, _STRONG, _WEAK, _OWN_HEADER = range(5)
@@ -76,7 +76,8 @@ def named(attributes: str) -> int:
     """Whether a name among the attributes is one of boilerplate, and how strong."""
     out = _KEEP
     for token in _names(attributes):
-        parts = [p for p in _PART.split(token) if p]
+        # a size or a number (ad-300x250, comment-17) says nothing
+        parts = [p for p in _PART.split(token) if p and not p.replace("x", "").isdigit()]
         if parts and all(p in STRONG or p in WEAK or p in PLACES for p in parts):
             if any(p in STRONG for p in parts):
                 return _STRONG
@@ -185,7 +186,8 @@ def read(page: str) -> _Page:
         if m[1]:
             out.closed(tag)
         elif tag in RAW:
-            if not m[3].endswith("/"):
+            # only a foreign element can close itself; HTML takes a slash at the end of a tag, or of a bare value, for nothing
+            if tag != "svg" or not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
                 at = end.end() if end else n
         else:
