@@ -19,8 +19,8 @@ from scriptloom.shipping import ship_package
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule policy does not reject.
 
-    Rows are judged one by one, repeated ones too, whatever their id; null, empty and short texts go (fewer than 50 words);
-    long texts are judged whole.
+    Rows are judged one by one, repeated ones too, whatever their id; null, empty and short texts go (fewer than 50 words), and
+    so do those of more than 1,000,000 words (rule too_many_words of the policy); all others are judged whole.
     """
     return quality.keep_documents(docs)
 
@@ -32,8 +32,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows of one id are one document in the order of their text hashes, and rows equal in both keep the same lines. n_chars
     follows the new text.
     """
-    out = linededup.dedup_lines(docs)
-    left = (F.col("n_removed") == 0) | F.col("text").rlike(linededup.WORD)
+    count = "n_removed"
+    while count.lower() in {c.lower() for c in docs.columns}:
+        count = f"_{count}"
+    out = linededup.dedup_lines(docs, count)
+    left = (F.col(count) == 0) | F.col("text").rlike(linededup.WORD)
     return out.filter(left).select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

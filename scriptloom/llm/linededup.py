@@ -13,7 +13,7 @@ the shared folder: the first window of each
 hash comes from a partial aggregation, and hashes that occur once leave before
 the join, whose hot keys adaptive execution splits. Texts are shuffled once.
 
-An input column n_removed is replaced.
+The count of removed lines is called ``n_removed``, or as the caller says; an input column of that name is replaced.
 
 Defined results: a null text stays null and has no lines; a document whose lines
 all go has an empty text; a null doc_id is ordered first; rows with equal doc_id
@@ -88,13 +88,13 @@ def _without(text: Column, spans: Column) -> Column:
     return let(F.split(text, "\n"), between)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text after removal, plus ``n_removed`` (lines gone)."""
-    columns = [c for c in docs.columns if c != "n_removed"]
+def dedup_lines(docs: DataFrame, count: str = "n_removed") -> DataFrame:
+    """``docs`` with the text after removal, plus ``count`` (lines gone)."""
+    columns = [c for c in docs.columns if c != count]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.xxhash64("text").alias("t"), F.col("doc_id").alias("d"))
     spans = covered_lines(docs).select(F.col("doc_id").alias("d2"), F.col("t").alias("t2"), _merged(F.col("spans")).alias("s"))
     joined = packed.join(spans, F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")), "left")
     removed = F.coalesce(F.aggregate("s", F.lit(0), lambda n, x: n + x["b"] - x["a"] + 1), F.lit(0))
     own = lambda c: F.col("row").getField(c)
     text = F.when(F.col("s").isNull(), own("text")).otherwise(_without(own("text"), F.col("s")))
-    return joined.select(*[(text if c == "text" else own(c)).alias(c) for c in columns], removed.cast("long").alias("n_removed"))
+    return joined.select(*[(text if c == "text" else own(c)).alias(c) for c in columns], removed.cast("long").alias(count))

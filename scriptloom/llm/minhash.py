@@ -360,14 +360,16 @@ def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     Rows count by (doc_id, text), so a repeated id with another text is another
     document; of rows equal in both one is kept. Rows with a null id all are.
     """
+    # the input travels as one column, so that no name of it meets one of ours
     row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    packed = docs.select(row.alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
     named = docs.filter(F.col("doc_id").isNotNull()).select(row.alias("_row"), "doc_id", "text")
     found = near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("_row"), "component_id")
     rows = named.groupBy("_row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     placed = materialise(found.distinct().join(rows, "_row"), f"{shared_dir(docs.sparkSession)}/placed")
     first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
     gone = placed.select("_row").join(first, "_row", "left_anti")
-    left = docs.withColumn("_row", row).join(gone, "_row", "left_anti")
+    left = packed.join(gone, "_row", "left_anti")
     again = placed.filter("n > 1").select("_row")
     out = left.join(again, "_row", "left_anti").unionByName(left.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col("_all").getField(c).alias(c) for c in docs.columns])

@@ -4,7 +4,7 @@ import random
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, bucket int, n int, ids string, t string, component string, n_words string, fail_bits string, n_removed string, sig string, row string, kept string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, bucket int, n int, ids string, t string, component string, n_words string, fail_bits string, n_removed string, sig string, row string, kept string, _row long, _all string, _n_removed string, _m string, _text string, h string, d string, f string, place long, chunk string"
 
 
 @pytest.fixture(scope="session")
@@ -32,7 +32,7 @@ def odd_texts():
 def odd(spark):
     """Documents of every odd kind, with columns whose names clash with the operators' own."""
     rest = ("clash",)
-    rows = [(d, t, None, "s", None, 1, 2, 3, *rest * 9) for d, t in odd_texts()]
+    rows = [(d, t, None, "s", None, 1, 2, 3, *rest * 9, 7, *rest * 7, 9, "clash") for d, t in odd_texts()]
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
 
