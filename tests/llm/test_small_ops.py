@@ -438,6 +438,33 @@ def test_surge_and_dive_find_unmarked_articles():
         assert H.main_text(page) == text, page
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section class="reader-comments"><p>I liked this article and the many things in it, thanks a lot.</p></section>',
+        '<ol class="commentlist"><li>Great stuff, and many thanks for your work on this one.</li></ol>',
+        '<div id="responses"><p>I disagree with nearly all of what was said above, honestly.</p></div>',
+        '<div id="disqus_thread"><p>A comment and one more comment with several words in it.</p></div>',
+        '<div class="advert-inline"><p>Buy now and save a lot of money on shoes and other goods.</p></div>',
+        '<div class="ad-300x250"><p>Buy now and save a lot of money on shoes and other goods.</p></div>',
+        '<div class="paywall-notice"><p>Subscribe to read the rest of this story and many more.</p></div>',
+        '<div class="related-articles"><h3>Related</h3><a href=x>Another story</a></div>',
+        "<script src=https://x.y/>var leak = 1;</script>",
+        "<style/>p { color: red }</style>",
+    ],
+)
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_comments_adverts_and_notices_go(part, outer):
+    text = ["The first paragraph of the article is long enough to count as text.", "Another one follows it, with many more words than a menu has."]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    assert H.main_text(f"<html><body><{outer}>{body}{part}</{outer}></body></html>") == "\n".join(text)
+
+
+def test_formulas_and_foreign_elements():
+    page = "<article><p>Energy <math><mi>E</mi>=m</math> stays in <svg width=1/>the sentence, as it should.</p></article>"
+    assert H.main_text(page) == "Energy E=m stays in the sentence, as it should."
+
+
 def test_threshold_of_the_page():
     """A short block counts on a page of short blocks, and does not beside a long one."""
     short = "<div class=a>eleven char</div>"
