@@ -56,6 +56,20 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, path: str) -> DataFrame:
+    """:func:`materialise`, and the shuffle files behind it go as soon as the table is written."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return materialise(df, path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

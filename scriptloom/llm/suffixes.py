@@ -3,8 +3,9 @@
 Every byte is removed that a ``length``-byte string covers which also starts in a document
 with a smaller id. Only the order of suffixes to that depth matters, so that:
 
-1. Chunks. Documents become chunks, written once below the shared folder; texts of a chunk lie
-   end to end, in the order of their ids.
+1. Chunks. Of equal texts (by 128 bits) only the one with the smallest id goes on, as the
+   others are covered whole. Documents become chunks, written once below the shared folder; texts
+   of a chunk lie end to end, in the order of their ids.
 2. Cover sample. With the difference cover {0, 1, 3, 9} modulo 13, any two positions have an offset
    below 13 at which both are in the sample. The first ``length`` - 12 bytes of each sample suffix
    are ranked: their hashes meet in buckets, each sorted on its own, and chunks are told which
@@ -35,22 +36,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, partitions, shared_dir, slices
+from .common import mix64, partitions, settled, shared_dir, slices
 
 #: Period and difference cover: every number is a difference of two members, modulo the period.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 REACH = PERIOD - 1
 #: Bytes of text in a chunk (a longer text is one chunk), and buckets of a shuffle partition.
-CHUNK_BYTES, SPLIT = 4 << 20, 2
+CHUNK_BYTES, SPLIT = 4 << 20, 1
 LEAST_ID = -(2**63)
-CHUNKS = "chunk long, ids array<bigint>, sizes array<bigint>, body binary"
+CHUNKS = "chunk long, ids array<bigint>, prints array<binary>, sizes array<bigint>, body binary"
+
+
+def first_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, f: 128 bits of it) of each distinct text, with its smallest id (null as the least long)."""
+    named = docs.select(_id().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("f", _print())
+    return named.groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", "f")
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
+
+
+def _print() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of some documents each: ids in order (null as the least long), bytes of each text, and the texts end to end."""
+    """Rows of some documents each: ids in order, fingerprints and bytes of each text, and the texts end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # ids are those of one written table: a task that runs again replaces its rows whole
@@ -58,22 +73,22 @@ def chunks(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             held.sort(key=lambda x: x[0])
-            arrays = [pa.array([[d for d, _ in held]], pa.list_(pa.int64())), pa.array([[len(t) for _, t in held]], pa.list_(pa.int64())), pa.array([b"".join(t for _, t in held)], pa.large_binary()).cast(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), *arrays], names=["chunk", "ids", "sizes", "body"])
+            ids, texts, prints = zip(*held, strict=True)
+            columns = [(ids, pa.list_(pa.int64())), (prints, pa.list_(pa.binary())), (list(map(len, texts)), pa.list_(pa.int64())), (b"".join(texts), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), *[pa.array([c], k) for c, k in columns]], names=["chunk", "ids", "prints", "sizes", "body"])
 
         for batch in batches:
             for piece in slices(batch):
-                for d, text in zip(piece.column(0).to_pylist(), piece.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    text = text or b""
+                for d, text, f in zip(piece.column(0).to_pylist(), piece.column(1).cast(pa.binary()).to_pylist(), piece.column(2).to_pylist(), strict=True):
                     if held and size + len(text) > CHUNK_BYTES:
                         yield flush()
                         made, size, held = made + 1, 0, []
-                    held.append((LEAST_ID if d is None else d, text))
+                    held.append((d, text, f))
                     size += len(text)
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CHUNKS)
+    return docs.mapInArrow(run, CHUNKS)
 
 
 class Sample:
@@ -94,13 +109,26 @@ class Sample:
         self.doc, self.at = doc[fits], (self.begin[doc] + inside)[fits]
         # eight bytes at any place, as a number
         self.bytes = np.frombuffer(body + bytes(16), np.uint8)
-        self.words = np.lib.stride_tricks.as_strided(self.bytes[: max(len(body), 1)].view(), shape=(max(len(body), 1), 8), strides=(1, 1))
         self.h = np.full(len(self.at), 0x9E3779B97F4A7C15, np.uint64)
         for k in [*range(0, self.size - 7, 8), self.size - 8]:
             self.h = mix64(self.h * np.uint64(0xD6E8FEB86659FD93) + self.eight(self.at + k))
         spread = mix64(self.h ^ np.uint64(0xC0FFEE))
         self.bucket = ((spread >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         self.short = (spread & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.key = (self.bucket.astype(np.uint64) << np.uint64(32)) | self.short
+
+    def distinct(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(short: sorted distinct hashes, several: whether they occur more than once here, cuts of the buckets)."""
+        key = np.sort(self.key)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        key = key[first]
+        return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.append(first, len(new))) > 1, self._cuts(key, buckets)
+
+    @staticmethod
+    def _cuts(key: np.ndarray, buckets: int) -> np.ndarray:
+        return np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
 
     def eight(self, at: np.ndarray) -> np.ndarray:
         flat = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes.data, strides=(1,))
@@ -152,10 +180,8 @@ def repeated_ranks(table: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             for chunk, sizes, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 s = Sample(sizes, body, length, buckets)
-                first, inverse, cuts = distinct_in_buckets(s.bucket, [s.short], buckets)
-                several = np.bincount(inverse, minlength=len(first)) > 1
+                short, several, cuts = s.distinct(buckets)
                 some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                short = s.short[first]
                 keys = [short[cuts[b] : cuts[b + 1]].astype("<u4").tobytes() for b in some]
                 flags = [np.packbits(several[cuts[b] : cuts[b + 1]]).tobytes() for b in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array(keys, pa.binary()), pa.array(flags, pa.binary())], names=["bucket", "chunk", "keys", "several"])
@@ -181,17 +207,24 @@ def repeated_ranks(table: DataFrame, length: int, buckets: int) -> DataFrame:
     return _dealt(rows).mapInArrow(meet, REPLY)
 
 
+def _among(keys: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are among the sorted ``few``."""
+    at = np.minimum(np.searchsorted(few, keys), max(len(few) - 1, 0))
+    return few[at] == keys if len(few) else np.zeros(len(keys), bool)
+
+
 class Suffixes:
     """The occurrences of repeated ranks in a chunk, with what is before and after each."""
 
     def __init__(self, sizes: list[int], body: bytes, replies: list, length: int, buckets: int):
         s = self.sample = Sample(sizes, body, length, buckets)
-        first, inverse, cuts = distinct_in_buckets(s.bucket, [s.short], buckets)
-        live = np.zeros(len(first), bool)
+        key = np.unique(s.key)
+        cuts = s._cuts(key, buckets)
+        live = np.zeros(len(key), bool)
         for r in replies:
             a, b = cuts[r["bucket"]], cuts[r["bucket"] + 1]
             live[a:b] = np.unpackbits(np.frombuffer(r["body"], np.uint8), count=int(b - a)) > 0
-        pick = np.flatnonzero(live[inverse]) if len(inverse) else inverse
+        pick = np.flatnonzero(_among(s.key, key[live]))
         self.at, self.doc = s.at[pick], s.doc[pick]
         name = s.h[pick]
         self.left = np.minimum(self.at - s.begin[self.doc], REACH)
@@ -279,34 +312,34 @@ def spans(x: Suffixes, ids: np.ndarray, marks: list, length: int) -> np.ndarray:
     return np.cumsum(edges) > 0
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+RESULT = "f binary, least long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def kept_bytes(table: DataFrame, replies: DataFrame, marks: DataFrame, length: int, buckets: int, digest: bool) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept: bytes left, or their sha256) of every row."""
+    """(f, least: smallest id, n_bytes, n_removed, n_spans, kept: bytes left, or their sha256) of every distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sizes, body, told, marked_ in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for ids, prints, sizes, body, told, marked_ in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 gone = None
                 if marked_:
                     gone = spans(Suffixes(sizes, body, told or [], length, buckets), np.array(ids, np.int64), marked_, length)
                 out, end = [], 0
-                for d, n in zip(ids, sizes, strict=True):
+                for d, f, n in zip(ids, prints, sizes, strict=True):
                     begin, end = end, end + n
                     flags = gone[begin:end] if gone is not None else np.zeros(0, bool)
                     text, removed, runs = body[begin:end], int(flags.sum()), 0
                     if removed:
                         runs = int((flags[1:] & ~flags[:-1]).sum()) + int(flags[0])
                         text = np.frombuffer(text, np.uint8)[~flags].tobytes()
-                    out.append((None if d == LEAST_ID else d, n, removed, runs, hashlib.sha256(text).digest() if digest else text))
+                    out.append((f, d, n, removed, runs, hashlib.sha256(text).digest() if digest else text))
                 columns = zip(*out, strict=True)
-                kinds = [pa.int64()] * 4 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                kinds = [pa.binary()] + [pa.int64()] * 4 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["f", "least", "n_bytes", "n_removed", "n_spans", "kept"])
 
     gather = lambda rows, name: rows.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "body")).alias(name))
     joined = table.join(gather(replies, "told"), "chunk", "left").join(gather(marks, "marks"), "chunk", "left")
-    return joined.select("ids", "sizes", "body", "told", "marks").mapInArrow(run, RESULT)
+    return joined.select("ids", "prints", "sizes", "body", "told", "marks").mapInArrow(run, RESULT)
 
 
 def dedup_substrings(docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
@@ -318,7 +351,15 @@ def dedup_substrings(docs: DataFrame, length: int = 50, digest: bool = False) ->
         raise ValueError("length must be at least 20")
     spark = docs.sparkSession
     folder, buckets = shared_dir(spark), partitions(spark) * SPLIT
-    table = materialise(chunks(docs), f"{folder}/chunks")
-    replies = materialise(repeated_ranks(table, length, buckets), f"{folder}/ranks")
-    marks = materialise(later_strings(table, replies, length, buckets), f"{folder}/marks")
-    return kept_bytes(table, replies, marks, length, buckets, digest)
+    table = settled(chunks(first_texts(docs)), f"{folder}/chunks")
+    replies = settled(repeated_ranks(table, length, buckets), f"{folder}/ranks")
+    marks = settled(later_strings(table, replies, length, buckets), f"{folder}/marks")
+    found = settled(kept_bytes(table, replies, marks, length, buckets, digest), f"{folder}/found")
+    # later copies of a text are covered whole, if they are long enough
+    rows = docs.select("doc_id", _id().alias("_id"), _print().alias("f")).join(found, "f")
+    gone = (F.col("_id") > F.col("least")) & (F.col("n_bytes") >= length)
+    nothing = hashlib.sha256(b"").digest() if digest else b""
+    return rows.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(gone, 1).otherwise(F.col("n_spans")).cast("long").alias("n_spans"), F.when(gone, F.lit(nothing)).otherwise(F.col("kept")).alias("kept"),
+    )
