@@ -135,18 +135,6 @@ class Sample:
         return flat[at]
 
 
-def distinct_in_buckets(bucket: np.ndarray, keys: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first: row of each distinct (bucket, keys) in sorted order, inverse, cuts of the buckets among the distinct); equal rows keep their order."""
-    order = np.lexsort((*keys[::-1], bucket))
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (bucket, *keys)])
-    first = order[new]
-    inverse = np.empty(len(order), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return first, inverse, np.searchsorted(bucket[first], np.arange(buckets + 1))
-
-
 def _dealt(rows: DataFrame) -> DataFrame:
     """Rows by bucket, one bucket after another in a partition."""
     return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "chunk")
@@ -174,7 +162,7 @@ def _reply(chunk: int, bucket: int, body: bytes) -> pa.RecordBatch:
 
 
 def repeated_ranks(table: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(chunk, bucket, body: bits over the chunk's distinct sample strings of the bucket): those that occur more than once."""
+    """(chunk, bucket, body: hashes of the chunk's sample strings of the bucket that occur more than once, sorted)."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,10 +185,10 @@ def repeated_ranks(table: DataFrame, length: int, buckets: int) -> DataFrame:
             live[order[:-1][same]] = True
             begin = 0
             for chunk, body, _ in rows:
-                mine = live[begin : begin + len(body) // 4]
-                begin += len(mine)
-                if mine.any():
-                    yield _reply(chunk, bucket, np.packbits(mine).tobytes())
+                mine = slice(begin, begin + len(body) // 4)
+                begin = mine.stop
+                if live[mine].any():
+                    yield _reply(chunk, bucket, keys[mine][live[mine]].tobytes())
 
     rows = table.select("chunk", "sizes", "body").mapInArrow(sample, "bucket int, chunk long, keys binary, several binary")
     # a string that several chunks flag, or one of them more than once, stays flagged for all: the flag is of the string
@@ -208,9 +196,13 @@ def repeated_ranks(table: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def _among(keys: np.ndarray, few: np.ndarray) -> np.ndarray:
-    """Which of ``keys`` are among the sorted ``few``."""
-    at = np.minimum(np.searchsorted(few, keys), max(len(few) - 1, 0))
-    return few[at] == keys if len(few) else np.zeros(len(keys), bool)
+    """Places of those of ``keys`` that are among the sorted ``few``; a table of bits passes over most of the others."""
+    mask = np.uint64((1 << 22) - 1)
+    table = np.zeros(1 << 22, bool)
+    table[(few & mask).astype(np.int64)] = True
+    some = np.flatnonzero(table[(keys & mask).astype(np.int64)])
+    at = np.minimum(np.searchsorted(few, keys[some]), max(len(few) - 1, 0))
+    return some[few[at] == keys[some]] if len(few) else some
 
 
 class Suffixes:
@@ -218,27 +210,32 @@ class Suffixes:
 
     def __init__(self, sizes: list[int], body: bytes, replies: list, length: int, buckets: int):
         s = self.sample = Sample(sizes, body, length, buckets)
-        key = np.unique(s.key)
-        cuts = s._cuts(key, buckets)
-        live = np.zeros(len(key), bool)
-        for r in replies:
-            a, b = cuts[r["bucket"]], cuts[r["bucket"] + 1]
-            live[a:b] = np.unpackbits(np.frombuffer(r["body"], np.uint8), count=int(b - a)) > 0
-        pick = np.flatnonzero(_among(s.key, key[live]))
+        told = [np.frombuffer(r["body"], "<u4") | (np.uint64(r["bucket"]) << np.uint64(32)) for r in sorted(replies, key=lambda r: r["bucket"])]
+        pick = _among(s.key, np.concatenate(told) if told else np.zeros(0, np.uint64))
         self.at, self.doc = s.at[pick], s.doc[pick]
         name = s.h[pick]
         self.left = np.minimum(self.at - s.begin[self.doc], REACH)
         self.right = np.minimum(s.end[self.doc] - self.at - s.size, REACH)
         # the 12 bytes on either side, nearest first; beyond the text they are 0, and the lengths tell
+        k = np.arange(REACH)
         sides = np.zeros((len(pick), 2 * REACH), np.uint8)
-        for k in range(REACH):
-            ok = self.left > k
-            sides[ok, k] = s.bytes[self.at[ok] - 1 - k]
-            ok = self.right > k
-            sides[ok, REACH + k] = s.bytes[self.at[ok] + s.size + k]
+        sides[:, :REACH] = np.where(self.left[:, None] > k, s.bytes[np.maximum(self.at[:, None] - 1 - k, 0)], 0)
+        sides[:, REACH:] = np.where(self.right[:, None] > k, s.bytes[np.minimum(self.at[:, None] + s.size + k, len(s.bytes) - 1)], 0)
         self.sides, self.name, self.bucket = sides, name, s.bucket[pick]
         packed = sides.view("<u8").reshape(len(pick), 3)
-        self.first, self.inverse, self.cuts = distinct_in_buckets(self.bucket, [name, packed[:, 0], packed[:, 1], packed[:, 2], self.left * 16 + self.right], buckets)
+        # equal occurrences as one, by a hash that only brings them together: neighbours are compared whole
+        columns = [name, packed[:, 0], packed[:, 1], packed[:, 2], (self.left * 16 + self.right).astype(np.uint64)]
+        h = np.zeros(len(pick), np.uint64)
+        for c in columns:
+            h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + c)
+        order = np.argsort((self.bucket.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)), kind="stable")
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+        self.first = order[new]
+        self.inverse = np.empty(len(order), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        self.cuts = np.searchsorted(self.bucket[self.first], np.arange(buckets + 1))
 
 
 def marked(name: np.ndarray, sides: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
@@ -246,22 +243,25 @@ def marked(name: np.ndarray, sides: np.ndarray, left: np.ndarray, right: np.ndar
 
     The suffixes of a bucket, offset by offset: sorted by rank and by the k bytes before and the ``REACH`` - k bytes after.
     """
-    rank = np.unique(name, return_inverse=True)[1].astype(np.int64)
     out = np.zeros(len(name), np.uint16)
+    _, rank, n = np.unique(name, return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(n[rank] > 1)  # the others have nothing to be compared with
+    rank = rank.astype(np.uint64) << np.uint64(32)
     for k in range(REACH + 1):
-        some = np.flatnonzero((left >= k) & (right >= REACH - k))
+        some = open_[(left[open_] >= k) & (right[open_] >= REACH - k)]
         if len(some) < 2:
             continue
         around = np.zeros((len(some), 16), np.uint8)
         around[:, :k] = sides[some, :k]
         around[:, k:REACH] = sides[some, REACH : 2 * REACH - k]
         words = around.view("<u8")
-        order = np.lexsort((ids[some], words[:, 1], words[:, 0], rank[some]))
+        near, far = words[:, 0], rank[some] | words[:, 1]  # the last 4 of the 12 bytes and the rank are one number
+        order = np.lexsort((near, far))
+        near, far, mine = near[order], far[order], ids[some][order]
         new = np.ones(len(order), bool)
-        sorted_ = [x[order] for x in (rank[some], words[:, 0], words[:, 1])]
-        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_])
-        mine = ids[some][order]
-        least = mine[new][np.cumsum(new) - 1]  # ids rise among equal strings
+        new[1:] = (near[1:] != near[:-1]) | (far[1:] != far[:-1])
+        begin = np.flatnonzero(new)
+        least = np.repeat(np.minimum.reduceat(mine, begin), np.diff(np.append(begin, len(order))))
         out[some[order[mine > least]]] |= np.uint16(1 << k)
     return out
 
@@ -303,12 +303,12 @@ def spans(x: Suffixes, ids: np.ndarray, marks: list, length: int) -> np.ndarray:
     own = bits[x.inverse] if len(x.inverse) else bits
     # of equal occurrences of the chunk the first has the smallest id: in a later document all that fits is removed
     again = ids[x.doc] > ids[x.doc[x.first]][x.inverse] if len(x.inverse) else np.zeros(0, bool)
-    edges = np.zeros(len(x.sample.bytes) + length + 1, np.int32)
+    begins = []
     for k in range(REACH + 1):
         on = ((own >> np.uint16(k)) & np.uint16(1)).astype(bool) | (again & (x.left >= k) & (x.right >= REACH - k))
-        begin = x.at[on] - k
-        np.add.at(edges, begin, 1)
-        np.add.at(edges, begin + length, -1)
+        begins.append(x.at[on] - k)
+    begin, size = np.concatenate(begins), len(x.sample.bytes) + length
+    edges = np.bincount(begin, minlength=size) - np.bincount(begin + length, minlength=size)
     return np.cumsum(edges) > 0
 
 
