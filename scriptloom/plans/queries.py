@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..model import NON_SPEAKERS, Profile, QaRules
 from ..operators import extract, patch, qa, runtime, translate
+from ..shared import shared_dir
+from ..sources import scripts
+from ..sources.store import ProgressStore
 from . import adapters as A
 from .adapters import with_tables
 
@@ -34,6 +39,8 @@ PROFILE = Profile(
     {
         "game_name": "Test", "language_id": "th-ai", "language_name": "Thai", "keep_untranslated": KEEP, "api": {"provider": "echo", "batch_size": 7},
         "speakers": {"user": {"name": "Player", "gender": "?", "role": "asks"}, "assistant": {"name": "Guide"}, "click": {"name": "Click", "role": "clicks"}},
+        "auto_set_language": True, "toggle_key": "K_F9",
+        "font": {"regular": "th.ttf", "size_scale": 0.9, "replace_fonts": ["a.ttf", "b.ttf", "c.ttf", "d.ttf"], "base_sizes": {"default": 30, "say_dialogue": 33}, "styles": ["default", "button", "notify", "input", "say_label"]},
     }
 )
 LOUD, CALM = RULES.groups["loud"], RULES.groups["calm"]
@@ -262,6 +269,74 @@ def translate_pass(spark, sf_dir):
     return translate.translate(A.conversation_entries(spark, sf_dir), A.conversation_progress(spark, sf_dir), PROFILE, pause=0)
 
 
+@query(
+    "batch_prompts",
+    with_tables("conv", "convp")
+    + """SELECT CAST(b AS BIGINT) AS batch, md5('Into Thai:' || chr(10) || chr(10) || '[' || chr(10) || string_agg('{"id": ' || seq || ', "speaker": "' || blurb || '", "kind": "say", "text": ' || CAST(to_json(text) AS VARCHAR) || '}', ',' || chr(10) ORDER BY seq)
+  || chr(10) || ']' || CASE WHEN b % 2 = 1 THEN chr(10) || chr(10) || 'These lines came back with mismatched markup; compare every bracket, brace and backslash with the source this time.' ELSE '' END) AS prompt
+FROM (SELECT *, place // 7 AS b, CASE speaker WHEN 'user' THEN 'Player (?) — asks' WHEN 'assistant' THEN 'Guide' ELSE 'unknown speaker ''' || speaker || '''' END AS blurb
+  FROM (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS place FROM conv WHERE text NOT IN (SELECT text FROM convp))) GROUP BY b""",
+)
+def batch_prompts(spark, sf_dir):
+    """What a provider is asked for each batch; odd ones as if asked again."""
+    todo = translate.batches(translate.remaining(A.conversation_entries(spark, sf_dir), A.conversation_progress(spark, sf_dir)), 7)
+    rows = translate.described(todo, translate.speaker_table(spark, PROFILE)).select("seq", "text", "kind", "blurb", "batch")
+
+    def ask(group):
+        import pandas as pd
+
+        batch = int(group["batch"].iloc[0])
+        return pd.DataFrame({"batch": [batch], "prompt": [translate.user_prompt(group.sort_values("seq").to_dict("records"), "Thai", retry=batch % 2 == 1)]})
+
+    return rows.groupBy("batch").applyInPandas(ask, "batch long, prompt string").select("batch", F.md5("prompt").alias("prompt"))
+
+
+def forgetful(system: str, user: str) -> str:
+    """A provider that loses the markup of every third line until asked again, never answers every fifth, and leaves every seventh empty."""
+    again = "mismatched" in user
+    items = json.loads(user[user.index("[\n") :].split("\n]")[0] + "\n]")
+    said = [{"id": x["id"], "tr": "" if x["id"] % 7 == 0 else f"» {x['text']}" if again or x["id"] % 3 else "»"} for x in items if x["id"] % 5]
+    return "```json\n" + json.dumps(said) + "\n```"
+
+
+@query(
+    "translate_retry",
+    with_tables("ev", "evp")
+    + """SELECT seq, CASE WHEN seq % 5 = 0 OR seq % 7 = 0 THEN '' ELSE '» ' || text END AS tr, CASE WHEN seq % 5 = 0 OR seq % 7 = 0 THEN 'rejected' ELSE 'ok' END AS status
+FROM ev WHERE text NOT IN (SELECT text FROM evp)""",
+)
+def translate_retry(spark, sf_dir):
+    """Mismatched lines are asked for once more, and what is missing or empty then is rejected."""
+    done = translate.translate(A.event_entries(spark, sf_dir), A.event_progress(spark, sf_dir), PROFILE, "s", pause=0, call=forgetful)
+    return done.select("seq", "tr", "status")
+
+
+@query("entries_file", with_tables("conv") + "SELECT text, speaker, file, line, kind, seq FROM conv")
+def entries_file(spark, sf_dir):
+    """All conversation entries through a JSON array: written by executors, read by splits."""
+    path = f"{shared_dir(spark)}/strings.json"
+    scripts.write_entries(A.conversation_entries(spark, sf_dir), path)
+    return scripts.read_entries(spark, path)
+
+
+@query("progress_file", with_tables("ev", "evp") + "SELECT text, tr, row_number() OVER (ORDER BY pos) - 1 AS pos FROM evp")
+def progress_file(spark, sf_dir):
+    """All translations through a JSON object."""
+    path = f"{shared_dir(spark)}/translations.json"
+    scripts.write_progress(A.event_progress(spark, sf_dir), path)
+    return scripts.read_progress(spark, path)
+
+
+@query("progress_store", with_tables("ev", "evp") + "SELECT text, CASE WHEN pos % 4 = 0 THEN 'v2 ' || tr ELSE tr END AS tr, pos FROM evp")
+def progress_store(spark, sf_dir):
+    """All translations by two writes of the store, the second with newer ones for some texts."""
+    store = ProgressStore(spark, shared_dir(spark))
+    rows = A.event_progress(spark, sf_dir)
+    store.append(rows)
+    store.append(rows.filter("pos % 4 = 0").selectExpr("text", "concat('v2 ', tr) AS tr", "pos + 1000000 AS pos"))
+    return store.read()
+
+
 @query("reply_recovery", with_tables("conv") + "SELECT seq, text AS tr FROM conv")
 def reply_recovery(spark, sf_dir):
     """Noisy replies around each conversation turn, read back."""
@@ -416,25 +491,43 @@ _DICT_LINES = f"""SELECT format('tl/th-ai/{{:02d}}_th_ai_dict.rpy', 1 + (row_num
   '        u''' || {_DICT.replace("(s,", "(text,")} || ''': u''' || {_DICT.replace("(s,", "(tr,")} || ''',' AS line FROM evp WHERE text NOT IN (SELECT text FROM scr)"""
 
 
-@query("patch_lines", with_tables("ev", "evp", more=_SCREENED) + f"{_DICT_LINES} UNION ALL {_STRINGS_LINES}")
+#: The lines of the filter file for PROFILE, word for word, held on file beside this module: no code under test makes them.
+FILTER_LINES = (Path(__file__).parent / "expected_filter.txt").read_text(encoding="utf-8").split("\n")[:-1]
+_FILTER = "SELECT 'tl/th-ai/00_th_ai_filter.rpy' AS path, unnest(range({})) AS ord, unnest([{}]) AS line".format(len(FILTER_LINES), ", ".join("'" + x.replace("'", "''") + "'" for x in FILTER_LINES))
+_PARTS = "(SELECT greatest(1, CAST(ceil(count(*) / 500.0) AS BIGINT)) AS n FROM evp WHERE text NOT IN (SELECT text FROM scr))"
+_HEADS = f"""SELECT format('tl/th-ai/{{:02d}}_th_ai_dict.rpy', i) AS path, unnest([-5, -4, -3, -2, -1, 9223372036854775807]) AS ord,
+  unnest(['# Thai translation dictionary — auto-generated' || CASE WHEN n > 1 THEN ' (part ' || i || '/' || n || ')' ELSE '' END, '# DO NOT EDIT BY HAND', '', 'init 0 python:', '    _th_ai_translations.update({{', '    }})']) AS line
+  FROM (SELECT n, unnest(range(1, n + 1)) AS i FROM {_PARTS})
+UNION ALL SELECT 'tl/th-ai/02_th_ai_strings.rpy', unnest([-4, -3, -2, -1]), unnest(['# Thai screen/UI string translations — auto-generated', '# DO NOT EDIT BY HAND', '', 'translate th-ai strings:'])
+  FROM (SELECT 1 FROM evp JOIN scr USING (text) LIMIT 1)"""
+_PATCH = f"{_DICT_LINES} UNION ALL {_STRINGS_LINES} UNION ALL {_FILTER} UNION ALL {_HEADS}"
+
+
+def _patch(spark, sf_dir) -> DataFrame:
+    return patch.build(A.event_progress(spark, sf_dir), PROFILE, A.event_entries(spark, sf_dir), 500)
+
+
+@query("patch_lines", with_tables("ev", "evp", more=_SCREENED) + _PATCH)
 def patch_lines(spark, sf_dir):
-    """The data lines of all generated files (headers and the filter depend on the profile only)."""
-    built = patch.build(A.event_progress(spark, sf_dir), PROFILE, A.event_entries(spark, sf_dir), 500)
-    head = F.col("path").contains("_filter") | (F.col("ord") < 0) | (F.col("ord") == 9223372036854775807)
-    return built.filter(~head)
+    """All lines of all generated files."""
+    return _patch(spark, sf_dir)
 
 
-_FILTER_LINES = patch.filter_source(PROFILE).count("\n")
+@query("patch_files", with_tables("ev", "evp", more=_SCREENED) + f"SELECT path, CAST(count(*) AS BIGINT) AS n_lines FROM ({_PATCH}) GROUP BY path")
+def patch_files(spark, sf_dir):
+    return _patch(spark, sf_dir).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query(
-    "patch_files",
+    "patch_written",
     with_tables("ev", "evp", more=_SCREENED)
-    + f"""SELECT path, CAST(count(*) + 6 AS BIGINT) AS n_lines FROM ({_DICT_LINES}) GROUP BY path
-UNION ALL SELECT path, CAST(count(*) + 4 AS BIGINT) FROM ({_STRINGS_LINES}) GROUP BY path UNION ALL SELECT 'tl/th-ai/00_th_ai_filter.rpy', {_FILTER_LINES}""",
+    + f"SELECT file, line, raw FROM (SELECT regexp_extract(path, '[^/]*$') AS file, CAST(row_number() OVER (PARTITION BY path ORDER BY ord) AS INT) AS line, line AS raw FROM ({_PATCH})) WHERE raw <> ''",
 )
-def patch_files(spark, sf_dir):
-    return patch.build(A.event_progress(spark, sf_dir), PROFILE, A.event_entries(spark, sf_dir), 500).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
+def patch_written(spark, sf_dir):
+    """The lines of the files as they were written, read back."""
+    folder = shared_dir(spark)
+    scripts.write_rendered(_patch(spark, sf_dir), folder)
+    return scripts.read_lines(spark, f"{folder}/tl/th-ai").filter("raw <> ''")
 
 
 # ---- runtime ---------------------------------------------------------------

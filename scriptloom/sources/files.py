@@ -75,9 +75,11 @@ def write_named(rows: DataFrame, folder: str) -> list[str]:
     spark = rows.sparkSession
     work = f"{shared_dir(spark)}/parts"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = rows.repartitionByRange(parts, "path", "ord").sortWithinPartitions("path", "ord").select(F.col("line").alias("value"), F.md5("path").alias("name"), "path")
+    # sorted by the folder's name first, as the writer wants it: else it would sort again, and lose the order of the lines
+    named = rows.select(F.col("line").alias("value"), F.md5("path").alias("name"), "ord")
+    named = named.repartitionByRange(parts, "name", "ord").sortWithinPartitions("name", "ord").select("value", "name")
     names = [r["path"] for r in rows.select("path").distinct().orderBy("path").toLocalIterator()]
-    named.select("value", "name").write.partitionBy("name").text(work)
+    named.write.partitionBy("name").text(work)
     out = []
     digests = spark.createDataFrame([(n,) for n in names], "path string").select("path", F.md5("path").alias("name")).collect() if names else []
     for r in sorted(digests, key=lambda r: r["path"]):

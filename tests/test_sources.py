@@ -155,10 +155,10 @@ def test_files_are_what_one_writer_makes(spark, tmp_path):
 
 
 def test_named_files(spark, tmp_path):
-    rows = [(f"a/{k % 3}é.txt", k, f"line {k}") for k in range(50)]
+    rows = [(f"a/{k % 3}é.txt", k, f"line {k}") for k in range(5000)]
     rendered = spark.createDataFrame(rows, "path string, ord long, line string").repartition(6)
     out = scripts.write_rendered(rendered, str(tmp_path))
     assert out == [f"{tmp_path}/a/{k}é.txt" for k in range(3)]
     for k in range(3):
-        assert (tmp_path / "a" / f"{k}é.txt").read_text(encoding="utf-8") == "".join(f"line {j}\n" for j in range(k, 50, 3))
+        assert (tmp_path / "a" / f"{k}é.txt").read_text(encoding="utf-8") == "".join(f"line {j}\n" for j in range(k, 5000, 3))
     assert sorted(os.listdir(tmp_path / "a")) == [f"{k}é.txt" for k in range(3)]
