@@ -15,14 +15,17 @@ alone make components.
 
 What is left are keys whose members are in several components. There members outside
 the largest component meet a random member of it, and the heaviest one outside.
-Keys that still hold several components are put together to groups by the components
-they share, and each group's members outside its largest component are compared with
+Of the members of keys that still hold several components, those are put together to groups that
+share one of their rarest shingles (as many of these as two linked sets must have in common: an exact
+filter, by which members that share only a crowd's template do not meet), directly or through
+components, and each group's members outside its largest component are compared with
 all others, exactly and on whole sets, unless they are joined already. Members are
 dealt to blocks by set size (linked sets are in the same or the next class), and two
 blocks are one task, so its work is bounded: ``BLOCK`` members a block, up to ``MOST``
 where a group would have more than ``BLOCKS`` of them, and ``BLOCK_SHINGLES`` shingles. So
-every pair that shares a key is in one component at the end, or was compared. Members
-of a group of m different texts that do not link are sent m / block times.
+every linked pair that shares a key is in one component at the end. Members
+of a group of m different texts that do not link are sent m / block times; with rare shingles
+of their own they are in no group.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z. Fewer words than the shingle
 size: the whole sequence is the one shingle. Null or wordless texts have the empty
@@ -210,6 +213,21 @@ def further_pairs(left: DataFrame) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
 
 
+def rare_keys(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, node, weight): the rarest shingles of undecided members, as many as links cannot do without, where another member has them too.
+
+    Two sets with 100 * intersection >= ``PERCENT`` * union share at least that part of either one. With shingles in one
+    order (fewest members first), each set's first n - ceil(n * ``PERCENT`` / 100) + 1 so have one in common: nothing is lost,
+    and members that share only what a whole crowd shares do not meet.
+    """
+    rows = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.explode("set").alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    ordered = rows.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("s"))
+    needed = F.size("s") - F.ceil(F.size("s") * PERCENT / 100).cast("int") + 1
+    first = ordered.select("node", F.explode(F.slice("s", F.lit(1), needed)).alias("x")).filter("x.n > 1")
+    return first.select("x.key", "node", F.lit(0).cast("long").alias("weight"))
+
+
 def group_members(left: DataFrame, folder: str) -> DataFrame:
     """(group, node, component, settled: in the group's largest component): keys that share a component are one group."""
     edges = left.filter("component <> largest").select(F.col("component").alias("a"), F.col("largest").alias("b"))
@@ -333,6 +351,9 @@ def linked(docs: DataFrame, reps: DataFrame, size: int, folder: str) -> DataFram
         return found
     found = with_links(found, confirmed(agreeing(further_pairs(left), reps), sets, f"{folder}/further"), f"{folder}/further")
     left = materialise(undecided(left, found), f"{folder}/left-2")
+    if left.isEmpty():
+        return found
+    left = materialise(undecided(rare_keys(left, sets), found), f"{folder}/left-3")
     if left.isEmpty():
         return found
     links = materialise(remaining_links(left, reps, sets, f"{folder}/blocks"), f"{folder}/blocks/links")

@@ -99,6 +99,24 @@ def test_tasks_of_a_template_crowd_are_bounded(spark):
     assert M.near_duplicates(docs, 5).select("component_id").distinct().count() == n
 
 
+def test_a_crowd_with_words_of_its_own_makes_no_groups(spark):
+    """Pages of one template that do not link meet in nothing; copies planted among them do, and all are found."""
+    for n in (400, 800):
+        rows = template_texts(n, n, copies=30)
+        docs = frame(spark, rows).repartition(4)
+        folder = shared_dir(spark)
+        reps = M.materialise(M.sign(docs, 5).select(F.col("doc_id").alias("rep"), "n_shingles", "sig"), f"{folder}/reps")
+        met = M.materialise(M.meetings(reps, folder), f"{folder}/hubs")
+        none = spark.createDataFrame([], "node long, component long")
+        left = M.undecided(met.filter("n > 2"), none)
+        sets = M.materialise(M.sets_of(docs, met.select("node"), 5), f"{folder}/all-sets")
+        again = M.undecided(M.rare_keys(left, sets), none)
+        assert left.select("node").distinct().count() > 0.8 * n and again.select("node").distinct().count() <= 120
+        ids, texts = zip(*rows, strict=True)
+        found = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(docs, 5).collect()}
+        assert found == dict(zip(ids, brute_components(ids, brute_sets(texts, 5)), strict=True))
+
+
 def test_odd_documents(spark, odd, nothing):
     out = M.near_duplicates(odd, 5).collect()
     assert len(out) == len(odd_texts())
