@@ -8,7 +8,6 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from .model import Profile, load_profile, load_rules
 from .operators import extract, patch, qa, translate
 from .shared import written
 from .shipping import ship_package
-from .sources import scripts
+from .sources import files, scripts
 from .sources.store import ProgressStore
 
 #: Batches of each parallel call between two writes to the store; each batch is in the journal at once.
@@ -104,13 +103,12 @@ def run_qa(args: argparse.Namespace, fail) -> int:
     if warning:
         print(warning)
     found = hold(qa.issues(entries, progress, rules, profile.keep, args.technical_only))
-    lines, code = qa.report_stream(found, profile, entries.count(), progress.count(), args.technical_only)
-    with open(args.report, "w", encoding="utf-8") if args.report else nullcontext() as f:
-        for line in lines:
-            print(line)
-            if f:
-                f.write(line + "\n")
+    counts, code = qa.report_counts(found, args.technical_only)
+    frame = qa.report_frame(found, profile, entries.count(), progress.count(), counts)
+    for r in frame.orderBy(*qa.REPORT_ORDER).toLocalIterator():
+        print(r["value"])
     if args.report:
+        files.write_lines(frame, qa.REPORT_ORDER, args.report)
         print(f"Report written to {args.report}")
     return code
 

@@ -19,8 +19,7 @@ ENTRY = T.StructType(
     ]
 )
 PROGRESS = "text string, tr string, pos long"
-#: Kinds of entries, and the stand-in speakers of those without one.
-KINDS = ("say", "menu", "text", "narrator", "screen", "ui")
+#: The stand-in speakers of entries without one.
 PSEUDO_SPEAKERS = {
     "_text": {"name": "(on-screen text)", "role": "narrator-style text shown on screen"},
     "_menu": {"name": "(menu choice)", "role": "a choice the player picks"},
@@ -51,10 +50,6 @@ class Profile:
     def language_name(self) -> str:
         return self.data.get("language_name", self.data.get("language_id", "the target language"))
 
-    @property
-    def game(self) -> str:
-        return self.data.get("game_name", "a visual novel")
-
     @property
     def keep(self) -> list[str]:
         return list(self.data.get("keep_untranslated", []))

@@ -132,24 +132,38 @@ def summary(found: DataFrame) -> DataFrame:
     return found.agg(hard.alias("hard"), soft.alias("review"), (hard + soft).alias("total"), (hard > 0).alias("fails"))
 
 
-def report_lines(found: DataFrame, profile: Profile, n_strings: int, n_translations: int, counts: dict[int, int]) -> Iterator[str]:
-    """The report (a fixed layout) line by line; issues stream through the driver."""
+#: Order of the report's lines.
+REPORT_ORDER = ["section", "seq", "check_ord", "k"]
+
+
+def report_frame(found: DataFrame, profile: Profile, n_strings: int, n_translations: int, counts: dict[int, int]) -> DataFrame:
+    """(section, seq, check_ord, k, value): the lines of the report (a fixed layout); issues stay where they are, three lines each."""
     bar = "=" * 72
     title = profile.data.get("language_name", profile.data.get("language_id", "?"))
-    yield from ("", "#" * 72, f"  TRANSLATION QUALITY REPORT — {profile.data.get('game_name', '?')} → {title}", f"  Strings: {n_strings} | Trans loaded: {n_translations}", "#" * 72)
-    rows = found.filter(F.col("category").isin(*counts)).orderBy("category", "seq", "check_ord").toLocalIterator()
-    row = next(rows, None)
-    for c in sorted(counts):
-        yield from ("", bar, f"  {TITLES.get(c, f'CAT {c}')}  ({counts[c]} issues)", bar)
-        if not counts[c]:
-            yield "  CLEAN — no issues found."
-        while row is not None and row["category"] == c:
-            yield from (f"  [{row['label']}]  spk={row['speaker']}  {row['file']}:{row['line']}", f"    EN: {row['text'][:80]}", f"    TR: {row['tr'][:90]}")
-            row = next(rows, None)
+    head = ["", "#" * 72, f"  TRANSLATION QUALITY REPORT — {profile.data.get('game_name', '?')} → {title}", f"  Strings: {n_strings} | Trans loaded: {n_translations}", "#" * 72]
+    sections = [[] for _ in range(len(counts) + 2)]
+    sections[0] = head
+    place = {c: k for k, c in enumerate(sorted(counts), 1)}
+    for c, k in place.items():
+        sections[k] = ["", bar, f"  {TITLES.get(c, f'CAT {c}')}  ({counts[c]} issues)", bar, *([] if counts[c] else ["  CLEAN — no issues found."])]
     hard, review = sum(n for c, n in counts.items() if c != 4), counts.get(4, 0)
-    yield from ("", bar, "  SUMMARY", bar)
-    yield from (f"  Cat {c}: {counts[c]:4d}  {'(review manually)' if c == 4 else '(must fix)'}" for c in sorted(counts))
-    yield from ("  " + "-" * 25, f"  Hard issues:   {hard:4d}", f"  Total flagged: {hard + review:4d}", "")
+    sums = [f"  Cat {c}: {counts[c]:4d}  {'(review manually)' if c == 4 else '(must fix)'}" for c in sorted(counts)]
+    sections[-1] = ["", bar, "  SUMMARY", bar, *sums, "  " + "-" * 25, f"  Hard issues:   {hard:4d}", f"  Total flagged: {hard + review:4d}", ""]
+    fixed = [(n, -1, -1, k, x) for n, lines in enumerate(sections) for k, x in enumerate(lines)]
+    schema = "section int, seq long, check_ord int, k int, value string"
+    where = F.concat(F.lit("  ["), "label", F.lit("]  spk="), "speaker", F.lit("  "), "file", F.lit(":"), F.col("line").cast("string"))
+    three = F.array(where, F.concat(F.lit("    EN: "), F.substring("text", 1, 80)), F.concat(F.lit("    TR: "), F.substring("tr", 1, 90)))
+    section = F.coalesce(*[F.when(F.col("category") == c, k) for c, k in place.items()], F.lit(-1))
+    issues_ = found.filter(F.col("category").isin(*counts)).select(section.alias("section"), F.col("seq").cast("long"), F.col("check_ord").cast("int"), F.posexplode(three).alias("k", "value"))
+    return found.sparkSession.createDataFrame(fixed, schema).unionAll(issues_)
+
+
+def report_counts(found: DataFrame, technical_only: bool = False) -> tuple[dict[int, int], int]:
+    """Issues of each category, and the exit code."""
+    counts = {r["category"]: r["n_issues"] for r in by_category(found, technical_only).collect()}
+    if technical_only:
+        counts = {1: counts.get(1, 0)}
+    return counts, int(any(n for c, n in counts.items() if c != 4))
 
 
 def report(found: DataFrame, profile: Profile, n_strings: int, n_translations: int, technical_only: bool = False) -> tuple[str, int]:
@@ -160,7 +174,6 @@ def report(found: DataFrame, profile: Profile, n_strings: int, n_translations: i
 
 def report_stream(found: DataFrame, profile: Profile, n_strings: int, n_translations: int, technical_only: bool = False) -> tuple[Iterator[str], int]:
     """The lines of the report, one by one, and the exit code."""
-    counts = {r["category"]: r["n_issues"] for r in by_category(found, technical_only).collect()}
-    if technical_only:
-        counts = {1: counts.get(1, 0)}
-    return report_lines(found, profile, n_strings, n_translations, counts), int(any(n for c, n in counts.items() if c != 4))
+    counts, code = report_counts(found, technical_only)
+    frame = report_frame(found, profile, n_strings, n_translations, counts)
+    return (r["value"] for r in frame.orderBy(*REPORT_ORDER).toLocalIterator()), code

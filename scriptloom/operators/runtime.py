@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def lookup(rows: DataFrame, progress: DataFrame, active: bool = True) -> DataFrame:
     """Add ``shown``: the translation, or the text itself on a miss or while the language is not active."""
@@ -39,8 +41,9 @@ def translate_arrays(rows: DataFrame, progress: DataFrame, column: str, since: s
     """
     others = [c for c in rows.columns if c != column]
     table = progress.select(F.col("text").alias("_m"), "tr")
-    flat = rows.withColumn("_id", F.monotonically_increasing_id())
-    flat = flat.select("_id", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(f"`{column}`").isNull().alias("_none"), F.posexplode_outer(f"`{column}`").alias("_p", "_m"))
+    # numbers of rows are made once, and written: a task that runs again reads the same ones
+    held = written(rows.select(F.monotonically_increasing_id().alias("_id"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(f"`{column}`").alias("_array")))
+    flat = held.select("_id", "_row", F.col("_array").isNull().alias("_none"), F.posexplode_outer("_array").alias("_p", "_m"))
     # the other columns travel with the first member only
     flat = flat.withColumn("_from", F.col("_row").getField(since) if since else F.lit(0))
     flat = flat.withColumn("_row", F.when(F.coalesce("_p", F.lit(0)) == 0, F.col("_row")))
