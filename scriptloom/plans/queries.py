@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from pathlib import Path
 
@@ -17,6 +16,7 @@ from ..sources import scripts
 from ..sources.store import ProgressStore
 from . import adapters as A
 from .adapters import with_tables
+from .offline import forgetful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,14 +291,6 @@ def batch_prompts(spark, sf_dir):
     return rows.groupBy("batch").applyInPandas(ask, "batch long, prompt string").select("batch", F.md5("prompt").alias("prompt"))
 
 
-def forgetful(system: str, user: str) -> str:
-    """A provider that loses the markup of every third line until asked again, never answers every fifth, and leaves every seventh empty."""
-    again = "mismatched" in user
-    items = json.loads(user[user.index("[\n") :].split("\n]")[0] + "\n]")
-    said = [{"id": x["id"], "tr": "" if x["id"] % 7 == 0 else f"» {x['text']}" if again or x["id"] % 3 else "»"} for x in items if x["id"] % 5]
-    return "```json\n" + json.dumps(said) + "\n```"
-
-
 @query(
     "translate_retry",
     with_tables("ev", "evp")
