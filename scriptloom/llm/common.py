@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh folder URI below ``spark.checkpoint.dir``.
 
     The setting (or else the checkpoint folder set on the context) names a folder that
-    all executors share. Only where both are unset and the driver runs all tasks itself
+    all executors share; without a scheme it is a path of Spark's default file system, and
+    the URI says so. Only where both are unset and the driver runs all tasks itself
     (local runs and tests) is a temporary folder of this machine used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="scriptloom-")
             spark.sparkContext._loom_shared = root
-    path = f"{root.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    path = f"{qualified(spark, root).rstrip('/')}/loom-{uuid.uuid4().hex}"
     atexit.register(_forget, spark, path)
     return path
 
@@ -44,6 +45,12 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark reads and writes it in."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,9 +9,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from scriptloom.llm.common import shared_dir as llm_shared_dir
 from scriptloom.model import Profile
 from scriptloom.operators import runtime
 from scriptloom.operators import translate as T
+from scriptloom.shared import shared_dir
 from scriptloom.sources import scripts
 from scriptloom.sources import store as S
 from scriptloom.sources.store import ProgressStore
@@ -71,6 +73,23 @@ def test_a_path_of_one_machine_is_refused_on_a_cluster():
         S.shared_uri(Session(), "/tmp/x")
 
 
+def test_a_shared_folder_set_without_a_scheme_is_taken_on_a_cluster(spark, tmp_path, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+    get = type(spark.conf).get  # the setting itself is fixed once a session has begun
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: str(tmp_path) if key == "spark.checkpoint.dir" else get(self, key, *a))
+    for shared in (shared_dir, llm_shared_dir):
+        folder = shared(spark)
+        assert S.shared_uri(Session(), folder) == folder and folder.startswith(f"file:{tmp_path}/")
+        store = ProgressStore(spark, folder)
+        store.append(table(spark, [("x", "a", 1)]))
+        assert [tuple(r) for r in store.read().collect()] == [("x", "a", 1)]
+
+
 @pytest.mark.parametrize("parallel", [1, 3])
 def test_calls_in_flight_are_bounded(spark, tmp_path, parallel):
     """Calls note when they begin and end: never more than ``parallel`` at once, and no faster than one each pause."""
