@@ -57,9 +57,9 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def materialise(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet at ``path`` and read it back: cuts lineage in a form that outlives executors."""
-    df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+def materialise(df: DataFrame, path: str, options: dict | None = None) -> DataFrame:
+    """Write ``df`` as Parquet at ``path`` (with more options of the writer) and read it back: cuts lineage in a form that outlives executors."""
+    df.write.options(**options or {}).option("compression", "zstd").mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -22,24 +22,47 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, partitions, shared_dir, slices
 
-#: Bytes of text in a chunk (a longer text is one chunk), and buckets of a shuffle partition.
-CHUNK_BYTES, SPLIT = 8 << 20, 2
+#: Bytes of text in a chunk (a longer text is one chunk), and buckets of a shuffle partition: of pairs, and of occurrences.
+CHUNK_BYTES, SPLIT, DEALT = 4 << 20, 2, 6
+#: Bytes of a batch that goes to Python (one row at least), and of occurrences that wait before equal ones are added up.
+BATCH_BYTES, HELD_BYTES = 8 << 20, 24 << 20
+#: Chunks are few and large: Parquet looks at the size after each row, so that writers and readers hold a few of them.
+FEW_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOKEN = re.compile(rb"[.,;:!?\x0a-\x0d]+|[^.,;:!?\x0a-\x0d \t]+")
 _BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
 CHUNKS = "chunk long, langs array<string>, words array<binary>, word_lang array<int>, codes binary"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside send their rows to Python by ``BATCH_BYTES``."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch as Python values, one at a time."""
+    for k in range(batch.num_rows):
+        yield tuple(c[k].as_py() for c in batch.columns)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """Rows of some documents each: their words (with the language's place in langs), and the texts as places in words; -1 is a gap."""
 
@@ -93,7 +116,7 @@ def word_counts(table: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for langs, words, place, codes in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for langs, words, place, codes in _rows(batch):
                 codes = np.frombuffer(codes, "<i4")
                 counts = np.bincount(codes[codes >= 0], minlength=len(words))
                 yield pa.RecordBatch.from_arrays([pa.array([langs[p] for p in place], pa.string()), pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
@@ -106,11 +129,12 @@ class Pairs:
     """The distinct pairs of neighbouring words of a chunk, in an order that depends on the chunk alone."""
 
     def __init__(self, langs: list[str], words: list[bytes], place: list[int], codes: bytes, buckets: int):
-        c = np.frombuffer(codes, "<i4").astype(np.int64)
+        c = np.frombuffer(codes, "<i4")
         a, b = c[:-1], c[1:]
-        self.where = np.flatnonzero((a >= 0) & (b >= 0))
+        self.where = np.flatnonzero((a >= 0) & (b >= 0)).astype(np.int32)
         self.n = len(c)
-        both, self.inverse, self.counts = np.unique(a[self.where] * max(len(words), 1) + b[self.where], return_inverse=True, return_counts=True)
+        both, inverse, self.counts = np.unique(a[self.where].astype(np.int64) * max(len(words), 1) + b[self.where], return_inverse=True, return_counts=True)
+        self.inverse = inverse.astype(np.int32)
         self.left, self.right = np.divmod(both, max(len(words), 1))
         marks = [x.encode() + b"\0" for x in langs]
         h = np.array([xxhash.xxh64_intdigest(marks[p] + w) for w, p in zip(words, place, strict=True)], np.uint64)
@@ -151,7 +175,7 @@ def frequent_pairs(table: DataFrame, least: int, buckets: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, *rest in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for chunk, *rest in _rows(batch):
                 pairs = Pairs(*rest, buckets)
                 some = [b for b in range(buckets) if pairs.cuts[b] < pairs.cuts[b + 1]]
                 bodies = [(pairs.hash[o].astype("<u8").tobytes(), pairs.counts[o].astype("<u4").tobytes()) for o in map(pairs.of, some)]
@@ -184,12 +208,15 @@ def frequent_pairs(table: DataFrame, least: int, buckets: int) -> DataFrame:
 PROJECTED = "bucket int, chunk long, body binary, id long, lang string, first binary, second binary, f long"
 
 
-def projections(table: DataFrame, replies: DataFrame, longest: int, buckets: int) -> DataFrame:
-    """Occurrences of frequent prefixes in chunks (bucket, chunk, body: columns of ids, then counts), and the spelling of ids (bucket -1)."""
+def projections(table: DataFrame, replies: DataFrame, longest: int, buckets: int, dealt: int) -> DataFrame:
+    """Occurrences of frequent prefixes in chunks (bucket, one of ``dealt``, chunk, body: columns of ids, then counts), and the spelling of ids (bucket -1).
+
+    ``buckets`` are those of the pairs, as in the replies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, langs, words, place, codes, told in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for chunk, langs, words, place, codes, told in _rows(batch):
                 pairs = Pairs(langs, words, place, codes, buckets)
                 ids = np.zeros(len(pairs.counts), np.int64)
                 spelled = []
@@ -207,21 +234,20 @@ def projections(table: DataFrame, replies: DataFrame, longest: int, buckets: int
                 depth = longest - 1
                 line = np.zeros(pairs.n + depth, np.int64)
                 line[pairs.where] = ids[pairs.inverse]
-                where = np.flatnonzero((line[: pairs.n] > 0) & (line[1 : pairs.n + 1] > 0))
+                where = np.flatnonzero((line[: pairs.n] > 0) & (line[1 : pairs.n + 1] > 0)).astype(np.int32)
+                del pairs, ids, told, words, codes
                 if depth < 2 or not len(where):
                     continue
                 columns = [line[where], line[where + 1]]
                 for d in range(2, depth):
                     columns.append(np.where(columns[-1] > 0, line[where + d], 0))
-                order = np.lexsort(columns[::-1])
-                columns = [c[order] for c in columns]
-                new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
-                counts = np.diff(np.append(np.flatnonzero(new), len(new)))
-                columns = [c[new] for c in columns]
-                deal = (mix64(columns[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + columns[1].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                del line, where
+                columns = added_up(columns, None)
+                counts = columns.pop()
+                deal = (mix64(columns[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + columns[1].astype(np.uint64)) % np.uint64(dealt)).astype(np.int64)
                 by = np.argsort(deal, kind="stable")
-                cuts = np.searchsorted(deal[by], np.arange(buckets + 1))
-                some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+                cuts = np.searchsorted(deal[by], np.arange(dealt + 1))
+                some = [b for b in range(dealt) if cuts[b] < cuts[b + 1]]
                 bodies = [b"".join(c[by[cuts[b] : cuts[b + 1]]].astype("<i8").tobytes() for c in (*columns, counts)) for b in some]
                 k = len(some)
                 arrays = [pa.array(some, pa.int32()), pa.array([chunk] * k, pa.int64()), pa.array(bodies, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())]
@@ -231,6 +257,19 @@ def projections(table: DataFrame, replies: DataFrame, longest: int, buckets: int
     return table.join(told, "chunk").select("chunk", "langs", "words", "word_lang", "codes", "told").mapInArrow(run, PROJECTED)
 
 
+def added_up(columns: list[np.ndarray], counts: np.ndarray | None) -> list[np.ndarray]:
+    """Sorted distinct rows of ``columns``, and their summed counts (1 each if None) as the last column."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k, column in enumerate(columns):
+        columns[k] = column = column[order]
+        new[1:] |= column[1:] != column[:-1]
+    begin = np.flatnonzero(new)
+    total = np.diff(np.append(begin, len(order))) if counts is None else np.add.reduceat(counts[order], begin) if len(order) else counts
+    return [*(c[begin] for c in columns), total.astype(np.int64)]
+
+
 def descend(columns: list[np.ndarray], counts: np.ndarray, least: int) -> Iterator[tuple[tuple[int, ...], int]]:
     """(ids, occurrences) of all patterns of two ids and more with ``least`` occurrences, depth first; rows are sorted, 0 ends a row."""
     total = np.concatenate([[0], np.cumsum(counts)])
@@ -256,12 +295,33 @@ def grown(projected: DataFrame, longest: int, least: int) -> DataFrame:
     depth = longest - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(batches):
-            parts = [np.frombuffer(r[0], "<i8").reshape(depth + 1, -1) for r in rows]
-            body = np.concatenate(parts, axis=1)
-            order = np.lexsort(body[:depth][::-1])
-            found = list(descend([c[order] for c in body[:depth]], body[depth][order], least))
-            yield pa.RecordBatch.from_arrays([pa.array([list(p) for p, _ in found], pa.list_(pa.int64())), pa.array([f for _, f in found], pa.int64())], names=["ids", "f"])
+        held, size, at = [], 0, None
+
+        def merged() -> list[np.ndarray]:
+            parts = [np.frombuffer(x, "<i8").reshape(depth + 1, -1) if isinstance(x, bytes) else x for x in held]
+            columns = [np.concatenate([p[d] for p in parts]) for d in range(depth + 1)]
+            counts = columns.pop()
+            return added_up(columns, counts)
+
+        def phrases() -> pa.RecordBatch:
+            *columns, counts = merged()
+            found = list(descend(columns, counts, least))
+            return pa.RecordBatch.from_arrays([pa.array([list(p) for p, _ in found], pa.list_(pa.int64())), pa.array([f for _, f in found], pa.int64())], names=["ids", "f"])
+
+        for batch in batches:
+            for bucket, body in _rows(batch):
+                if bucket != at:
+                    if held:
+                        yield phrases()
+                    held, size, at, limit = [], 0, bucket, HELD_BYTES
+                held.append(body)
+                size += len(body)
+                if size > limit:  # rows that differ stay; the next merge waits for as many again
+                    held = [merged()]
+                    size = sum(c.nbytes for c in held[0])
+                    limit = max(HELD_BYTES, 2 * size)
+        if held:
+            yield phrases()
 
     rows = _dealt(projected.filter("bucket >= 0").select("bucket", "chunk", "body"), ("chunk",)).select("bucket", "body")
     return rows.mapInArrow(run, "ids array<bigint>, f long")
@@ -269,11 +329,16 @@ def grown(projected: DataFrame, longest: int, least: int) -> DataFrame:
 
 def candidates(docs: DataFrame, longest: int, least: int, folder: str) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f, size) of frequent phrases of two words and more, and (lang, phrase, f) of all single words."""
-    buckets = partitions(docs.sparkSession) * SPLIT
-    table = materialise(chunks(docs), f"{folder}/chunks")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        return _candidates(docs, longest, least, folder, partitions(spark) * SPLIT, partitions(spark) * DEALT)
+
+
+def _candidates(docs: DataFrame, longest: int, least: int, folder: str, buckets: int, dealt: int) -> tuple[DataFrame, DataFrame]:
+    table = materialise(chunks(docs), f"{folder}/chunks", FEW_ROWS)
     words = materialise(word_counts(table), f"{folder}/words")
     replies = materialise(frequent_pairs(table, least, buckets), f"{folder}/pairs")
-    projected = materialise(projections(table, replies, longest, buckets), f"{folder}/projected")
+    projected = materialise(projections(table, replies, longest, buckets, dealt), f"{folder}/projected")
     spelled = projected.filter("bucket < 0").select("id", "lang", F.col("first").cast("string").alias("first"), F.col("second").cast("string").alias("second"), "f")
     two = spelled.select("lang", F.concat_ws(" ", "first", "second").alias("phrase"), "f", F.lit(2).alias("size"))
     if longest == 2:

@@ -204,3 +204,29 @@ def test_products_beyond_64_bits(spark):
     single = spark.createDataFrame([("en", "a", big - 3), ("en", "b", big - 1), ("en", "c", big)], "lang string, phrase string, f long")
     r = P.scored(found, single).first()
     assert r["score"] == 1000 * (big - 7) * (3 * big - 4) // ((big - 3) * (big - 1)) and r["n"] == 3 * big - 4
+
+
+def test_phrases_hold_few_chunks_and_small_batches(spark, tmp_path, monkeypatch):
+    """One task's chunks are in several row groups, and no table is made with larger batches than BATCH_BYTES."""
+    import pyarrow.parquet as pq
+
+    seen, write = [], P.materialise
+    monkeypatch.setattr(P, "materialise", lambda *a: (seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))), write(*a))[1])
+    text = " ".join(f"w{k}" for k in range(500_000))
+    docs = spark.createDataFrame([(k, "en", text) for k in range(12)], "doc_id long, lang string, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    found, _ = P.candidates(docs, 3, 1000, f"file://{tmp_path}/t")
+    assert found.count() == 0 and len(seen) == 5 and max(seen) <= 8 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    groups = [pq.ParquetFile(f).metadata.row_group(g).num_rows for f in (tmp_path / "t" / "chunks").glob("*.parquet") for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert sum(groups) == 12 and len(groups) > 1
+
+
+def test_phrases_add_up_occurrences_that_wait(spark):
+    """One bucket's rows come to more than what is held; equal ones add up, and what is rare in each row still counts."""
+    ids = np.arange(1, 27_001, dtype="<i8")
+    body = b"".join(c.astype("<i8").tobytes() for c in (ids, ids + 1, ids * 0, ids * 0, ids * 0 + 1))
+    assert 30 * len(body) > 24 << 20
+    rows = spark.createDataFrame([(0, k, bytearray(body)) for k in range(30)] + [(1, 0, bytearray(body))], "bucket int, chunk long, body binary")
+    got = P.grown(rows, 5, 30).collect()
+    assert sorted((tuple(r["ids"]), r["f"]) for r in got) == [((k, k + 1), 30) for k in range(1, 27_001)]
