@@ -162,3 +162,31 @@ def test_named_files(spark, tmp_path):
     for k in range(3):
         assert (tmp_path / "a" / f"{k}é.txt").read_text(encoding="utf-8") == "".join(f"line {j}\n" for j in range(k, 5000, 3))
     assert sorted(os.listdir(tmp_path / "a")) == [f"{k}é.txt" for k in range(3)]
+
+
+def test_large_files_are_read_by_splits(spark, tmp_path, monkeypatch):
+    """Small splits of one large file give the lines that the whole text gives, with marks, bad bytes and all breaks."""
+    rng = random.Random(7)
+    bodies = []
+    for mark in (b"", b"\xef\xbb\xbf"):
+        for end in (b"", b"\n", b"\r", b"\r\n", b"x"):
+            parts = [rng.choice([b"a", b"\xc3\xa9", b"\xff", b"", b" b ", b"\xef\xbb\xbf"]) + rng.choice([b"\n", b"\r\n", b"\r", b"\n\n", b"\r\r\n"]) for _ in range(60)]
+            bodies.append(mark + b"".join(parts) + b"tail" + end)
+    for k, body in enumerate(bodies):
+        (tmp_path / f"{k:02d}.rpy").write_bytes(body)
+    (tmp_path / "small.rpy").write_bytes(b"a\nb")
+    whole = sorted(map(tuple, scripts.read_lines(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(scripts, "LARGE", 10)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("7b", "50b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0b")
+            rows = scripts.read_lines(spark, str(tmp_path))
+            assert rows.schema.simpleString() == "struct<file:string,line:int,raw:string>"
+            assert sorted(map(tuple, rows.collect())) == whole
+            if size == "7b":
+                assert rows.rdd.getNumPartitions() > 2 * len(bodies)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
